@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from runloom.functions import fixed
 from runloom.operators.keyed import nest, rank_rows
-from runloom.session import new_dir, stage
+from runloom.session import new_dir, stage, stage_counted
 
 MAX_ROUNDS = 100_000
 
@@ -102,25 +102,29 @@ def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
         return _follow(edges, of)
     pairs = edges.select("dag_id", F.col("downstream").alias("task_id"), F.col("upstream").alias("ancestor")).distinct()
     reach, n = stage(pairs, "reach")  # walks of 1 .. 2^k edges
-    walks, w = reach, n  # walks of exactly 2^k edges
+    walks = reach  # walks of exactly 2^k edges
     for _ in range(64):
-        if w == 0:
-            return reach
         hop = walks.select("dag_id", F.col("task_id").alias("ancestor"), F.col("ancestor").alias("_far"))
-        longer = reach.join(hop, ["dag_id", "ancestor"]).select("dag_id", "task_id", F.col("_far").alias("ancestor"))
-        wider, m = stage(reach.unionByName(longer).distinct(), "reach")
-        if m == n:
-            return reach
-        walks, w = stage(
-            walks.join(hop, ["dag_id", "ancestor"])
-            .select("dag_id", "task_id", F.col("_far").alias("ancestor"))
-            .distinct(),
-            "walks",
+        # Both products need the same hop, so one job writes them, told apart by ``exact``.
+        grown = (
+            reach.withColumn("exact", F.lit(False))
+            .unionByName(_step_up(reach, hop).withColumn("exact", F.lit(False)))
+            .unionByName(_step_up(walks, hop).withColumn("exact", F.lit(True)))
+            .distinct()
         )
-        reach, n = wider, m
+        counts = {"reach": F.count_if(~F.col("exact")), "walks": F.count_if(F.col("exact"))}
+        both, seen = stage_counted(grown, counts, "reach", partition_by=["exact"])
+        reach, walks = both.filter("NOT exact").drop("exact"), both.filter("exact").drop("exact")
+        if seen["reach"] == n or seen["walks"] == 0:  # nothing new, or no longer walk left
+            return reach
+        n = seen["reach"]
     raise RuntimeError("closure did not settle")
 
 
+def _step_up(pairs: DataFrame, hop: DataFrame) -> DataFrame:
+    return pairs.join(hop, ["dag_id", "ancestor"]).select("dag_id", "task_id", F.col("_far").alias("ancestor"))
+
+
 def _follow(edges: DataFrame, of: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     base = new_dir(spark, "follow")
@@ -158,27 +162,24 @@ def topo_order(tasks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     links, _ = stage(e.join(need, ["dag_id", "downstream"]), "links")
 
     base = new_dir(spark, "topo")
-    last = F.lit(0).cast("bigint")
-    none_yet = roots(tasks.select("dag_id", "task_id").distinct(), e).select(
-        "dag_id", "task_id", last.alias("seen"), last.alias("need"), last.alias("last")
+    zero = F.lit(0).cast("bigint")
+    arrived = roots(tasks.select("dag_id", "task_id").distinct(), links).select(
+        "dag_id", "task_id", zero.alias("seen"), zero.alias("need"), zero.alias("last")
     )
-    arrived = none_yet
     for level in range(MAX_ROUNDS):
         # One job per level: who is complete now, and their rank inside the level.
         flagged = arrived.withColumn("done", F.col("seen") == F.col("need"))
         ranked = rank_rows(flagged, ["dag_id", "done"], [F.col("last"), F.col("task_id")], "rank")
-        path = f"{base}/level={level}"
-        here, n = stage(ranked, path=path)
-        placed = here.filter("done")
-        if n == 0 or (level and placed.isEmpty()):
+        here, seen = stage_counted(ranked, {"done": F.count_if("done")}, path=f"{base}/level={level}")
+        if seen["done"] == 0:
             break
         hit = (
-            placed.select("dag_id", F.col("task_id").alias("upstream"), "rank")
+            here.filter("done")
+            .select("dag_id", F.col("task_id").alias("upstream"), F.col("rank").alias("last"))
             .join(links, ["dag_id", "upstream"])
-            .groupBy("dag_id", F.col("downstream").alias("task_id"))
-            .agg(F.count(F.lit(1)).alias("seen"), F.max("need").alias("need"), F.max("rank").alias("last"))
+            .select("dag_id", F.col("downstream").alias("task_id"), F.lit(1).cast("bigint").alias("seen"), "need", "last")
         )
-        waiting = here.filter("NOT done").select("dag_id", "task_id", "seen", "need", F.lit(0).cast("bigint").alias("last"))
+        waiting = here.filter("NOT done").select("dag_id", "task_id", "seen", "need", zero.alias("last"))
         arrived = (
             hit.unionByName(waiting)
             .groupBy("dag_id", "task_id")

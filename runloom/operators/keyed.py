@@ -19,9 +19,14 @@ HOT_SHARE = 0.01  # a key above this share of all rows is cut into slices
 LIST_CHUNK = 10_000  # longest list put into one row
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of all tables the plan reads, by Catalyst's statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    return input_bytes(df) <= (SMALL_INPUT_BYTES if limit is None else limit)
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -60,8 +65,7 @@ def rank_rows(
         w = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumn(name, F.row_number().over(w).cast("bigint"))
 
-    limit = SMALL_INPUT_BYTES if small is None else small
-    if plan_bytes(df) <= limit:
+    if is_small(df, small):
         return plain(df)
     hot = hot_hashes(df, keys, hot_share)
     if not hot:

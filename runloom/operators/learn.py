@@ -6,89 +6,116 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from fractions import Fraction
+from math import ceil
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.functions import fixed
 from runloom.functions import scalars as S
-from runloom.operators.keyed import rank_rows
-from runloom.session import stage
+from runloom.operators.keyed import is_small, rank_rows
+from runloom.session import small_table
 
-SPLIT_BUCKETS = 65_536  # four hex digits of the split hash
+SPLIT_DIGITS = 4  # leading hex digits that name a bucket: 65,536 of them
 
 
 # --- split -------------------------------------------------------------------
-def class_index(rows: DataFrame, label: str, name: str = "target") -> DataFrame:
+def class_index(rows: DataFrame, label: str, name: str = "target", classes: Sequence | None = None) -> DataFrame:
     """Adds the 0-based place of ``label`` in the sorted list of its values."""
-    classes = rows.select(label).distinct()
-    # One row per class in this window, not one per row of the table.
-    place = (F.row_number().over(Window.orderBy(label)) - 1).cast("int")
-    return rows.join(classes.withColumn(name, place), label)
+    schema = T.StructType([rows.schema[label]]).add(name, "integer")
+    if classes is None:
+        # One row per class in this window, not one per row of the table.
+        place = (F.row_number().over(Window.orderBy(label)) - 1).cast("int")
+        found = small_table(rows.select(label).distinct().withColumn(name, place))
+    else:
+        found = rows.sparkSession.createDataFrame([(c, i) for i, c in enumerate(classes)], schema)
+    return rows.join(found, label)
 
 
-def train_quotas(counts: DataFrame, label: str, share: str = fixed.TEST_SHARE) -> DataFrame:
-    """Rows of each class that go to train: ``(label, quota)``, exact integers.
+def train_quotas(sizes: Mapping[object, int], share: str = fixed.TEST_SHARE) -> dict[object, int]:
+    """Rows of each class that go to train, in whole numbers.
 
     ``ceil(share * n)`` rows are held out over all classes; what is left is dealt
-    by largest remainder, ties by class.  ``counts(label, n_c)``.
+    by largest remainder, ties by class.
     """
-    part = Fraction(share)
-    every = Window.partitionBy()  # one row per class, not one per row of the table
-    # decimal(38): row counts multiplied with each other outgrow bigint
-    n = F.sum("n_c").over(every).cast("decimal(19,0)")
-    held = F.expr(f"CAST((n * {part.numerator} + {part.denominator - 1}) div {part.denominator} AS DECIMAL(19,0))")
-    dealt = (
-        counts.withColumn("n", n)
-        .withColumn("n_train", (F.col("n") - held).cast("decimal(19,0)"))
-        .withColumn("_p", F.col("n_c").cast("decimal(19,0)") * F.col("n_train"))
-        .select(label, "n_train", F.expr("_p div n").alias("q"), (F.col("_p") % F.col("n")).alias("rem"))
-    )
-    place = F.row_number().over(Window.orderBy(F.desc("rem"), F.col(label)))
-    left = F.col("n_train").cast("bigint") - F.sum("q").over(every)
-    return dealt.select(label, (F.col("q") + F.when(place <= left, 1).otherwise(0)).alias("quota"))
+    n = sum(sizes.values())
+    n_train = n - ceil(Fraction(share) * n)
+    dealt = {c: divmod(size * n_train, n) for c, size in sizes.items()}
+    left = n_train - sum(q for q, _ in dealt.values())
+    first = sorted(sizes, key=lambda c: (-dealt[c][1], c is not None, c))[:left]
+    return {c: q + (c in first) for c, (q, _) in dealt.items()}
+
+
+def split_bounds(
+    rows: DataFrame, key: str, label: str, share: str = fixed.TEST_SHARE, seed: int = 0, small: int | None = None
+) -> DataFrame:
+    """One row per class: ``(label, size, quota, bound_hash, bound_key)``.
+
+    The bound is the last row that trains when the class is ordered by
+    ``md5(seed:key)``.  In a large table no class is sorted: rows are counted per
+    hash bucket first and only the bucket the bound lies in is ranked.
+    """
+    spark = rows.sparkSession
+    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    quotas = train_quotas(sizes, share)
+    kinds = T.StructType([rows.schema[label]]).add("place", "long")
+    wanted = spark.createDataFrame([(c, q) for c, q in quotas.items()], kinds).withColumnRenamed(label, "_class")
+    same = F.col(label).eqNullSafe(F.col("_class"))
+
+    hashed = rows.select(F.col(label), F.col(key), _split_hash(key, seed).alias("_h"))
+    if not is_small(rows, small):
+        bucket = F.substring("_h", 1, SPLIT_DIGITS)
+        before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = hashed.groupBy(label, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+        cuts = small_table(
+            counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+            .join(wanted, same)
+            .filter((F.col("_before") < F.col("place")) & (F.col("place") <= F.col("_before") + F.col("n")))
+            .select("_class", "_b", (F.col("place") - F.col("_before")).alias("place"))
+        )
+        hashed = hashed.join(cuts.select(F.col("_class").alias("_c"), "_b"), F.col(label).eqNullSafe(F.col("_c")))
+        hashed = hashed.filter(bucket == F.col("_b")).drop("_c", "_b")
+        wanted = cuts.drop("_b")
+    ranked = rank_rows(hashed, [label], [F.col("_h"), F.col(key)], "_n", small)
+    bounds = {
+        r[label]: (r["_h"], r[key]) for r in ranked.join(wanted, same & (F.col("_n") == F.col("place"))).collect()
+    }
+    found = [(c, sizes[c], quotas[c], *bounds.get(c, (None, None))) for c in sizes]
+    schema = T.StructType([rows.schema[label]]).add("size", "long").add("quota", "long")
+    return spark.createDataFrame(found, schema.add("bound_hash", "string").add("bound_key", rows.schema[key].dataType))
 
 
 def stratified_split(
-    rows: DataFrame, key: str, label: str, share: str = fixed.TEST_SHARE, seed: int = 0
+    rows: DataFrame,
+    key: str,
+    label: str,
+    share: str = fixed.TEST_SHARE,
+    seed: int = 0,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``split`` = train / test, balanced by class, the same on every run.
 
-    Rows are ordered by ``md5(seed:key)`` inside their class and the first of them
-    train.  No class is sorted: rows are counted per hash bucket, which leaves one
-    bucket per class where the cut falls, and only that bucket is ranked.
+    A row trains when its hash is not above its class's bound: the rows themselves
+    are neither shuffled nor sorted.
     """
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    bucket = F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
-    counts, _ = stage(
-        rows.select(F.col(label), bucket.alias("_b")).groupBy(label, "_b").agg(F.count(F.lit(1)).alias("n")),
-        "buckets",
-    )
-    quotas = train_quotas(counts.groupBy(label).agg(F.sum("n").alias("n_c")), label, share)
-    quotas = quotas.select(F.col(label).alias("_class"), "quota")
-    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .join(quotas, F.col(label).eqNullSafe(F.col("_class")))
-        .filter((F.col("_before") <= F.col("quota")) & (F.col("quota") < F.col("_before") + F.col("n")))
-        .select(
-            "_class", F.col("_b").alias("_cut"), (F.col("quota") - F.col("_before")).alias("_take")
-        )
+    bounds = split_bounds(rows, key, label, share, seed) if bounds is None else bounds
+    b = bounds.select(F.col(label).alias("_class"), "bound_hash", "bound_key")
+    at = F.struct(_split_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    trains = at <= F.struct(F.col("bound_hash").alias("h"), F.col("bound_key").alias("k"))
+    return rows.join(b, F.col(label).eqNullSafe(F.col("_class"))).select(
+        *rows.columns,
+        F.when(F.col("bound_hash").isNotNull() & trains, "train").otherwise("test").alias("split"),
     )
-    cut, _ = stage(cut, "cut")  # one row per class, so its size is known to the planner
-    # A class wholly in train has no cut bucket.
-    met = rows.withColumn("_h", h).withColumn("_b", bucket).join(cut, F.col(label).eqNullSafe(F.col("_class")), "left")
-    far = F.coalesce(F.col("_cut"), F.lit(SPLIT_BUCKETS))
-    clear = met.filter(F.col("_b") != far).withColumn("split", F.when(F.col("_b") < far, "train").otherwise("test"))
-    close = rank_rows(met.filter(F.col("_b") == F.col("_cut")), [label], [F.col("_h"), F.col(key)], "_n")
-    close = close.withColumn("split", F.when(F.col("_n") <= F.col("_take"), "train").otherwise("test"))
-    return clear.select(*rows.columns, "split").unionByName(close.select(*rows.columns, "split"))
+
+
+def _split_hash(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
 # --- train -------------------------------------------------------------------

@@ -34,15 +34,17 @@ class Prepared:
 
 def prepare(spark: SparkSession, sf: str, label: str = "lang") -> Prepared:
     """Split written to files by class, then read back split by split."""
-    rows = learn.class_index(V.doc_features(spark, sf), label)
-    split = learn.stratified_split(V.table(spark, sf, "documents").select("doc_id", label), "doc_id", label)
+    documents = V.table(spark, sf, "documents").select("doc_id", label)
+    bounds = learn.split_bounds(documents, "doc_id", label)
+    # One row per class is on the driver: the vocabulary the model carries.
+    found = sorted(bounds.collect(), key=lambda r: r[label])
+    classes = [r[label] for r in found]
+    rows = learn.class_index(V.doc_features(spark, sf), label, classes=classes)
     path = new_dir(spark, "split")
-    files.write_split(rows.join(split.drop(label), "doc_id"), path, RUN_ID)
+    files.write_split(learn.stratified_split(rows, "doc_id", label, bounds=bounds), path, RUN_ID)
     train = files.read_split(spark, path, rows.schema, RUN_ID, "train")
     test = files.read_split(spark, path, rows.schema, RUN_ID, "test")
-    # One row per class comes to the driver: the vocabulary the model carries.
-    found = train.groupBy("target", label).count().orderBy("target").collect()
-    return Prepared(train, test, sum(r["count"] for r in found), [r[label] for r in found])
+    return Prepared(train, test, sum(r["quota"] for r in found), classes)
 
 
 def estimators(p: Prepared) -> dict:
@@ -134,14 +136,14 @@ def evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return learn.score_table(spark, RUN_ID, found, learn.evaluate(p.test, {c.task_id: c.model for c in found}))
 
 
-def train_and_register(spark: SparkSession, sf: str, base: str) -> tuple[Prepared, DataFrame]:
+def train_and_register(spark: SparkSession, sf: str, base: str) -> tuple[Prepared, learn.Candidate, DataFrame]:
     """Split, fit two, compare on the held-out rows, gate, register the better one."""
     p = prepare(spark, sf)
     found = learn.fit_candidates(p.train, FEATURES, estimators(p))
     accuracy = learn.evaluate(p.test, {c.task_id: c.model for c in found})
     scores = learn.score_table(spark, RUN_ID, found, accuracy)
     best = select.best_candidate(scores).first()
-    model = next(c.model for c in found if c.task_id == best["task_id"])
+    winner = next(c for c in found if c.task_id == best["task_id"])
     tags = spark.range(1).select(
         registry.version_tags(
             F.lit(RUN_ID),
@@ -152,12 +154,12 @@ def train_and_register(spark: SparkSession, sf: str, base: str) -> tuple[Prepare
             S.list_tag(p.classes),
         ).alias("tags")
     )
-    return p, registry.register(model, base, MODEL_NAME, best["accuracy"], tags)
+    return p, winner, registry.register(winner.model, base, MODEL_NAME, best["accuracy"], tags)
 
 
 @query("register", "M6")
 def register(spark: SparkSession, sf: str) -> DataFrame:
-    _, version = train_and_register(spark, sf, new_dir(spark, "registry"))
+    _, _, version = train_and_register(spark, sf, new_dir(spark, "registry"))
     return version.select("name", "version", "uri", F.explode("tags").alias("tag_key", "tag_value"))
 
 
@@ -181,19 +183,11 @@ def predict(spark: SparkSession, sf: str) -> DataFrame:
 @query("train_gate_register", "M10")
 def train_gate_register(spark: SparkSession, sf: str) -> DataFrame:
     """The whole job: split, train two, select, gate, register, score with the winner."""
-    base = new_dir(spark, "registry")
-    p, version = train_and_register(spark, sf, base)
-    info, model = registry.load_model(spark, base, MODEL_NAME)
-    scored = learn.predict(model, p.test, info["features"], info["classes"])
+    p, winner, version = train_and_register(spark, sf, new_dir(spark, "registry"))
+    scored = learn.predict(winner.model, p.test, FEATURES, p.classes)
+    kept = version.select("uri", F.col("tags.kind").alias("kind"), F.col("tags.accuracy").alias("accuracy")).first()
     return scored.select(
-        "doc_id",
-        "lang",
-        "prediction",
-        "label",
-        "confidence",
-        F.lit(info["uri"]).alias("uri"),
-        F.lit(info["kind"]).alias("kind"),
-        F.lit(info["accuracy"]).alias("accuracy"),
+        "doc_id", "lang", "prediction", "label", "confidence", *[F.lit(v).alias(n) for n, v in kept.asDict().items()]
     )
 
 
@@ -223,12 +217,12 @@ def _changes(events: DataFrame) -> DataFrame:
         .otherwise(fixed.SUCCESS)
         .alias("state"),
         F.col("event_id").alias("seq"),
-        V.epoch("ts").cast("bigint").alias("at"),
+        V.epoch("ts").cast("bigint").alias("changed_at"),
     )
 
 
 _STATE_SQL = """CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'success' END"""
-_LAST_EVENT = f"""(SELECT user_id AS run_id, {_STATE_SQL} AS state, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events
+_LAST_EVENT = f"""(SELECT user_id AS run_id, {_STATE_SQL} AS state, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS changed_at FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)"""
 
 
@@ -242,7 +236,7 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/predictions").drop("batch_id", "row")
 
 
-@query("stream_state", "R2", f"SELECT run_id, state, seq, at FROM {_LAST_EVENT} e")
+@query("stream_state", "R2", f"SELECT run_id, state, seq, changed_at FROM {_LAST_EVENT} e")
 def stream_state(spark: SparkSession, sf: str) -> DataFrame:
     feed = _changes(_stream(spark, sf, "events"))
     out = new_dir(spark, "stream")
@@ -254,7 +248,7 @@ def stream_state(spark: SparkSession, sf: str) -> DataFrame:
     "stream_stuck",
     "R3",
     f"""
-SELECT * FROM (SELECT *, max(at) OVER () - at AS stuck_for FROM {_LAST_EVENT} e) s WHERE state = 'running' AND stuck_for > 900""",
+SELECT * FROM (SELECT *, max(changed_at) OVER () - changed_at AS stuck_for FROM {_LAST_EVENT} e) s WHERE state = 'running' AND stuck_for > 900""",
 )
 def stream_stuck(spark: SparkSession, sf: str) -> DataFrame:
     feed = _changes(_stream(spark, sf, "events"))

@@ -416,7 +416,7 @@ def due(spark: SparkSession, sf: str) -> DataFrame:
     "tick",
     "T4",
     f"""
-SELECT 'schedule' AS what, dag_id, NULL AS run_id, CASE WHEN due THEN {V.NOW} ELSE last_run_at END AS at
+SELECT 'schedule' AS what, dag_id, NULL AS run_id, CASE WHEN due THEN {V.NOW} ELSE last_run_at END AS stamped_at
 FROM due_schedules WHERE due OR last_run_at IS NOT NULL
 UNION ALL
 SELECT 'run', dag_id, dag_id || '__' || strftime(make_timestamp(CAST({V.NOW} AS BIGINT) * 1000000), '%Y%m%dT%H%M%S') || '__'
@@ -426,8 +426,8 @@ SELECT 'run', dag_id, dag_id || '__' || strftime(make_timestamp(CAST({V.NOW} AS
 def tick(spark: SparkSession, sf: str) -> DataFrame:
     stamped, started = state.tick(V.schedules(spark, sf), now())
     return stamped.select(
-        F.lit("schedule").alias("what"), "dag_id", F.lit(None).cast("string").alias("run_id"), F.col("last_run_at").alias("at")
-    ).unionByName(started.select(F.lit("run").alias("what"), "dag_id", "run_id", F.col("created_at").alias("at")))
+        F.lit("schedule").alias("what"), "dag_id", F.lit(None).cast("string").alias("run_id"), F.col("last_run_at").alias("stamped_at")
+    ).unionByName(started.select(F.lit("run").alias("what"), "dag_id", "run_id", F.col("created_at").alias("stamped_at")))
 
 
 @query(

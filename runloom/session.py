@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
@@ -51,8 +52,31 @@ def stage(df: DataFrame, label: str = "stage", path: str | None = None) -> tuple
 
     This cuts the lineage: a lost executor costs a re-read, not a re-run.
     """
-    spark = df.sparkSession
-    path = path or new_dir(spark, label)
+    back, counts = stage_counted(df, {"rows": F.count(F.lit(1))}, label, path)
+    return back, counts["rows"]
+
+
+def stage_counted(
+    df: DataFrame,
+    counts: dict[str, Column],
+    label: str = "stage",
+    path: str | None = None,
+    partition_by: Sequence[str] = (),
+) -> tuple[DataFrame, dict[str, int]]:
+    """``stage`` with counts of its own, taken while the rows are written."""
+    path = path or new_dir(df.sparkSession, label)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    watched = df.observe(seen, *[c.alias(n) for n, c in counts.items()])
+    watched.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+def small_table(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """A table that should be tiny (one row per class), with its size known to the planner.
+
+    Up to ``limit`` rows become a local relation; a larger table is staged instead.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    return stage(df)[0]

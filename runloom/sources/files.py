@@ -58,7 +58,7 @@ def write_runs(rows: DataFrame, path: str, buckets: int = RUN_BUCKETS) -> None:
         )
         fresh, _ = stage(kept.select(*fresh.columns).unionByName(staged), "merged")
     (
-        fresh.repartition("run_bucket", "run_id")
+        fresh.hint("rebalance", "run_bucket")  # one file per bucket, several for a large one
         .sortWithinPartitions("run_bucket", "run_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -33,7 +33,8 @@ def require_logs(logs: DataFrame, task_id: str) -> DataFrame:
 
 def write_log_lines(lines: DataFrame, path: str) -> None:
     """``(dag_id, task_id, attempt, line)`` as text below one folder per attempt."""
-    lines.write.partitionBy("dag_id", "task_id", "attempt").text(path)
+    keys = ["dag_id", "task_id", "attempt"]
+    lines.hint("rebalance", *keys).write.partitionBy(*keys).text(path)
 
 
 def read_log_lines(spark: SparkSession, path: str, all_tries: bool = False) -> DataFrame:

@@ -87,7 +87,7 @@ def flag_stuck(
 ) -> StreamingQuery:
     """Runs that are still running ``older_than`` seconds after their last change.
 
-    ``changes(run_id, state, seq, at)``; the clock is the newest ``at`` seen.
+    ``changes(run_id, state, seq, changed_at)``; the clock is the newest time seen.
     """
     keys = list(keys)
 
@@ -95,9 +95,9 @@ def flag_stuck(
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{out}/state/batch_id={batch_id}")
         now_state = read_state(spark, f"{out}/state", batch.schema, keys)
-        now = now_state.agg(F.max("at").alias("now")).first()["now"]
-        stuck = now_state.filter((F.col("state") == fixed.RUNNING) & (F.lit(now) - F.col("at") > older_than))
-        stuck.withColumn("stuck_for", F.lit(now) - F.col("at")).write.mode("overwrite").parquet(
+        now = now_state.agg(F.max("changed_at").alias("now")).first()["now"]
+        stuck = now_state.filter((F.col("state") == fixed.RUNNING) & (F.lit(now) - F.col("changed_at") > older_than))
+        stuck.withColumn("stuck_for", F.lit(now) - F.col("changed_at")).write.mode("overwrite").parquet(
             f"{out}/stuck/batch_id={batch_id}"
         )
 
