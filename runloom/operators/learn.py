@@ -125,6 +125,7 @@ def logreg(n_rows: int, max_iter: int = 500) -> LogisticRegression:
         featuresCol="features",
         labelCol="target",
         maxIter=max_iter,
+        tol=1e-4,
         family="multinomial",
         regParam=1.0 / max(1, n_rows),
         standardization=True,
