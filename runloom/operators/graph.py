@@ -23,39 +23,30 @@ def expand_edges(chains: DataFrame) -> DataFrame:
     ``chains(dag_id, chain)``.  A list directly after a list has no meaning and is
     refused: see ``refused_chains``.
     """
-    steps = chains.withColumn("_steps", _steps(F.col("chain"))).filter(~_list_after_list(F.col("_steps")))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.size("_steps") - 2),
-        lambda i: F.struct(
-            _names(F.get(F.col("_steps"), i)).alias("up"), _names(F.get(F.col("_steps"), i + 1)).alias("down")
-        ),
-    )
+    steps = F.split(F.col("chain"), r">>")
+    links = F.arrays_zip(F.slice(steps, 1, F.size(steps) - 1).alias("up"), F.slice(steps, 2, F.size(steps)).alias("down"))
     return (
-        steps.filter(F.size("_steps") > 1)
-        .select("dag_id", F.explode(pairs).alias("p"))
-        .select("dag_id", F.explode("p.up").alias("upstream"), "p.down")
-        .select("dag_id", "upstream", F.explode("down").alias("downstream"))
+        chains.filter(~_has_list_after_list(F.col("chain")))
+        .filter(F.col("chain").contains(">>"))
+        .select("dag_id", F.explode(links).alias("l"))
+        .select("dag_id", F.explode(_names(F.col("l.up"))).alias("upstream"), "l.down")
+        .select("dag_id", "upstream", F.explode(_names(F.col("down"))).alias("downstream"))
+        .filter("upstream <> '' AND downstream <> ''")
         .distinct()
     )
 
 
 def refused_chains(chains: DataFrame) -> DataFrame:
-    return chains.filter(_list_after_list(_steps(F.col("chain"))))
+    return chains.filter(_has_list_after_list(F.col("chain")))
 
 
-def _steps(chain: Column) -> Column:
-    return F.transform(F.split(chain, ">>"), lambda s: F.trim(s))
+def _has_list_after_list(chain: Column) -> Column:
+    return chain.rlike(r"\]\s*>>\s*\[")
 
 
 def _names(step: Column) -> Column:
-    inner = F.split(F.regexp_replace(step, r"^\[|\]$", ""), ",")
-    return F.filter(F.transform(inner, lambda n: F.trim(n)), lambda n: n != "")
-
-
-def _list_after_list(steps: Column) -> Column:
-    shifted = F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0)))
-    pairs = F.arrays_zip(steps.alias("a"), shifted.alias("b"))
-    return F.exists(pairs, lambda p: F.coalesce(p["a"].startswith("[") & p["b"].startswith("["), F.lit(False)))
+    """One name, or the names of ``[a, b]``."""
+    return F.split(F.btrim(step, F.lit(" []")), r"\s*,\s*")
 
 
 def unknown_refs(edges: DataFrame, tasks: DataFrame) -> DataFrame:
