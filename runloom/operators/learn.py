@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from runloom.functions import fixed
 from runloom.functions import scalars as S
 from runloom.operators.keyed import is_small, rank_rows
-from runloom.session import small_table
+from runloom.session import local_table, small_table
 
 SPLIT_DIGITS = 4  # leading hex digits that name a bucket: 65,536 of them
 
@@ -34,7 +34,7 @@ def class_index(rows: DataFrame, label: str, name: str = "target", classes: Sequ
         place = (F.row_number().over(Window.orderBy(label)) - 1).cast("int")
         found = small_table(rows.select(label).distinct().withColumn(name, place))
     else:
-        found = rows.sparkSession.createDataFrame([(c, i) for i, c in enumerate(classes)], schema)
+        found = local_table(rows.sparkSession, [(c, i) for i, c in enumerate(classes)], schema)
     return rows.join(found, label)
 
 
@@ -65,7 +65,7 @@ def split_bounds(
     sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     quotas = train_quotas(sizes, share)
     kinds = T.StructType([rows.schema[label]]).add("place", "long")
-    wanted = spark.createDataFrame([(c, q) for c, q in quotas.items()], kinds).withColumnRenamed(label, "_class")
+    wanted = local_table(spark, list(quotas.items()), kinds).withColumnRenamed(label, "_class")
     same = F.col(label).eqNullSafe(F.col("_class"))
 
     hashed = rows.select(F.col(label), F.col(key), _split_hash(key, seed).alias("_h"))
@@ -88,7 +88,7 @@ def split_bounds(
     }
     found = [(c, sizes[c], quotas[c], *bounds.get(c, (None, None))) for c in sizes]
     schema = T.StructType([rows.schema[label]]).add("size", "long").add("quota", "long")
-    return spark.createDataFrame(found, schema.add("bound_hash", "string").add("bound_key", rows.schema[key].dataType))
+    return local_table(spark, found, schema.add("bound_hash", "string").add("bound_key", rows.schema[key].dataType))
 
 
 def stratified_split(
@@ -193,9 +193,8 @@ def evaluate(rows: DataFrame, models: Mapping[str, PipelineModel]) -> dict[str,
 def score_table(spark: SparkSession, run_id: str, found: Sequence[Candidate], accuracy: Mapping[str, float]) -> DataFrame:
     """Candidate scores as a table (one row per candidate)."""
     rows = [(run_id, c.task_id, c.kind, float(c.train_accuracy), float(accuracy[c.task_id])) for c in found]
-    return spark.createDataFrame(
-        rows, "run_id string, task_id string, kind string, train_accuracy double, accuracy double"
-    )
+    schema = "run_id string, task_id string, kind string, train_accuracy double, accuracy double"
+    return local_table(spark, rows, schema)
 
 
 # --- input contract ----------------------------------------------------------

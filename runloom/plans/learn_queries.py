@@ -12,7 +12,7 @@ from runloom.functions import fixed
 from runloom.functions import scalars as S
 from runloom.operators import learn, select, steps
 from runloom.plans.catalog import query
-from runloom.session import new_dir
+from runloom.session import local_table, new_dir
 from runloom.sources import files, registry, traces
 from runloom.sources import tables as V
 from runloom.streaming import streams
@@ -271,7 +271,7 @@ WHERE r.desired IS DISTINCT FROM r.applied GROUP BY r.app_name, r.desired, r.app
 def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     feed = V.revision_rows(_stream(spark, sf, "customer")).select("app_name", "dag_id", "desired")
     applied = V.revisions(spark, sf).filter("applied IS NOT NULL").select("app_name", F.col("applied").alias("revision"))
-    only = spark.createDataFrame([("1-URGENT",)], "dag_id string")
+    only = local_table(spark, [("1-URGENT",)], "dag_id string")
     out = new_dir(spark, "stream")
     q = streams.reconcile(feed, applied, V.app_runs(spark, sf), out, new_dir(spark, "cp"), only)
     q.awaitTermination()

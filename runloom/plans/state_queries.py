@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runloom.functions import fixed
 from runloom.operators import graph, keyed, select, state
 from runloom.plans.catalog import query
+from runloom.session import local_table
 from runloom.sources import registry
 from runloom.sources import tables as V
 
@@ -179,7 +180,7 @@ def sync_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def listed(spark: SparkSession, names: list[str]) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "dag_id string")
+    return local_table(spark, [(n,) for n in names], "dag_id string")
 
 
 @query(

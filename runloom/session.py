@@ -6,8 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _local_dirs: dict[str, str] = {}
 
@@ -71,6 +74,19 @@ def stage_counted(
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few driver-side rows as a local relation, whose size the planner knows.
+
+    Rows given to ``createDataFrame`` as a list become an RDD of unknown size, which
+    is never broadcast; an Arrow table does not.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = to_arrow_schema(kind)
+    columns = list(zip(*rows)) or [()] * len(kind)
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+    return spark.createDataFrame(table, kind)
+
+
 def small_table(df: DataFrame, limit: int = 10_000) -> DataFrame:
     """A table that should be tiny (one row per class), with its size known to the planner.
 
@@ -78,5 +94,5 @@ def small_table(df: DataFrame, limit: int = 10_000) -> DataFrame:
     """
     rows = df.limit(limit + 1).collect()
     if len(rows) <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema)
+        return local_table(df.sparkSession, rows, df.schema)
     return stage(df)[0]

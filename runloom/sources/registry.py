@@ -13,6 +13,7 @@ from runloom.functions import fixed
 from runloom.functions import scalars as S
 from runloom.operators.keyed import latest
 from runloom.operators.select import latest_version, next_version
+from runloom.session import local_table
 from runloom.sources.files import path_exists
 
 LOG_SCHEMA = (
@@ -39,7 +40,7 @@ def log_rows(
         for k, v in found.items()
     ]
     schema = LOG_SCHEMA.rsplit(",", 1)[0]
-    return spark.createDataFrame(entries, schema).withColumn("logged_at", F.current_timestamp())
+    return local_table(spark, entries, schema).withColumn("logged_at", F.current_timestamp())
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -147,7 +148,7 @@ def resolve_models(requests: DataFrame, versions: DataFrame, default_name: str)
 
 def load_model(spark: SparkSession, base: str, name: str | None = None, version: str | None = None, default_name: str = "default") -> tuple[dict, PipelineModel]:
     """The resolved row and its model; ``LookupError`` when nothing is registered."""
-    asked = spark.createDataFrame([(0, name, version)], "request_id int, name string, version string")
+    asked = local_table(spark, [(0, name, version)], "request_id int, name string, version string")
     row = resolve_models(asked, read_versions(spark, f"{base}/versions"), default_name).first().asDict()
     if row["error"]:
         raise LookupError(row["error"])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.operators.keyed import rank_rows
+from runloom.session import local_table
 
 NOW = 1706745600  # the fixed clock of every query over the given tables
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -101,13 +102,13 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 def tasks(spark: SparkSession) -> DataFrame:
     """Task list of the five DAGs: 35 fixed rows."""
     rows = [(d, t, r) for d in DAG_IDS for t, r in TASK_RETRIES.items()]
-    return spark.createDataFrame(rows, "dag_id string, task_id string, retries int")
+    return local_table(spark, rows, "dag_id string, task_id string, retries int")
 
 
 def edges(spark: SparkSession) -> DataFrame:
     """Edges of the five DAGs: 22 fixed rows."""
     rows = [(d, *e.split(">")) for d, text in DAG_EDGES.items() for e in text.split()]
-    return spark.createDataFrame(rows, "dag_id string, upstream string, downstream string")
+    return local_table(spark, rows, "dag_id string, upstream string, downstream string")
 
 
 def latest_attempts(spark: SparkSession, sf: str) -> DataFrame:
