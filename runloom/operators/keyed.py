@@ -29,6 +29,23 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return input_bytes(df) <= (SMALL_INPUT_BYTES if limit is None else limit)
 
 
+def spread(df: DataFrame, *keys: str, small: int | None = None) -> DataFrame:
+    """Rows of a small input dealt over all cores (by ``keys`` if given) before heavy work.
+
+    A small file is one split and would keep one core busy; a large table has
+    splits enough and is left alone, so that it is combined before it is shuffled.
+    """
+    if not is_small(df, small):
+        return df
+    return df.repartition(*keys) if keys else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def gather(df: DataFrame, per_task: int = 4 << 20) -> DataFrame:
+    """Few bytes in few tasks, for fits that run a job per step; large tables stay as they are."""
+    tasks = max(1, -(-input_bytes(df) // per_task))
+    return df.coalesce(tasks) if tasks < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 

@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 
 from runloom.functions import fixed
 from runloom.functions import scalars as S
-from runloom.operators.keyed import is_small, rank_rows
+from runloom.operators.keyed import gather, is_small, rank_rows
 from runloom.session import local_table, small_table
 
+MAX_CLASSES = 10_000  # per-class numbers are kept on the driver
 SPLIT_DIGITS = 4  # leading hex digits that name a bucket: 65,536 of them
 
 
@@ -62,7 +63,10 @@ def split_bounds(
     hash bucket first and only the bucket the bound lies in is ranked.
     """
     spark = rows.sparkSession
-    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(counted) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} values; it is no class label")
+    sizes = {r[label]: r["n"] for r in counted}
     quotas = train_quotas(sizes, share)
     kinds = T.StructType([rows.schema[label]]).add("place", "long")
     wanted = local_table(spark, list(quotas.items()), kinds).withColumnRenamed(label, "_class")
@@ -153,6 +157,7 @@ def fit_candidates(
     """Fits independent candidates at the same time, as Spark jobs from driver threads."""
     assemble = VectorAssembler(inputCols=list(features), outputCol="features")
     spark = train.sparkSession
+    train = gather(train)
 
     def fit(task_id: str) -> tuple[str, PipelineModel]:
         return task_id, Pipeline(stages=[assemble, estimators[task_id]]).fit(train)

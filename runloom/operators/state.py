@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runloom.functions import fixed
 from runloom.functions import scalars as S
 from runloom.operators.graph import ancestors
-from runloom.operators.keyed import latest, nest, upsert
+from runloom.operators.keyed import latest, nest, spread, upsert
 
 ENVELOPE = "ok boolean, result string, error string, traceback string"
 
@@ -101,7 +101,7 @@ def try_counts(run_tasks: DataFrame, attempts: DataFrame) -> DataFrame:
 def init_tasks(runs: DataFrame, tasks: DataFrame, existing: DataFrame) -> DataFrame:
     """Existing rows plus a pending row for each task of each run that has none."""
     fresh = (
-        runs.select("run_id", "dag_id")
+        spread(runs.select("run_id", "dag_id"))
         .join(tasks.select("dag_id", "task_id"), "dag_id")
         .select("run_id", "task_id")
         .join(existing, ["run_id", "task_id"], "left_anti")

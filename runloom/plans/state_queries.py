@@ -80,8 +80,7 @@ LEFT JOIN (SELECT run_id, task_id, {_OK} AS ok, {_VALUE} AS value,
 )
 def upstream_results(spark: SparkSession, sf: str) -> DataFrame:
     results = state.settle(decoded(spark, sf)).filter(F.col("state") == fixed.SUCCESS)
-    run_tasks = V.runs(spark, sf).select("run_id", "dag_id").join(V.tasks(spark), "dag_id")
-    found = state.upstream_results(run_tasks, V.edges(spark), results)
+    found = state.upstream_results(V.run_tasks(spark, sf), V.edges(spark), results)
     return found.select("run_id", "task_id", "ancestor", value_of(F.col("result")).alias("value"))
 
 
@@ -236,8 +235,7 @@ LEFT JOIN attempts a ON a.run_id = r.run_id AND a.task_id = t.task_id GROUP BY r
     "runs tasks attempts",
 )
 def try_counts(spark: SparkSession, sf: str) -> DataFrame:
-    run_tasks = V.runs(spark, sf).select("run_id", "dag_id").join(V.tasks(spark), "dag_id")
-    return state.try_counts(run_tasks, V.attempt_rows(spark, sf).select("run_id", "task_id"))
+    return state.try_counts(V.run_tasks(spark, sf), V.attempt_rows(spark, sf).select("run_id", "task_id"))
 
 
 @query(
@@ -269,7 +267,7 @@ WHERE copies > 1 AND attempt = 1""",
 )
 def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.attempt_rows(spark, sf).select("run_id", "task_id", "started_at", "line_status", "_order")
-    return state.duplicate_ids(rows, ["run_id", "task_id"], ["_order"]).drop("_order")
+    return state.duplicate_ids(keyed.spread(rows, "run_id", "task_id"), ["run_id", "task_id"], ["_order"]).drop("_order")
 
 
 @query(

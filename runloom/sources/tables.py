@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.operators.keyed import rank_rows
+from runloom.operators.keyed import rank_rows, spread
 from runloom.session import local_table
 
 NOW = 1706745600  # the fixed clock of every query over the given tables
@@ -105,6 +105,11 @@ def tasks(spark: SparkSession) -> DataFrame:
     return local_table(spark, rows, "dag_id string, task_id string, retries int")
 
 
+def run_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every task of every run."""
+    return spread(runs(spark, sf).select("run_id", "dag_id")).join(tasks(spark), "dag_id")
+
+
 def edges(spark: SparkSession) -> DataFrame:
     """Edges of the five DAGs: 22 fixed rows."""
     rows = [(d, *e.split(">")) for d, text in DAG_EDGES.items() for e in text.split()]
@@ -114,7 +119,7 @@ def edges(spark: SparkSession) -> DataFrame:
 def latest_attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Last attempt of each task and its number, from one fold."""
     return (
-        attempt_rows(spark, sf)
+        spread(attempt_rows(spark, sf), "run_id", "task_id")
         .groupBy("run_id", "task_id")
         .agg(
             F.count(F.lit(1)).alias("attempt"),
@@ -128,7 +133,7 @@ def latest_attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 def task_states(spark: SparkSession, sf: str) -> DataFrame:
     l = latest_attempts(spark, sf)
-    r = runs(spark, sf).select("run_id", "dag_id", F.col("state").alias("run_state"))
+    r = spread(runs(spark, sf).select("run_id", "dag_id", F.col("state").alias("run_state")))
     ok = F.coalesce(F.col("envelope").startswith('{"ok": true'), F.lit(False))
     open_line = (F.col("run_state") == "running") & (F.col("line_status") == "O") & ~ok
     return (
@@ -263,7 +268,7 @@ def metrics_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_features(spark: SparkSession, sf: str) -> DataFrame:
-    return letter_shares(table(spark, sf, "documents"))
+    return letter_shares(spread(table(spark, sf, "documents").select("doc_id", "lang", "text")))
 
 
 def letter_shares(documents: DataFrame) -> DataFrame:
@@ -302,7 +307,7 @@ def score_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("req_id"),
         "l_linenumber",
         F.concat(
@@ -350,7 +355,7 @@ def chain_texts(spark: SparkSession, sf: str) -> DataFrame:
     p = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     t = F.concat(F.lit("t"), n.cast("string"))
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("dag_id"),
         F.when(n % 4 == 0, F.concat(t, F.lit(" >> ["), p, F.lit(", "), s, F.lit("] >> end")))
         .when(n % 4 == 1, F.concat(F.lit("["), p, F.lit(","), s, F.lit("] >> "), t))

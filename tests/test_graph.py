@@ -8,7 +8,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from runloom.operators import graph
+from runloom.operators import graph, keyed
 
 EDGE = "dag_id string, upstream string, downstream string"
 TASK = "dag_id string, task_id string"
@@ -100,6 +100,19 @@ def test_order_and_ancestors_of_random_graphs(spark, seed):
     assert followed == {w for w in want if w[1] in ("n00", "n05")}
 
 
+def test_order_of_a_hot_dag_by_slices(spark, monkeypatch):
+    """No input counts as small, so the frequent DAG is ranked slice by slice."""
+    monkeypatch.setattr(keyed, "SMALL_INPUT_BYTES", 0)
+    graphs = random_graphs(7, n_dags=4, hot=30)
+    tasks = spark.createDataFrame([(g, n) for g, (names, _) in graphs.items() for n in names], TASK)
+    edges = spark.createDataFrame([(g, u, d) for g, (_, es) in graphs.items() for u, d in es], EDGE)
+    order, stuck = graph.topo_order(tasks, edges)
+    rows = order.orderBy("dag_id", "position").collect()
+    for g, (names, es) in graphs.items():
+        assert [r["task_id"] for r in rows if r["dag_id"] == g] == drain(names, es)
+    assert stuck.isEmpty()
+
+
 def test_ancestors_stop_on_cycles(spark):
     e = edges_of(spark, "a>b b>c c>a c>d")
     want = {(n, a) for n in "abcd" for a in "abc"}
