@@ -21,7 +21,7 @@ def main() -> None:
     chosen = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or list(QUERIES)
     spark = local_session(cores)
     spark.sparkContext.setLogLevel("ERROR")
-    for name in ("run_outcome", "recent_runs"):  # starts the JVM's compilers
+    for name in ("run_outcome", "train_gate_register", "row_function"):  # starts compilers and Python workers
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}
     for name in chosen:
