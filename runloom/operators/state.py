@@ -113,23 +113,26 @@ def init_tasks(runs: DataFrame, tasks: DataFrame, existing: DataFrame) -> DataFr
 def ready_tasks(states: DataFrame, edges: DataFrame) -> DataFrame:
     """Pending or unseen tasks whose every parent succeeded.
 
-    Parents that succeeded are counted per child and compared with the child's
-    in-degree, so the state table meets itself on (run, task), never on the run.
+    One pass over the state table: each row says whether its own task is pending
+    and counts as one for its children when it succeeded.  The sums per (run, task)
+    are combined before the only shuffle and compared with the in-degree.
     """
-    e = edges.select("dag_id", "upstream", "downstream").distinct()
+    e = edges.select("dag_id", F.col("upstream").alias("task_id"), "downstream").distinct()
     need = e.groupBy("dag_id", F.col("downstream").alias("task_id")).agg(F.count(F.lit(1)).alias("need"))
-    met = (
-        states.filter(F.col("state") == fixed.SUCCESS)
-        .select("run_id", "dag_id", F.col("task_id").alias("upstream"))
-        .join(e, ["dag_id", "upstream"])
-        .groupBy("run_id", F.col("downstream").alias("task_id"))
-        .agg(F.count(F.lit(1)).alias("met"))
-    )
+    pending = F.coalesce("state", F.lit(fixed.PENDING)) == fixed.PENDING
+    done = F.coalesce(F.col("state") == fixed.SUCCESS, F.lit(False))
+    own = F.struct(F.col("task_id").alias("t"), pending.alias("pending"), F.lit(0).alias("met"))
+    child = F.struct(F.col("downstream").alias("t"), F.lit(False).alias("pending"), done.cast("int").alias("met"))
     return (
-        states.filter(F.coalesce("state", F.lit(fixed.PENDING)) == fixed.PENDING)
+        states.select("run_id", "dag_id", "task_id", "state")
+        .join(e, ["dag_id", "task_id"], "left")
+        .select("run_id", "dag_id", F.explode(F.array(own, child)).alias("s"))
+        .filter(F.col("s.t").isNotNull() & (F.col("s.pending") | (F.col("s.met") > 0)))
+        .groupBy("run_id", "dag_id", F.col("s.t").alias("task_id"))
+        .agg(F.bool_or("s.pending").alias("pending"), F.sum("s.met").alias("met"))
+        .filter("pending")
         .join(need, ["dag_id", "task_id"], "left")
-        .join(met, ["run_id", "task_id"], "left")
-        .filter(F.coalesce("need", F.lit(0)) == F.coalesce("met", F.lit(0)))
+        .filter(F.coalesce("need", F.lit(0)) == F.col("met"))
         .select("run_id", "dag_id", "task_id")
     )
 
