@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import kneser_ney
+from runloom.llm import kneser_ney, minmax, packing, toxicity
 from runloom.llm.common import read
 from runloom.session import stage
 
@@ -23,7 +23,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("quality", quality)]
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that score as toxic."""
+    machine = toxicity.fit(docs, toxicity.train_labels(read(spark, sf_dir, "labels")))
+    return toxicity.score(docs, machine, "_toxicity").where(F.col("_toxicity") < toxicity.TOXIC_FROM).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component; rows that repeat an id stay once."""
+    dropped = minmax.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    return packing.pack_documents(spark, docs)
+
+
+STAGES = [("quality", quality), ("toxicity", toxic), ("near copies", near_copies), ("packing", packed)]
 
 ORACLE_SQL = None
 """Language-model scores, a trained model and best-fit packing are beyond SQL; the tests use brute force."""

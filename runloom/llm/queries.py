@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runloom.llm import kneser_ney
+from runloom.llm import kneser_ney, minmax, packing, toxicity
 from runloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +24,25 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity and verdict; the texts of quality 1 are the trusted ones."""
     trusted = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return kneser_ney.classify(read(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score; labels of the held-out third are never read by the fit."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, toxicity.train_labels(read(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, machine)
+    predicted = (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
+
+
+@query
+def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate component."""
+    return minmax.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    return packing.pack_documents(spark, read(spark, sf_dir, "documents"))
