@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.llm.common import flagged, utf8_bytes
+from runloom.llm.common import BROADCAST_ROWS, flagged, utf8_bytes
 from runloom.session import new_dir, stage
 
 ORDER = 5
@@ -149,12 +149,17 @@ def _discounts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("lang").agg(*n).select("lang", *[rule(k) for k in (1, 2, 3)])
 
 
-def _probabilities(entries: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, p) of every asked n-gram of an order; ``entries`` has (lang, gram, c), c = 0 where never seen."""
+def _probabilities(entries: DataFrame, order: int, few_langs: bool) -> DataFrame:
+    """(lang, gram, p) of every asked n-gram of an order; ``entries`` has (lang, gram, c), c = 0 where never seen.
+
+    ``few_langs``: the languages were counted and are few enough to broadcast their discounts,
+    so that no shuffle deals n-grams by language.
+    """
+    discounts = F.broadcast(_discounts(entries)) if few_langs else _discounts(entries)
     around = Window.partitionBy("lang", "context")
     d = F.expr("CASE WHEN c = 0 THEN 0 WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END")
     rows = (
-        entries.join(_discounts(entries), "lang")
+        entries.join(discounts, "lang")
         .withColumn("context", F.shiftright("gram", 8))
         .withColumn("cut", d)
         .withColumn("total", F.sum("c").over(around))
@@ -166,7 +171,7 @@ def _probabilities(entries: DataFrame, order: int) -> DataFrame:
         suffix = F.col("gram").bitwiseAND((1 << (8 * (order - 1))) - 1)
         seen = F.when(F.col("c") > 0, 1).otherwise(0)
         below = entries.groupBy("lang", suffix.alias("gram")).agg(F.sum(seen).alias("c"))
-        lower = _probabilities(below, order - 1).select(F.col("lang").alias("_l"), F.col("gram").alias("_g"), F.col("p").alias("q"))
+        lower = _probabilities(below, order - 1, few_langs).select(F.col("lang").alias("_l"), F.col("gram").alias("_g"), F.col("p").alias("q"))
         shorter = rows.withColumn("suffix", suffix).join(lower, (F.col("lang") == F.col("_l")) & (F.col("suffix") == F.col("_g")))
     p = F.when(F.col("total") > 0, (F.col("c") - F.col("cut") + F.col("left") * F.col("q")) / F.col("total")).otherwise(F.col("q"))
     return shorter.select("lang", "gram", p.alias("p"))
@@ -193,7 +198,8 @@ def score_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         "block", "lang", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n")
     )
     entries = stage(asked.groupBy("lang", "gram").agg(F.sum("n").alias("c")), "counts")[0]
-    model = _probabilities(entries, ORDER).select("lang", "gram", (-F.log2("p")).cast("float").alias("bits"))
+    few_langs = entries.select("lang").distinct().count() <= BROADCAST_ROWS
+    model = _probabilities(entries, ORDER, few_langs).select("lang", "gram", (-F.log2("p")).cast("float").alias("bits"))
     answers = asked.select("block", "lang", "gram").join(model, ["lang", "gram"]).select(F.col("block").alias("asker"), "gram", "bits")
     bodies = spark.table(name).select("block", "lang", "doc_ids", "trusted", "ends", "body")
     return bodies.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_score, SCORED)
