@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import kneser_ney, minmax, packing, toxicity
+from runloom.llm import kneser_ney, minmax, packing, surrogates, toxicity
 from runloom.llm.common import read
+from runloom.llm.queries import KEY
 from runloom.session import stage
 
 
@@ -35,12 +36,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by surrogates."""
+    return surrogates.pseudonymise(docs, KEY).select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
     return packing.pack_documents(spark, docs)
 
 
-STAGES = [("quality", quality), ("toxicity", toxic), ("near copies", near_copies), ("packing", packed)]
+STAGES = [("quality", quality), ("toxicity", toxic), ("near copies", near_copies), ("personal data", private), ("packing", packed)]
 
 ORACLE_SQL = None
 """Language-model scores, a trained model and best-fit packing are beyond SQL; the tests use brute force."""

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import kneser_ney, minmax, packing, toxicity
+from runloom.llm import kneser_ney, minmax, packing, surrogates, toxicity
 from runloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+KEY = b"a key for the registered query; real ones are secret"
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -36,6 +38,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
 
 
+@query
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with personal data replaced, and how many mentions were."""
+    docs = surrogates.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    return docs.select("doc_id", "text", F.col("_n_replaced").alias("n_replaced"))
+
+
 @query
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate component."""
