@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import kneser_ney, minmax, packing, surrogates, toxicity
+from runloom.llm import kneser_ney, licences, minmax, packing, pq, spm, surrogates, topk, toxicity, warc
 from runloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, as a digest, and whether decoding them gives the text again."""
+    import public_tokenizers
+
+    vocabulary = spm.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return spm.check(read(spark, sf_dir, "documents"), vocabulary)
+
+
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity and verdict; the texts of quality 1 are the trusted ones."""
@@ -28,6 +37,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(read(spark, sf_dir, "documents"), trusted)
 
 
+@query
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best licence notice."""
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
+SQL["op3_licences"] = licences.oracle_sql()
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score; labels of the held-out third are never read by the fit."""
@@ -38,6 +56,35 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
 
 
+@query
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors of highest inner product with every hundredth one."""
+    vectors = topk.integers(read(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0").select("vec_id"))
+
+
+SQL["op5_topk"] = """
+    WITH fine AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+    SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+"""
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and plain-text records of every page."""
+    return warc.derive(warc.responses(read(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
+SQL["op6_warc"] = warc.oracle_sql()
+
+
 @query
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with personal data replaced, and how many mentions were."""
@@ -51,6 +98,12 @@ def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component."""
+    return pq.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
