@@ -3,9 +3,9 @@
 Each permutation of the shingle hashes gives two signature values, its minimum and its
 maximum, so 80 evaluations per shingle make 160 values: 32 bands of 5. Texts with the
 same shingle set are one class; classes that share a band are candidates and every
-link is confirmed on the full sets. Only what decides the components is tested: the
-members of a bucket are held against its centre, then against other centres while
-their components differ, and what is left pairwise.
+link is confirmed on the full sets. Only what decides the components is tested: first the
+members of a bucket are held against its centre; where buckets then still hold several
+components, blocks of their members are compared in tasks that give out nothing but links.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ WORDS = 5
 PERCENT = 75
 PERMUTATIONS = 80
 BAND = 5
-STAR_ROUNDS = 4
+BLOCK_MEMBERS, BLOCK_SHINGLES = 64, 65_536
 SLICE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
@@ -172,6 +172,70 @@ def _alike(percent: int):
     return (F.lit(100) * small >= F.lit(percent) * large) & (differ <= most)
 
 
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, component) of every candidate."""
+    merged = components(links).withColumnRenamed("node", "rep")
+    return stage(nodes.select("rep").join(merged, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels")[0]
+
+
+def _undecided(members: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """What buckets that still hold several components leave to compare: blocks of clusters, or None.
+
+    Buckets that share members form a cluster. Its members are dealt to blocks of about
+    ``BLOCK_MEMBERS`` rows and ``BLOCK_SHINGLES`` shingles, and a row goes to each pair of blocks
+    that its own is in.
+    """
+    held = stage(members.join(label, "rep"), "held")[0]
+    keys = held.groupBy("key").agg(F.min("rep").alias("centre"), F.min("component").alias("least"), F.max("component").alias("most"))
+    inside, n = stage(held.join(keys.where("least < most").select("key", "centre"), "key").select("rep", "centre").distinct(), "open")
+    if not n:
+        return None
+    cluster = components(inside).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    short = F.transform("shingles", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("shingles")
+    rows = stage(
+        cluster.join(label, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "cluster", "component", F.size("shingles").alias("n"), short),
+        "clustered",
+    )[0]
+    sizes = rows.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        (F.min("component") < F.max("component")).alias("several"),
+    )
+    dealt = rows.join(sizes.where("several"), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    partner = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return partner.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component", "n", "shingles")
+
+
+def _compare(rows: pa.Table, percent: int) -> pa.Table:
+    """Pairs of one pair of blocks, of different components, that are similar enough by 31-bit shingles.
+
+    Shortened hashes can only agree more often than whole ones, so no link is lost.
+    """
+    rep, component, block = (rows.column(c).to_numpy() for c in ("rep", "component", "block"))
+    n, lists = rows.column("n").to_numpy().astype(np.int64), rows.column("shingles").combine_chunks()
+    lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+    right = np.flatnonzero(block == hi)
+    left = np.flatnonzero(block == lo)
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(left) and len(right) and component.min() < component.max():
+        values = [lists[int(i)].values.to_numpy() for i in right]
+        flat, owner = np.concatenate(values), np.repeat(np.arange(len(right)), [len(v) for v in values])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for i in left.tolist():
+            wanted = lists[i].values.to_numpy()
+            first, last = np.searchsorted(flat, wanted), np.searchsorted(flat, wanted, "right")
+            hits = last - first
+            at = np.repeat(first - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
+            shared = np.bincount(owner[at], minlength=len(right))
+            near = (100 * shared >= percent * (n[i] + n[right] - shared)) & (component[right] != component[i])
+            if lo == hi:
+                near &= rep[right] > rep[i]
+            found = rep[right[near]]
+            out_a.append(np.minimum(found, rep[i]))
+            out_b.append(np.maximum(found, rep[i]))
+    return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -197,43 +261,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min(F.struct("fp1", "shingles"))["shingles"].alias("shingles")
     )
     sets = stage(sets, "sets")[0]
-    links, tested = None, None
-    label = members.select("rep").distinct().withColumn("component", F.col("rep"))
-    for number in range(STAR_ROUNDS + 1):
-        open_members = members.join(label, "rep")
-        open_keys = open_members.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"),
-            F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(number)) if number else F.col("rep")).alias("centre"),
-        ).where("lo < hi")
-        open_keys, n_open = stage(open_keys, "open")
-        if not n_open:
-            break
-        last = number == STAR_ROUNDS or open_keys.agg(F.sum(F.col("size") * F.col("size"))).first()[0] <= 20 * n_open
-        inside = open_members.join(open_keys.select("key", "centre"), "key")
-        if last:
-            mine = open_members.join(open_keys.select("key"), "key")
-            other = mine.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = mine.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")).join(other, "key").where("a < b AND ca <> cb")
-        else:
-            pairs = inside.where("component <> centre.component").select(
-                F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")
-            )
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        side = lambda x: sketch.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
-        fit = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(percent)).select("a", "b")
-        fit = stage(fit, "pairs")[0]
-        tested = fit if tested is None else tested.unionAll(fit)
-        found = stage(_confirmed(fit, sets, percent), "links")[0]
-        links = found if links is None else links.unionAll(found)
-        merged = components(links)
-        label = stage(
-            members.select("rep").distinct().join(merged.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("rep", F.coalesce("component", "rep").alias("component")), "labels"
-        )[0]
-        if last:
-            break
+    centres = members.groupBy("key").agg(F.min("rep").alias("centre"))
+    stars = members.join(centres, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    side = lambda x: sketch.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    fit = stage(stars.join(side("a"), "a").join(side("b"), "b").where(_alike(percent)).select("a", "b"), "pairs")[0]
+    links = stage(_confirmed(fit, sets, percent), "links")[0]
+    label = _labels(sketch, links)
+    undecided = _undecided(members, label, sets)
+    if undecided is not None:
+
+        def compare(rows: pa.Table) -> pa.Table:
+            return _compare(rows, percent)
+
+        close = undecided.groupBy("cluster", "lo", "hi").applyInArrow(compare, "a long, b long")
+        more = stage(_confirmed(close.distinct(), sets, percent), "links")[0]
+        label = _labels(sketch, links.unionAll(more))
     of_class = classes.select(*mark, "rep").join(label, "rep", "left").select(*mark, F.coalesce("component", "rep").alias("component_id"))
     part = signed.select("doc_id", *mark)
     out = part.join(of_class, mark, "left").withColumn(
