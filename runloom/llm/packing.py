@@ -28,7 +28,7 @@ GROUP_ROWS = 4096
 ROUNDS = 4
 SLICE_BYTES = 4 << 20
 CACHED_CHUNKS = 700_000
-"""Chunks (and words) whose ids a Python worker remembers; when full it starts afresh."""
+"""Chunks (and words) whose ids a Python worker remembers before a slice of texts; when full it starts afresh."""
 
 _SIMPLE = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")
 
@@ -50,10 +50,6 @@ class ChunkIds:
         self.parts: dict[str, bytes] = {}
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.chunks) + len(new) > CACHED_CHUNKS:
-            self.chunks.clear()
-        if len(self.parts) > CACHED_CHUNKS:
-            self.parts.clear()
         split = {}
         for chunk in new:
             text = chunk.decode()
@@ -69,16 +65,14 @@ class ChunkIds:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, four little-endian bytes each."""
+        for cache in (self.chunks, self.parts):
+            if len(cache) > CACHED_CHUNKS:
+                cache.clear()
         cut = [t.encode("utf-8", "replace").split() for t in texts]
         wanted = set()
         for c in cut:
             wanted.update(c)
-        wanted = {c for c in wanted if c not in self.chunks}
-        if wanted:
-            size = len(self.chunks)
-            self._learn(wanted)
-            if len(self.chunks) < size:  # forgot the old ones
-                self._learn({c for cs in cut for c in cs if c not in self.chunks})
+        self._learn({c for c in wanted if c not in self.chunks})
         ids = self.chunks
         for c in cut:
             yield b"".join([ids[x] for x in c])

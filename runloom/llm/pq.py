@@ -58,10 +58,12 @@ def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, n: int, width: int) -> Index:
-    """Centroids and code books from the vectors of the lowest id hashes; ``vectors``: (id, vec)."""
+    """Centroids and code books (none, if there are no vectors) from the vectors of the lowest id hashes; ``vectors``: (id, vec)."""
     width = -(-width // SUBSPACES) * SUBSPACES
     rows = vectors.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     empty = Index(np.zeros((0, width)), np.zeros((SUBSPACES, 0, width // SUBSPACES)), width)
+    if not rows:
+        return empty
     x = empty.units([r["vec"] for r in rows])
     lists = min(MOST_LISTS, max(LEAST_LISTS, 1 << max(0, (n // LIST_ROWS).bit_length())))
     centroids = _kmeans(x, min(lists, len(x)), 8)
