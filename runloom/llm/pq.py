@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from runloom.llm.components import components
 from runloom.session import stage
 
 LEAST_COSINE = 0.95
-SAMPLE = 32_768
+SAMPLE = 16_384
 """Vectors that the centroids and code books are fitted on, at most; every vector is indexed."""
 LIST_ROWS, LEAST_LISTS, MOST_LISTS = 128, 16, 4096
 SUBSPACES, WORDS = 8, 256
@@ -38,11 +39,14 @@ class Index:
     books: np.ndarray
     width: int
 
-    def units(self, vectors: list) -> np.ndarray:
+    def units(self, vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
         """Unit vectors in double precision, padded with zeros to the index's width."""
-        out = np.zeros((len(vectors), self.width))
-        for row, v in zip(out, vectors):
-            row[: len(v)] = v
+        lengths = np.asarray(pc.list_value_length(vectors), dtype=np.int64)
+        values = np.asarray(pc.list_flatten(vectors), dtype=np.float64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        column = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        out = np.zeros((len(lengths), self.width))
+        out[row, column] = values
         return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -60,11 +64,11 @@ def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 def fit(vectors: DataFrame, n: int, width: int) -> Index:
     """Centroids and code books (none, if there are no vectors) from the vectors of the lowest id hashes; ``vectors``: (id, vec)."""
     width = -(-width // SUBSPACES) * SUBSPACES
-    rows = vectors.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    rows = vectors.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     empty = Index(np.zeros((0, width)), np.zeros((SUBSPACES, 0, width // SUBSPACES)), width)
-    if not rows:
+    if not rows.num_rows:
         return empty
-    x = empty.units([r["vec"] for r in rows])
+    x = empty.units(rows.column("vec"))
     lists = min(MOST_LISTS, max(LEAST_LISTS, 1 << max(0, (n // LIST_ROWS).bit_length())))
     centroids = _kmeans(x, min(lists, len(x)), 8)
     own = (x @ centroids.T - 0.5 * (centroids**2).sum(1)).argmax(1)
@@ -81,7 +85,7 @@ def _encode(batches: Iterator[pa.RecordBatch], index, least: float) -> Iterator[
     reach = PROBE_SIGMAS * np.sqrt(2 * (1 - least)) / np.sqrt(ix.width)
     for whole in batches:
         for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
-            x = ix.units(batch.column("vec").to_pylist())
+            x = ix.units(batch.column("vec"))
             far = 1 + norms - 2 * x @ centroids.T
             own = far.argmin(1)
             rows = np.arange(len(x))
@@ -120,7 +124,7 @@ def _search(members: pa.Table, queries: pa.Table, index, least: float) -> pa.Tab
     ix, cell = index.value, members.column("list")[0].as_py()
     y_id, x_id = members.column("id").to_numpy(), queries.column("x_id").to_numpy()
     y_copies, x_copies = members.column("copies").to_numpy(), queries.column("x_copies").to_numpy()
-    y, x = ix.units(members.column("vec").to_pylist()), ix.units(queries.column("x_vec").to_pylist())
+    y, x = ix.units(members.column("vec")), ix.units(queries.column("x_vec"))
     codes = np.frombuffer(b"".join(members.column("code").to_pylist()), np.uint8).reshape(len(y), SUBSPACES)
     rest = (x - ix.centroids[cell]).reshape(len(x), SUBSPACES, -1)
     far = np.zeros((len(x), len(y)))
