@@ -6,6 +6,8 @@ to the shared work folder, so plans stay short and a lost executor costs a re-re
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,14 +16,12 @@ from runloom.functions import fixed
 from runloom.operators.keyed import nest, rank_rows
 from runloom.session import new_dir, stage, stage_counted
 
-MAX_ROUNDS = 100_000
-
 
 def expand_edges(chains: DataFrame) -> DataFrame:
     """Edges of chains ``a >> [b, c] >> d``; the edges of a DAG are a set.
 
-    ``chains(dag_id, chain)``.  A list directly after a list has no meaning and is
-    refused: see ``refused_chains``.
+    ``chains(dag_id, chain)``.  A list directly after a list has no meaning: such a
+    chain gives no edge but is a row of ``refused_chains``; ``expand_or_refuse`` gives both.
     """
     steps = F.split(F.col("chain"), r">>")
     links = F.arrays_zip(F.slice(steps, 1, F.size(steps) - 1).alias("up"), F.slice(steps, 2, F.size(steps)).alias("down"))
@@ -40,6 +40,13 @@ def refused_chains(chains: DataFrame) -> DataFrame:
     return chains.filter(_has_list_after_list(F.col("chain")))
 
 
+def expand_or_refuse(chains: DataFrame) -> DataFrame:
+    """The edges, and each chain that is refused with its text in ``refused`` and no ends."""
+    none = F.lit(None).cast("string")
+    refused = refused_chains(chains).select("dag_id", none.alias("upstream"), none.alias("downstream"), F.col("chain").alias("refused"))
+    return expand_edges(chains).withColumn("refused", none).unionByName(refused)
+
+
 def _has_list_after_list(chain: Column) -> Column:
     return chain.rlike(r"\]\s*>>\s*\[")
 
@@ -123,7 +130,7 @@ def _follow(edges: DataFrame, of: DataFrame) -> DataFrame:
     start = of.select("dag_id", "task_id").distinct().withColumn("_at", F.col("task_id"))
     step = start.join(up, ["dag_id", "_at"]).select("dag_id", "task_id", "ancestor").distinct()
     schema = step.schema
-    for i in range(MAX_ROUNDS):
+    for i in count():
         _, n = stage(step, path=f"{base}/round={i}")
         known = spark.read.schema(schema).parquet(base)
         if n == 0:
@@ -136,7 +143,6 @@ def _follow(edges: DataFrame, of: DataFrame) -> DataFrame:
             .distinct()
             .join(known.select("dag_id", "task_id", "ancestor"), ["dag_id", "task_id", "ancestor"], "left_anti")
         )
-    raise RuntimeError(f"not done after {MAX_ROUNDS} rounds")
 
 
 def topo_order(tasks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +163,7 @@ def topo_order(tasks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     arrived = roots(tasks.select("dag_id", "task_id").distinct(), links).select(
         "dag_id", "task_id", zero.alias("seen"), zero.alias("need"), zero.alias("last")
     )
-    for level in range(MAX_ROUNDS):
+    for level in count():  # every level drains a task, so this ends
         # One job per level: who is complete now, and their rank inside the level.
         flagged = arrived.withColumn("done", F.col("seen") == F.col("need"))
         ranked = rank_rows(flagged, ["dag_id", "done"], [F.col("last"), F.col("task_id")], "rank")
@@ -176,8 +182,6 @@ def topo_order(tasks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
             .groupBy("dag_id", "task_id")
             .agg(F.sum("seen").alias("seen"), F.max("need").alias("need"), F.max("last").alias("last"))
         )
-    else:
-        raise RuntimeError(f"not drained after {MAX_ROUNDS} levels")
 
     schema = T.StructType([*here.schema.fields, T.StructField("level", T.IntegerType())])
     drained = spark.read.schema(schema).parquet(base).filter("done").select("dag_id", "task_id", "level", "rank")
@@ -194,28 +198,46 @@ def topo_order(tasks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return order, stuck
 
 
-def spread_failure(states: DataFrame, edges: DataFrame) -> DataFrame:
+def spread_failure(states: DataFrame, edges: DataFrame, now: Column | None = None) -> DataFrame:
     """Pending tasks below a failed one become ``upstream_failed``, naming it.
 
     ``states(run_id, dag_id, task_id, state, finished_at, ...)`` comes back whole
-    with an ``error`` column.  Reachability is worked out once per DAG, then met
-    with the failed rows of each run.  The first failure by (finished_at, task_id)
-    is named.
+    with an ``error`` column, and with ``now`` as the end of the tasks that were hit.
+    The first failure by (finished_at, task_id) is named.  Blame walks down the
+    edges from the failed rows, one edge per round; a task passes on only the
+    first blame it has met, and only when that is better than before.
     """
-    below = ancestors(edges).select("dag_id", F.col("ancestor").alias("seed"), "task_id")
-    failed = states.filter(F.col("state") == fixed.FAILED).select(
-        "run_id", "dag_id", F.col("task_id").alias("seed"), "finished_at"
-    )
+    spark = states.sparkSession
+    base = new_dir(spark, "blame")
+    down = edges.select("dag_id", F.col("upstream").alias("task_id"), "downstream").distinct()
+    key = ["run_id", "dag_id", "task_id"]
+    first = F.struct("finished_at", "seed")
+    front = states.filter(F.col("state") == fixed.FAILED).select(*key, "finished_at", F.col("task_id").alias("seed"))
+    schema = front.schema
+    for i in count():
+        hit = (
+            front.join(down, ["dag_id", "task_id"])
+            .select("run_id", "dag_id", F.col("downstream").alias("task_id"), "finished_at", "seed")
+            .groupBy(*key)
+            .agg(F.min(first).alias("b"))
+        )
+        if i:
+            known = spark.read.schema(schema).parquet(base).groupBy(*key).agg(F.min(first).alias("k"))
+            hit = hit.join(known, key, "left").filter(F.col("k").isNull() | (F.col("b") < F.col("k")))
+        _, n = stage(hit.select(*key, "b.finished_at", "b.seed"), path=f"{base}/round={i}")
+        if n == 0:
+            break
+        front = spark.read.schema(schema).parquet(f"{base}/round={i}")
     blame = (
-        failed.join(below, ["dag_id", "seed"])
-        .groupBy("run_id", "task_id")
-        .agg(F.min_by("seed", F.struct("finished_at", "seed")).alias("blamed"))
+        spark.read.schema(schema).parquet(base).groupBy("run_id", "dag_id", "task_id").agg(F.min(first)["seed"].alias("blamed"))
     )
     out = states if "error" in states.columns else states.withColumn("error", F.lit(None).cast("string"))
     hit = (F.col("state") == fixed.PENDING) & F.col("blamed").isNotNull()
+    ended = F.col("finished_at") if now is None else F.when(hit, now).otherwise(F.col("finished_at"))
     return (
-        out.join(blame, ["run_id", "task_id"], "left")
+        out.join(blame, key, "left")
         .withColumn("error", F.when(hit, F.format_string(fixed.UPSTREAM, "blamed")).otherwise(F.col("error")))
+        .withColumn("finished_at", ended)
         .withColumn("state", F.when(hit, fixed.UPSTREAM_FAILED).otherwise(F.col("state")))
-        .drop("blamed")
+        .select(*out.columns)
     )

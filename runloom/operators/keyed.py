@@ -1,8 +1,8 @@
 """Ranking and list building per key that stay whole when one key is hot.
 
-A window or ``collect_list`` puts a whole key into one task.  These helpers do
-that only while the input is small or no key is frequent; frequent keys are cut
-into range slices, ranked slice by slice and shifted by the rows before.
+A window or ``collect_list`` puts a whole key into one task.  Here rows are cut into
+range slices by (key, order) of a fixed number of rows, ranked slice by slice and
+shifted by the rows before; an input of one slice is the plain window.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runloom.session import stage
 
 SMALL_INPUT_BYTES = 256 << 20  # below this one task can sort the whole input
-HOT_SHARE = 0.01  # a key above this share of all rows is cut into slices
+SLICE_BYTES = 64 << 20  # an input that reads no more is one slice
+SLICE_ROWS = 1_000_000  # rows of a slice, about
 LIST_CHUNK = 10_000  # longest list put into one row
 
 
@@ -50,53 +52,33 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of keys above ``share`` of the rows, from one sketch pass (no shuffle).
-
-    At most ``1 / share`` of them.  A wrong guess changes the plan, never the rows.
-    """
-    k = int(1 / share)
-    row = (
-        df.select(key_hash(keys).alias("h"))
-        .agg(
-            F.expr(f"approx_top_k(h, {k}, {max(10_000, 50 * k)})").alias("top"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .first()
-    )
-    return [t["item"] for t in (row["top"] or []) if t["count"] > share * row["n"]]
-
-
 def rank_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    small: int | None = None,
-    hot_share: float = HOT_SHARE,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, slice_rows: int | None = None
 ) -> DataFrame:
-    """``row_number() over (partition by keys order by order)`` as bigint ``name``."""
-    keys = list(keys)
+    """``row_number() over (partition by keys order by order)`` as bigint ``name``.
 
-    def plain(rows: DataFrame) -> DataFrame:
+    No task ranks more than about ``slice_rows`` rows, whatever share of them a key
+    has.  The input is worked out once (staged) and the slices are cut from that.
+    Rows with equal keys and order may lie in several slices: a hash of the row
+    breaks such ties.
+    """
+    keys = list(keys)
+    parts = 1
+    if slice_rows is not None or not is_small(df, SLICE_BYTES):
+        df, n = stage(df, "unranked")
+        parts = max(1, -(-n // (slice_rows or SLICE_ROWS)))
+    if parts == 1:
         w = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumn(name, F.row_number().over(w).cast("bigint"))
-
-    if is_small(df, small):
-        return plain(df)
-    hot = hot_hashes(df, keys, hot_share)
-    if not hot:
-        return plain(df)
-    is_hot = key_hash(keys).isin(hot)
-    return plain(df.filter(~is_hot)).unionByName(_rank_sliced(df.filter(is_hot), keys, order, name))
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+    return _rank_sliced(df, keys, order, name, parts)
 
 
-def _rank_sliced(df: DataFrame, keys: list[str], order: Sequence[Column], name: str) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _rank_sliced(df: DataFrame, keys: list[str], order: Sequence[Column], name: str, parts: int) -> DataFrame:
+    tie = F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)])
     sliced, _ = stage(
-        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn(
-            "_slice", F.spark_partition_id()
-        ),
+        df.withColumn("_tie", tie)
+        .repartitionByRange(parts, *[F.col(k) for k in keys], *order, F.col("_tie"))
+        .withColumn("_slice", F.spark_partition_id()),
         "slices",
     )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +88,7 @@ def _rank_sliced(df: DataFrame, keys: list[str], order: Sequence[Column], name:
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .drop("_rows")
     )
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order, F.col("_tie"))
     ranked = sliced.withColumn("_rn", F.row_number().over(local)).alias("r")
     o = offsets.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"), "_before")
     cond = F.col("_slice") == F.col("_s")
@@ -123,14 +105,14 @@ def nest(
     item: Column,
     name: str,
     chunk: int = LIST_CHUNK,
-    small: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """One ordered array per key, in rows of at most ``chunk`` entries.
 
     ``chunk`` 0 is the whole list for every key that fits; longer lists go on in
     chunk 1, 2, ... so no entry is dropped and no task holds an unbounded list.
     """
-    ranked = rank_rows(df.withColumn("_item", item), keys, order, "_n", small)
+    ranked = rank_rows(df.withColumn("_item", item), keys, order, "_n", slice_rows)
     return (
         ranked.groupBy(*keys, F.expr(f"(_n - 1) div {chunk}").alias("chunk"))
         .agg(F.sort_array(F.collect_list(F.struct("_n", "_item"))).alias("_list"))

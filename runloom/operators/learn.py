@@ -28,7 +28,7 @@ SPLIT_DIGITS = 4  # leading hex digits that name a bucket: 65,536 of them
 
 # --- split -------------------------------------------------------------------
 def class_index(rows: DataFrame, label: str, name: str = "target", classes: Sequence | None = None) -> DataFrame:
-    """Adds the 0-based place of ``label`` in the sorted list of its values."""
+    """Adds the 0-based place of ``label`` in the sorted list of its values (a null label comes first)."""
     schema = T.StructType([rows.schema[label]]).add(name, "integer")
     if classes is None:
         # One row per class in this window, not one per row of the table.
@@ -36,7 +36,8 @@ def class_index(rows: DataFrame, label: str, name: str = "target", classes: Sequ
         found = small_table(rows.select(label).distinct().withColumn(name, place))
     else:
         found = local_table(rows.sparkSession, [(c, i) for i, c in enumerate(classes)], schema)
-    return rows.join(found, label)
+    found = found.withColumnRenamed(label, "_class")
+    return rows.join(found, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def train_quotas(sizes: Mapping[object, int], share: str = fixed.TEST_SHARE) -> dict[object, int]:
@@ -49,7 +50,7 @@ def train_quotas(sizes: Mapping[object, int], share: str = fixed.TEST_SHARE) ->
     n_train = n - ceil(Fraction(share) * n)
     dealt = {c: divmod(size * n_train, n) for c, size in sizes.items()}
     left = n_train - sum(q for q, _ in dealt.values())
-    first = sorted(sizes, key=lambda c: (-dealt[c][1], c is not None, c))[:left]
+    first = set(sorted(sizes, key=lambda c: (-dealt[c][1], c is not None, c))[:left])
     return {c: q + (c in first) for c, (q, _) in dealt.items()}
 
 
@@ -86,7 +87,7 @@ def split_bounds(
         hashed = hashed.join(cuts.select(F.col("_class").alias("_c"), "_b"), F.col(label).eqNullSafe(F.col("_c")))
         hashed = hashed.filter(bucket == F.col("_b")).drop("_c", "_b")
         wanted = cuts.drop("_b")
-    ranked = rank_rows(hashed, [label], [F.col("_h"), F.col(key)], "_n", small)
+    ranked = rank_rows(hashed, [label], [F.col("_h"), F.col(key)], "_n")
     bounds = {
         r[label]: (r["_h"], r[key]) for r in ranked.join(wanted, same & (F.col("_n") == F.col("place"))).collect()
     }

@@ -13,11 +13,11 @@ from runloom.operators.keyed import nest, rank_rows
 
 
 def _bake_off_order() -> list[Column]:
-    return [F.desc("accuracy"), F.col("task_id"), F.col("kind")]
+    return [F.desc_nulls_last("accuracy"), F.col("task_id"), F.col("kind")]
 
 
 def best_candidate(candidates: DataFrame) -> DataFrame:
-    """Winner per run: highest accuracy, ties by task id, then kind.
+    """Winner per run: highest accuracy, ties by task id, then kind; a null score never wins over a number.
 
     ``min_by`` folds before the shuffle, so a run with many candidates is cheap.
     """
@@ -25,7 +25,7 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     return (
         candidates.filter(F.col("task_id").startswith(fixed.CANDIDATE_PREFIX))
         .groupBy("run_id")
-        .agg(F.min_by(F.struct(*rest), F.struct(-F.col("accuracy"), "task_id", "kind")).alias("b"))
+        .agg(F.min_by(F.struct(*rest), F.struct(F.col("accuracy").isNull(), -F.col("accuracy"), "task_id", "kind")).alias("b"))
         .select("run_id", "b.*")
     )
 
@@ -40,12 +40,27 @@ def union_scores(scores: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), scores)
 
 
-def metrics_wide(candidates: DataFrame, tasks: Sequence[str]) -> DataFrame:
-    """One row per run: a score column per candidate task, the best score and the winner."""
-    best = F.min_by("task_id", F.struct(-F.col("accuracy"), "task_id"))
+def metrics_long(candidates: DataFrame) -> DataFrame:
+    """One row per run and candidate task, whatever their names: its score, and whether it won the run."""
+    kept = candidates.filter(F.col("task_id").startswith(fixed.CANDIDATE_PREFIX))
+    scores = kept.groupBy("run_id", "task_id").agg(F.max("accuracy").alias("test_accuracy"))
+    return scores.join(best_candidate(candidates).select("run_id", F.col("task_id").alias("winner")), "run_id")
+
+
+def metrics_wide(candidates: DataFrame, tasks: Sequence[str] | None = None, most: int = 1000) -> DataFrame:
+    """One row per run: a score column per candidate task, the best score and the winner.
+
+    Without ``tasks`` the columns are the names found; above ``most`` names this
+    is refused and ``metrics_long`` has the rows.
+    """
+    kept = candidates.filter(F.col("task_id").startswith(fixed.CANDIDATE_PREFIX))
+    if tasks is None:
+        tasks = sorted(r[0] for r in kept.select("task_id").distinct().limit(most + 1).collect())
+        if len(tasks) > most:
+            raise ValueError(f"more than {most} candidate names; use metrics_long")
+    best = F.min_by("task_id", F.struct(F.col("accuracy").isNull(), -F.col("accuracy"), "task_id"))
     return (
-        candidates.filter(F.col("task_id").startswith(fixed.CANDIDATE_PREFIX))
-        .groupBy("run_id")
+        kept.groupBy("run_id")
         .agg(
             *[
                 F.max(F.when(F.col("task_id") == t, F.col("accuracy"))).alias(f"test_accuracy.{t}")

@@ -54,10 +54,11 @@ def retry_outcome(results: DataFrame, limits: DataFrame) -> DataFrame:
     """Attempts end at the first success or after ``retries + 1``; the last one decides.
 
     ``results(run_id, dag_id, task_id, attempt, ok, result, error)``,
-    ``limits(dag_id, task_id, retries)``.
+    ``limits(dag_id, task_id, retries)``; a task without a limit has no retry.
     """
     ok = F.coalesce("ok", F.lit(False))
-    kept = results.join(limits, ["dag_id", "task_id"]).filter(F.col("attempt") <= F.col("retries") + 1)
+    allowed = F.coalesce("retries", F.lit(0)) + 1
+    kept = results.join(limits, ["dag_id", "task_id"], "left").filter(F.col("attempt") <= allowed)
     last = F.struct("attempt", ok.alias("ok"), "result", "error")
     return (
         kept.groupBy("run_id", "task_id")
@@ -114,23 +115,25 @@ def ready_tasks(states: DataFrame, edges: DataFrame) -> DataFrame:
     """Pending or unseen tasks whose every parent succeeded.
 
     One pass over the state table: each row says whether its own task is pending
-    and counts as one for its children when it succeeded.  The sums per (run, task)
-    are combined before the only shuffle and compared with the in-degree.
+    and counts as one for its children when it succeeded.  A child that never speaks
+    for itself has no row yet and so is pending.  The sums per (run, task) are
+    combined before the only shuffle and compared with the in-degree.  (A task
+    without parents and without a row is for ``init_tasks`` to find.)
     """
     e = edges.select("dag_id", F.col("upstream").alias("task_id"), "downstream").distinct()
     need = e.groupBy("dag_id", F.col("downstream").alias("task_id")).agg(F.count(F.lit(1)).alias("need"))
     pending = F.coalesce("state", F.lit(fixed.PENDING)) == fixed.PENDING
     done = F.coalesce(F.col("state") == fixed.SUCCESS, F.lit(False))
     own = F.struct(F.col("task_id").alias("t"), pending.alias("pending"), F.lit(0).alias("met"))
-    child = F.struct(F.col("downstream").alias("t"), F.lit(False).alias("pending"), done.cast("int").alias("met"))
+    child = F.struct(F.col("downstream").alias("t"), F.lit(None).cast("boolean").alias("pending"), done.cast("int").alias("met"))
     return (
         states.select("run_id", "dag_id", "task_id", "state")
         .join(e, ["dag_id", "task_id"], "left")
         .select("run_id", "dag_id", F.explode(F.array(own, child)).alias("s"))
-        .filter(F.col("s.t").isNotNull() & (F.col("s.pending") | (F.col("s.met") > 0)))
+        .filter(F.col("s.t").isNotNull() & (F.col("s.pending").isNotNull() | (F.col("s.met") > 0)))
         .groupBy("run_id", "dag_id", F.col("s.t").alias("task_id"))
         .agg(F.bool_or("s.pending").alias("pending"), F.sum("s.met").alias("met"))
-        .filter("pending")
+        .filter("coalesce(pending, true)")
         .join(need, ["dag_id", "task_id"], "left")
         .filter(F.coalesce("need", F.lit(0)) == F.col("met"))
         .select("run_id", "dag_id", "task_id")
@@ -142,7 +145,8 @@ def upstream_results(run_tasks: DataFrame, edges: DataFrame, results: DataFrame)
 
     ``run_tasks(run_id, dag_id, task_id)``, ``results(run_id, task_id, result)``.
     """
-    pairs = ancestors(edges)
+    asked = run_tasks.select("dag_id", "task_id").distinct()
+    pairs = ancestors(edges, of=asked)
     found = results.select("run_id", F.col("task_id").alias("ancestor"), "result")
     return (
         run_tasks.select("run_id", "dag_id", "task_id")
@@ -284,12 +288,23 @@ def reap(
     return new_runs, new_states, report
 
 
-def reset_orphans(states: DataFrame, reset: Sequence[str] = (fixed.RUNNING,)) -> DataFrame:
-    """Tasks nobody is working on any more go back to pending; finished work stays."""
-    back = F.col("state").isin(*reset)
+def reset_orphans(states: DataFrame, reset: Sequence[str] = (fixed.RUNNING,), runs: DataFrame | None = None) -> DataFrame:
+    """Tasks nobody is working on any more go back to pending; finished work stays.
+
+    ``runs(run_id)``: the runs that are resumed; without it, all.
+    """
     out = states if "error" in states.columns else states.withColumn("error", F.lit(None).cast("string"))
-    return out.withColumn("error", F.when(~back, F.col("error"))).withColumn(
-        "state", F.when(back, fixed.PENDING).otherwise(F.col("state"))
+    columns = out.columns
+    resumed = F.lit(True)
+    if runs is not None:
+        out = out.join(runs.select("run_id", F.lit(True).alias("_resumed")).distinct(), "run_id", "left")
+        resumed = F.coalesce("_resumed", F.lit(False))
+    back = resumed & F.col("state").isin(*reset)
+    return out.select(
+        *[
+            F.when(~back, F.col(c)).alias(c) if c == "error" else F.when(back, fixed.PENDING).otherwise(F.col(c)).alias(c) if c == "state" else F.col(c)
+            for c in columns
+        ]
     )
 
 

@@ -49,7 +49,7 @@ GROUP BY run_id""",
     "candidates",
 )
 def metrics_wide(spark: SparkSession, sf: str) -> DataFrame:
-    wide = select.metrics_wide(V.candidates(spark, sf), TASKS)
+    wide = select.metrics_wide(V.candidates(spark, sf))
     return wide.withColumnsRenamed({c: c.replace(".", "_") for c in wide.columns})
 
 
@@ -187,20 +187,14 @@ def bakeoff_json(spark: SparkSession, sf: str) -> DataFrame:
     "task_logs",
     "S6",
     """
-SELECT r.dag_id, a.task_id, a.attempt, 'run ' || a.run_id || ' ended at ' || a.finished_at AS line
-FROM attempts a JOIN runs r ON r.run_id = a.run_id
-QUALIFY a.attempt = max(a.attempt) OVER (PARTITION BY r.dag_id, a.task_id)""",
-    "attempts runs",
+SELECT a.run_id, a.task_id, a.attempt, 'run ' || a.run_id || ' ended at ' || a.finished_at AS line
+FROM attempts a QUALIFY a.attempt = max(a.attempt) OVER (PARTITION BY a.run_id, a.task_id)""",
+    "attempts",
 )
 def task_logs(spark: SparkSession, sf: str) -> DataFrame:
     path = new_dir(spark, "logs")
-    lines = V.attempts(spark, sf).join(V.runs(spark, sf).select("run_id", "dag_id"), "run_id").select(
-        "dag_id",
-        "task_id",
-        "attempt",
-        F.format_string("run %d ended at %d", "run_id", "finished_at").alias("line"),
-    )
-    logs.write_log_lines(lines, path)
+    line = F.format_string("run %d ended at %d", "run_id", "finished_at").alias("line")
+    logs.write_log_lines(V.attempts(spark, sf).select("run_id", "task_id", "attempt", line), path)
     return logs.read_log_lines(spark, path)
 
 
@@ -295,14 +289,16 @@ def resolve_model(spark: SparkSession, sf: str) -> DataFrame:
 @query("expand_edges", "G1", """
 WITH l AS (SELECT l_orderkey AS dag_id, l_linenumber % 4 AS shape, 'p' || l_partkey AS p, 's' || l_suppkey AS s, 't' || l_linenumber AS t
   FROM lineitem)
-SELECT dag_id, t AS upstream, p AS downstream FROM l WHERE shape = 0
-UNION SELECT dag_id, t, s FROM l WHERE shape = 0
-UNION SELECT dag_id, p, 'end' FROM l WHERE shape = 0
-UNION SELECT dag_id, s, 'end' FROM l WHERE shape = 0
-UNION SELECT dag_id, p, t FROM l WHERE shape IN (1, 3)
-UNION SELECT dag_id, s, t FROM l WHERE shape = 1""")
+SELECT dag_id, upstream, downstream, NULL AS refused FROM (
+  SELECT dag_id, t AS upstream, p AS downstream FROM l WHERE shape = 0
+  UNION SELECT dag_id, t, s FROM l WHERE shape = 0
+  UNION SELECT dag_id, p, 'end' FROM l WHERE shape = 0
+  UNION SELECT dag_id, s, 'end' FROM l WHERE shape = 0
+  UNION SELECT dag_id, p, t FROM l WHERE shape IN (1, 3)
+  UNION SELECT dag_id, s, t FROM l WHERE shape = 1) e
+UNION ALL SELECT dag_id, NULL, NULL, '[' || p || ', ' || s || '] >> [' || t || ', end]' FROM l WHERE shape = 2""")
 def expand_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.expand_edges(V.chain_texts(spark, sf))
+    return graph.expand_or_refuse(V.chain_texts(spark, sf))
 
 
 @query(
@@ -361,7 +357,8 @@ def ancestors(spark: SparkSession, sf: str) -> DataFrame:
     "G5",
     _CLOSURE.format(edges="edges")
     + """SELECT s.run_id, s.task_id, CASE WHEN b.seed IS NOT NULL THEN 'upstream_failed' ELSE s.state END AS state,
-  CASE WHEN b.seed IS NOT NULL THEN 'upstream ''' || b.seed || ''' failed' END AS error
+  CASE WHEN b.seed IS NOT NULL THEN 'upstream ''' || b.seed || ''' failed' END AS error,
+  CASE WHEN b.seed IS NOT NULL THEN """ + str(V.NOW) + """ ELSE s.finished_at END AS finished_at
 FROM task_states s LEFT JOIN (
   SELECT p.run_id, p.task_id, f.task_id AS seed,
     row_number() OVER (PARTITION BY p.run_id, p.task_id ORDER BY f.finished_at, f.task_id) AS rn
@@ -372,5 +369,5 @@ FROM task_states s LEFT JOIN (
     recursive=True,
 )
 def spread_failure(spark: SparkSession, sf: str) -> DataFrame:
-    out = graph.spread_failure(V.task_states(spark, sf), V.edges(spark))
-    return out.select("run_id", "task_id", "state", "error")
+    out = graph.spread_failure(V.task_states(spark, sf), V.edges(spark), F.lit(V.NOW).cast("bigint"))
+    return out.select("run_id", "task_id", "state", "error", "finished_at")

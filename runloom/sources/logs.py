@@ -31,21 +31,33 @@ def require_logs(logs: DataFrame, task_id: str) -> DataFrame:
     return logs
 
 
+BUCKETS = 256  # folders of a log table, whatever the number of runs
+
+
 def write_log_lines(lines: DataFrame, path: str) -> None:
-    """``(dag_id, task_id, attempt, line)`` as text below one folder per attempt."""
-    keys = ["dag_id", "task_id", "attempt"]
-    lines.hint("rebalance", *keys).write.partitionBy(*keys).text(path)
+    """``(run_id, task_id, attempt, line)`` as a table in ``BUCKETS`` folders, the lines of a task together.
 
+    Beside it goes an index: which attempts a task of a run has.
+    """
+    bucket = F.pmod(F.xxhash64("run_id", "task_id"), F.lit(BUCKETS)).cast("int")
+    lines.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "run_id", "task_id", "attempt").write.partitionBy(
+        "bucket"
+    ).parquet(f"{path}/lines")
+    attempts = lines.select("run_id", "task_id", "attempt").distinct()
+    attempts.write.parquet(f"{path}/attempts")
 
-def read_log_lines(spark: SparkSession, path: str, all_tries: bool = False) -> DataFrame:
-    """Log lines of the newest attempt of each task; older attempts are not read.
 
-    The newest attempt comes from the folder names alone.
+def read_log_lines(spark: SparkSession, path: str, all_tries: bool = False, run_id: object = None, task_id: str | None = None) -> DataFrame:
+    """Log lines of the newest attempt of each task of each run (or of one run, one task).
+
+    The newest attempt comes from the index, so texts are read once; files are sorted,
+    and what is asked of one run or task is pushed to the scan.
     """
-    lines = (
-        spark.read.schema("line string, dag_id string, task_id string, attempt bigint").text(path)
-    )
+    lines, index = spark.read.parquet(f"{path}/lines").drop("bucket"), spark.read.parquet(f"{path}/attempts")
+    for name, value in (("run_id", run_id), ("task_id", task_id)):
+        if value is not None:
+            lines, index = lines.where(F.col(name) == value), index.where(F.col(name) == value)
     if all_tries:
         return lines
-    newest = lines.groupBy("dag_id", "task_id").agg(F.max("attempt").alias("attempt"))
-    return lines.join(newest, ["dag_id", "task_id", "attempt"], "left_semi")
+    newest = index.groupBy("run_id", "task_id").agg(F.max("attempt").alias("attempt"))
+    return lines.join(newest, ["run_id", "task_id", "attempt"], "left_semi")

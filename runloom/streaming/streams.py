@@ -113,8 +113,6 @@ def read_stuck(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame
     return rows.parquet(f"{out}/stuck").join(newest, "batch_id", "left_semi").drop("batch_id")
 
 
-APPLIED = "app_name bigint, revision string, batch_id bigint"
-
 
 def reconcile(
     desired: DataFrame,
@@ -137,7 +135,7 @@ def reconcile(
         spark = batch.sparkSession
         base = applied.select("app_name", "revision", F.lit(-1).cast("bigint").alias("batch_id"))
         if path_exists(spark, f"{out}/applied"):
-            moves = spark.read.schema(APPLIED).parquet(f"{out}/applied").filter(F.col("batch_id") < batch_id)
+            moves = spark.read.schema(base.schema).parquet(f"{out}/applied").filter(F.col("batch_id") < batch_id)
             base = base.unionByName(moves)
         stands = latest(base, ["app_name"], ["batch_id"]).select("app_name", F.col("revision").alias("applied"))
         wanted = batch if seq is None else latest(batch, ["app_name"], [seq])

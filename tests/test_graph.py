@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import random
-from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,28 +27,27 @@ def order_of(spark, names, text):
     return [r["task_id"] for r in order.orderBy("position").collect()], {r["task_id"] for r in stuck.collect()}
 
 
-def drain(names, edges):
-    """Plain first-in-first-out drain, for comparison."""
-    left = {n: sum(1 for _, d in edges if d == n) for n in names}
-    queue, out = deque(sorted(n for n in names if left[n] == 0)), []
-    while queue:
-        n = queue.popleft()
-        out.append(n)
-        for d in sorted(d for u, d in edges if u == n):
-            left[d] -= 1
-            if left[d] == 0:
-                queue.append(d)
-    return out
+def check_order(rows, names, edges):
+    """What an order must hold: all names once, in levels, and inside a level by last parent, then name."""
+    place = {r["task_id"]: r["position"] for r in rows}
+    level = {r["task_id"]: r["level"] for r in rows}
+    assert sorted(place) == sorted(names) and sorted(place.values()) == list(range(1, len(names) + 1))
+    parents = {n: [u for u, d in edges if d == n] for n in names}
+    assert all(level[n] == max((level[p] + 1 for p in parents[n]), default=0) for n in names)
+    by_rule = sorted(names, key=lambda n: (level[n], max((place[p] for p in parents[n]), default=0), n))
+    assert by_rule == sorted(names, key=place.get)
 
 
-def above(edges, name):
-    seen, todo = set(), [u for u, d in edges if d == name]
-    while todo:
-        n = todo.pop()
-        if n not in seen:
-            seen.add(n)
-            todo += [u for u, d in edges if d == n]
-    return seen
+def closure(names, edges):
+    """Pairs (task, ancestor) by squaring the matrix of edges until it stands still."""
+    at = {n: i for i, n in enumerate(sorted(names))}
+    reach = np.zeros((len(at), len(at)), bool)
+    for u, d in edges:
+        reach[at[d], at[u]] = True
+    while (grown := reach | (reach.astype(int) @ reach.astype(int) > 0)).sum() > reach.sum():
+        reach = grown
+    known = sorted(names)
+    return {(known[i], known[j]) for i, j in zip(*np.nonzero(reach))}
 
 
 def test_diamond_order(spark):
@@ -88,11 +87,9 @@ def test_order_and_ancestors_of_random_graphs(spark, seed):
     order, stuck = graph.topo_order(tasks, edges)
     rows = order.orderBy("dag_id", "position").collect()
     for g, (names, es) in graphs.items():
-        mine = [r for r in rows if r["dag_id"] == g]
-        assert [r["task_id"] for r in mine] == drain(names, es)
-        assert [r["position"] for r in mine] == list(range(1, len(names) + 1))
+        check_order([r for r in rows if r["dag_id"] == g], names, es)
     assert stuck.isEmpty()
-    want = {(g, n, a) for g, (names, es) in graphs.items() for n in names for a in above(es, n)}
+    want = {(g, n, a) for g, (names, es) in graphs.items() for n, a in closure(names, es)}
     found = {tuple(r) for r in graph.ancestors(edges).select("dag_id", "task_id", "ancestor").collect()}
     assert found == want
     some = tasks.filter(F.col("task_id").isin("n00", "n05"))
@@ -101,15 +98,16 @@ def test_order_and_ancestors_of_random_graphs(spark, seed):
 
 
 def test_order_of_a_hot_dag_by_slices(spark, monkeypatch):
-    """No input counts as small, so the frequent DAG is ranked slice by slice."""
-    monkeypatch.setattr(keyed, "SMALL_INPUT_BYTES", 0)
+    """No input is one slice, so the frequent DAG is ranked slice by slice."""
+    monkeypatch.setattr(keyed, "SLICE_BYTES", 0)
+    monkeypatch.setattr(keyed, "SLICE_ROWS", 20)
     graphs = random_graphs(7, n_dags=4, hot=30)
     tasks = spark.createDataFrame([(g, n) for g, (names, _) in graphs.items() for n in names], TASK)
     edges = spark.createDataFrame([(g, u, d) for g, (_, es) in graphs.items() for u, d in es], EDGE)
     order, stuck = graph.topo_order(tasks, edges)
     rows = order.orderBy("dag_id", "position").collect()
     for g, (names, es) in graphs.items():
-        assert [r["task_id"] for r in rows if r["dag_id"] == g] == drain(names, es)
+        check_order([r for r in rows if r["dag_id"] == g], names, es)
     assert stuck.isEmpty()
 
 
@@ -154,6 +152,7 @@ def test_list_after_list_is_refused_and_edges_are_a_set(spark):
     df = spark.createDataFrame([("d", "[a, b] >> [c, d]"), ("d", "a >> b"), ("d", "a>>b")], "dag_id string, chain string")
     assert graph.expand_edges(df).count() == 1
     assert graph.refused_chains(df).count() == 1
+    assert {(r["upstream"], r["refused"]) for r in graph.expand_or_refuse(df).collect()} == {("a", None), (None, "[a, b] >> [c, d]")}
 
 
 def test_unknown_refs_and_roots(spark):
@@ -180,4 +179,14 @@ def test_failure_spreads_to_pending_descendants_only(spark):
     assert got["child"] == ("upstream_failed", "upstream 'bad' failed")
     assert got["grandchild"] == ("upstream_failed", "upstream 'bad' failed")
     assert got["late"] == ("upstream_failed", "upstream 'other' failed")  # the earlier failure is named
+    ended = {r["task_id"]: r["finished_at"] for r in graph.spread_failure(states, edges, F.lit(99)).collect()}
+    assert ended["child"] == 99 and ended["late"] == 99 and ended["bad"] == 2 and ended["done"] == 4
     assert got["sibling"] == ("success", None) and got["done"] == ("success", None) and got["bad"] == ("failed", None)
+
+
+def test_failure_spreads_round_a_cycle_and_stops(spark):
+    edges = edges_of(spark, "bad>a a>b b>a")
+    rows = [("r", "d", "bad", "failed", 5), ("r", "d", "a", "pending", None), ("r", "d", "b", "pending", None)]
+    states = spark.createDataFrame(rows, "run_id string, dag_id string, task_id string, state string, finished_at int")
+    got = {r["task_id"]: r["state"] for r in graph.spread_failure(states, edges).collect()}
+    assert got == {"bad": "failed", "a": "upstream_failed", "b": "upstream_failed"}

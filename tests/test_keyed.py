@@ -22,21 +22,27 @@ def test_sliced_rank_equals_window_rank(spark):
     df = skewed(spark)
     order = [F.desc("v"), F.col("id")]
     plain = keyed.rank_rows(df, ["k"], order, "n")
-    sliced = keyed.rank_rows(df, ["k"], order, "n", small=0)
-    assert keyed.hot_hashes(df, ["k"])
+    sliced = keyed.rank_rows(df, ["k"], order, "n", slice_rows=100)
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, sliced.collect()), key=str)
 
 
-def test_rank_without_hot_keys_stays_plain(spark):
-    df = spark.range(2000).withColumn("k", F.col("id") % 1000)
-    out = keyed.rank_rows(df, ["k"], [F.col("id")], "n", small=0)
-    assert "_slice" not in out._jdf.queryExecution().toString()
-    assert out.agg(F.max("n")).first()[0] == 2
+def test_no_slice_holds_a_whole_hot_key(spark, monkeypatch):
+    """One key at 0.5 % and one at 40 % of the rows: no (key, slice) group is over the limit by much."""
+    kinds = F.when(F.col("id") % 5 < 2, "forty").when(F.col("id") % 200 == 3, "half").otherwise(F.col("id").cast("string"))
+    df = spark.range(20_000).withColumn("k", kinds).withColumn("v", F.col("id") % 3)  # order with many ties
+    seen = {}
+    stage = keyed.stage
+    monkeypatch.setattr(keyed, "stage", lambda df, label: seen.setdefault(label, stage(df, label)))
+    out = keyed.rank_rows(df, ["k"], [F.col("v")], "n", slice_rows=500)
+    assert out.groupBy("k").agg(F.max("n").alias("m"), F.countDistinct("n").alias("d"), F.count("*").alias("c")).filter("m <> d OR m <> c").isEmpty()
+    assert out.filter("k = 'forty'").agg(F.max("n")).first()[0] == 8000
+    rows = seen["slices"][0]
+    assert rows.groupBy("k", "_slice").count().agg(F.max("count")).first()[0] <= 1000
 
 
 def test_rank_of_two_keys_keeps_every_row(spark):
     df = skewed(spark).withColumn("h", F.col("id") % 2)
-    out = keyed.rank_rows(df, ["k", "h"], [F.col("id")], "n", small=0)
+    out = keyed.rank_rows(df, ["k", "h"], [F.col("id")], "n", slice_rows=200)
     assert out.count() == df.count()
     worst = out.groupBy("k", "h").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.countDistinct("n").alias("d"))
     assert worst.filter("c <> m OR c <> d").isEmpty()
@@ -47,7 +53,7 @@ def test_long_lists_go_on_in_chunks(spark):
     rows = keyed.nest(df, ["k"], [F.col("id")], F.col("id"), "ids", chunk=10).orderBy("chunk").collect()
     assert [len(r["ids"]) for r in rows] == [10, 10, 5]
     assert [x for r in rows for x in r["ids"]] == list(range(25))
-    forced = keyed.nest(df, ["k"], [F.col("id")], F.col("id"), "ids", chunk=10, small=0).orderBy("chunk").collect()
+    forced = keyed.nest(df, ["k"], [F.col("id")], F.col("id"), "ids", chunk=10, slice_rows=4).orderBy("chunk").collect()
     assert forced == rows
 
 

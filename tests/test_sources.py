@@ -29,11 +29,13 @@ def test_newest_log_is_chosen_by_number(spark, folder):
 
 
 def test_log_lines_of_the_newest_attempt(spark, folder):
-    rows = [("d", "a", n, f"line {n}") for n in (1, 9, 10)] + [("d", "b", 1, "x"), ("d", "b", 1, "y")]
-    lines = spark.createDataFrame(rows, "dag_id string, task_id string, attempt long, line string")
+    rows = [("r", "a", n, f"line {n}") for n in (1, 9, 10)] + [("r", "b", 1, "x"), ("r", "b", 1, "y"), ("s", "a", 2, "other run")]
+    lines = spark.createDataFrame(rows, "run_id string, task_id string, attempt long, line string")
     logs.write_log_lines(lines, f"{folder}/l")
-    assert sorted(r["line"] for r in logs.read_log_lines(spark, f"{folder}/l").collect()) == ["line 10", "x", "y"]
-    assert logs.read_log_lines(spark, f"{folder}/l", all_tries=True).count() == 5
+    assert sorted(r["line"] for r in logs.read_log_lines(spark, f"{folder}/l").collect()) == ["line 10", "other run", "x", "y"]
+    assert logs.read_log_lines(spark, f"{folder}/l", all_tries=True).count() == 6
+    assert [r["line"] for r in logs.read_log_lines(spark, f"{folder}/l", run_id="r", task_id="a").collect()] == ["line 10"]
+    assert logs.read_log_lines(spark, f"{folder}/l", run_id="zz").isEmpty()
 
 
 RESULT = "run_id string, v int"
