@@ -131,7 +131,7 @@ SELECT r.doc_id, r.lang, CASE WHEN r.rk <= q.quota THEN 'train' ELSE 'test' END
 FROM split_ranks r JOIN split_quota q ON q.lang = r.lang"""),
     "score_requests": ([], """
 SELECT vec_id // 4 AS request_id, vec_id,
-  CASE WHEN vec_id % 10 = 0 THEN embedding[1:3] ELSE embedding[1:64] END AS row_values FROM embeddings"""),
+  CASE WHEN vec_id % 10 = 0 THEN embedding[1:3] ELSE embedding END AS row_values FROM embeddings"""),
     "raw_rows": ([], """
 SELECT l_orderkey AS req_id, l_linenumber,
   CAST(l_partkey AS VARCHAR) || ', ' || CAST(l_suppkey AS VARCHAR) || ' '

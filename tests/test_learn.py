@@ -205,3 +205,16 @@ def test_tags_of_a_version(spark):
         ).alias("t")
     )
     assert df.first()["t"] == {"run_id": "r", "accuracy": "0.9778", "kind": "K", "features": '["a"]', "classes": "[]"}
+
+
+def test_null_labels_are_a_class_and_null_scores_never_win(spark):
+    rows = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "id int, kind string")
+    assert {r["id"]: r["target"] for r in learn.class_index(rows, "kind").collect()} == {2: 0, 3: 1, 1: 2}
+    scores = spark.createDataFrame(
+        [("r", "train_a", "x", None), ("r", "train_b", "y", 0.5), ("q", "train_z", "z", None)],
+        "run_id string, task_id string, kind string, accuracy double",
+    )
+    assert {r["run_id"]: r["task_id"] for r in select.best_candidate(scores).collect()} == {"r": "train_b", "q": "train_z"}
+    wide = {r["run_id"]: r for r in select.metrics_wide(scores).collect()}
+    assert wide["r"]["winner"] == "train_b" and wide["r"]["test_accuracy.train_b"] == 0.5 and "test_accuracy.train_z" in wide["r"]
+    assert {(r["task_id"], r["winner"]) for r in select.metrics_long(scores).collect() if r["run_id"] == "r"} == {("train_a", "train_b"), ("train_b", "train_b")}

@@ -26,6 +26,13 @@ def test_ready_waits_for_success(spark):
     assert ready(spark, {"a": "failed", "b": "pending"}) == []
 
 
+def test_a_task_without_a_row_is_ready_like_a_pending_one(spark):
+    assert ready(spark, {"a": "success"}) == ["b"]
+    assert ready(spark, {"a": "running"}) == []
+    assert ready(spark, {"a": "success", "b": "success"}, (("a", "c"), ("b", "c"))) == ["c"]
+    assert ready(spark, {"a": "success", "b": "failed"}, (("a", "c"), ("b", "c"))) == []
+
+
 def test_ready_needs_every_parent(spark):
     edges = (("a", "c"), ("b", "c"), ("b", "c"))
     assert ready(spark, {"a": "success", "b": "running", "c": "pending"}, edges) == []
@@ -47,6 +54,20 @@ def test_retries_until_success(spark):
     assert outcome(spark, [BAD, BAD, OK], 3) == ("success", 3)
 
 
+def test_a_task_without_a_limit_has_no_retry(spark):
+    limits = spark.createDataFrame([("d", "other", 3)], "dag_id string, task_id string, retries int")
+    row = state.retry_outcome(state.read_envelopes(attempts(spark, [BAD, OK])), limits).first()
+    assert (row["state"], row["try_number"]) == ("failed", 1)
+
+
+def test_only_the_resumed_run_is_reset(spark):
+    both = states(spark, {"a": "running", "b": "success"}).unionAll(states(spark, {"a": "running"}, run="other"))
+    resumed = spark.createDataFrame([("r",)], "run_id string")
+    got = {(r["run_id"], r["task_id"]): r["state"] for r in state.reset_orphans(both, runs=resumed).collect()}
+    assert got == {("r", "a"): "pending", ("r", "b"): "success", ("other", "a"): "running"}
+    assert {r["state"] for r in state.reset_orphans(both).collect()} == {"pending", "success"}
+
+
 def test_retries_are_bounded(spark):
     assert outcome(spark, [BAD, BAD, OK], 1) == ("failed", 2)
 
