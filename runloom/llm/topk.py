@@ -2,13 +2,13 @@
 
 A vector's dimensions are cut into lists, each of which knows part of a score.
 
-1. Every block of vectors gives its k best partial scores per query and list. Their sums
-   (what a list has not told counts as its least) bound each query's k-th best score.
+1. Every block of vectors gives its k best partial scores per query and list, with the whole
+   scores of these few. The k-th best of them bounds each query's k-th best score from below.
 2. That cut-off is sent back, spread evenly below the lists' best values. By the pigeonhole
    principle a vector that reaches it has a partial score at or over its list's share, so
    all such entries suffice.
-3. Candidates whose upper bound stays below the k-th best lower bound go; scores of which a
-   part is still missing are computed in full.
+3. The parts of these entries that other lists hold are looked up where the vector lies, and
+   what reaches the cut-off in full is ranked.
 """
 
 from __future__ import annotations
@@ -71,13 +71,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], lists: int):
             yield row, q_ids, ids, [_partial(q[:, j::lists], x[:, j::lists]) for j in range(lists)], q_ids[:, None] == ids
 
 
-_FIRST = "q_block int, query_id long, list int, vec_id long, part long, low long"
+_FIRST = "q_block int, query_id long, list int, vec_id long, part long, whole long, low long"
 
 
 def _local_lists(batches: Iterator[pa.RecordBatch], lists: int, k: int) -> Iterator[pa.RecordBatch]:
     """Phase 1: the k best partial scores of each query and list in a block, and the block's least."""
     least = np.iinfo(np.int64).min
     for row, q_ids, ids, parts, own in _blocks(batches, lists):
+        whole = sum(parts)
         for j, part in enumerate(parts):
             low = np.where(own, np.iinfo(np.int64).max, part).min(axis=1)
             masked = np.where(own, least, part)
@@ -88,25 +89,29 @@ def _local_lists(batches: Iterator[pa.RecordBatch], lists: int, k: int) -> Itera
             keep = ~own[at, best]
             at, best = at[keep], best[keep]
             m = len(at)
-            columns = [np.full(m, row["q_block"], np.int32), q_ids[at], np.full(m, j, np.int32), ids[best], part[at, best], low[at]]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["q_block", "query_id", "list", "vec_id", "part", "low"])
+            columns = [np.full(m, row["q_block"], np.int32), q_ids[at], np.full(m, j, np.int32), ids[best], part[at, best], whole[at, best], low[at]]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["q_block", "query_id", "list", "vec_id", "part", "whole", "low"])
 
 
-_SECOND = "query_id long, list int, vec_id long, part long, over long, above long"
+_SECOND = "query_id long, vec_id long, score long"
 
 
 def _entries(batches: Iterator[pa.RecordBatch], lists: int) -> Iterator[pa.RecordBatch]:
-    """Phase 2: every entry at or over its list's threshold, with what it adds to its lower and upper bound."""
+    """Phases 2 and 3: entries at or over a list's threshold, then those whose full score reaches the cut-off."""
     for row, q_ids, ids, parts, own in _blocks(batches, lists):
-        known = {t["query_id"]: (t["cut"], t["low"]) for t in row["thresholds"]}
-        told = np.array([i in known for i in q_ids.tolist()])
+        known = {t["query_id"]: (t["cut"], t["reached"]) for t in row["thresholds"]}
+        at = np.flatnonzero([i in known for i in q_ids.tolist()])
+        cuts = np.array([known[i][0] for i in q_ids[at].tolist()], np.int64).reshape(len(at), lists)
+        least = np.iinfo(np.int64).min
+        reached = np.array([least if (r := known[i][1]) is None else r for i in q_ids[at].tolist()], np.int64)
+        enough = np.zeros((len(at), len(ids)), bool)
         for j, part in enumerate(parts):
-            cut = np.array([known[i][0][j] if i in known else 0 for i in q_ids.tolist()], np.int64)
-            low = np.array([known[i][1][j] if i in known else 0 for i in q_ids.tolist()], np.int64)
-            at, best = np.nonzero((part >= cut[:, None]) & ~own & told[:, None])
-            value = part[at, best]
-            columns = [q_ids[at], np.full(len(at), j, np.int32), ids[best], value, value - low[at], value - cut[at] + 1]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["query_id", "list", "vec_id", "part", "over", "above"])
+            enough |= part[at] >= cuts[:, j, None]
+        q, v = np.nonzero(enough & ~own[at])
+        score = sum(part[at[q], v] for part in parts)
+        keep = score >= reached[q]
+        columns = [q_ids[at[q[keep]]], ids[v[keep]], score[keep]]
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def _kth(scores: DataFrame, score: str, k: int, name: str) -> DataFrame:
@@ -140,37 +145,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LIST
     of_list = first.groupBy("q_block", "query_id", "list").agg(F.max("part").alias("best"), F.min("low").alias("low"))
     of_list = stage(of_list, "lists")[0]
     ranked = Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id")
-    tops = first.select("query_id", "list", "vec_id", "part").withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k)
-    sums = tops.join(of_list, ["query_id", "list"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("part") - F.col("low")).alias("over"))
-    bases = of_list.groupBy("query_id").agg(F.sum("low").alias("base"), F.sum("best").alias("top"))
-    reached = _kth(sums.join(bases, "query_id").withColumn("least", F.col("over") + F.col("base")), "least", k, "reached")
+    tops = first.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k)
+    reached = _kth(tops.select("query_id", "vec_id", "whole").distinct(), "whole", k, "reached")
+    bases = of_list.groupBy("query_id").agg(F.sum("best").alias("top"))
     cuts = (
         of_list.join(bases, "query_id").join(reached, "query_id", "left")
         .withColumn("cut", F.coalesce(F.col("best") + F.floor((F.col("reached") - F.col("top")) / lists), F.col("low")))
     )
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("list", c))), lambda x: x[c])
-    cuts = cuts.groupBy("q_block", "query_id").agg(in_order("cut").alias("cut"), in_order("low").alias("low"))
-    cuts = stage(cuts, "cuts")[0]
-    told = theirs.join(cuts.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "cut", "low")).alias("thresholds")), "q_block")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("list", "cut"))), lambda x: x["cut"])
+    cuts = stage(cuts.groupBy("q_block", "query_id").agg(in_order.alias("cut"), F.max("reached").alias("reached")), "cuts")[0]
+    told = theirs.join(cuts.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "cut", "reached")).alias("thresholds")), "q_block")
     entries = mine.join(told, ["block", "q_block"]).mapInArrow(functools.partial(_entries, lists=lists), _SECOND)
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    ends = cuts.select("query_id", total("low").alias("base"), (total("cut") - lists).alias("ceiling"))
-    candidates = (
-        entries.groupBy("query_id", "vec_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("part"), F.sum("over").alias("over"), F.sum("above").alias("above"))
-        .join(ends, "query_id")
-        .select("query_id", "vec_id", "n", "part", (F.col("base") + F.col("over")).alias("least"), (F.col("ceiling") + F.col("above")).alias("most"))
-    )
-    candidates = stage(candidates, "candidates")[0]
-    safe = _kth(candidates, "least", k, "safe")
-    left = candidates.join(safe, "query_id", "left").where("safe IS NULL OR most >= safe")
-    complete = left.where(F.col("n") == lists).select("query_id", "vec_id", F.col("part").alias("score"))
-    product = F.aggregate(F.zip_with("v", "qv", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x)
-    rest = (
-        left.where(F.col("n") < lists).select("query_id", "vec_id").join(rows, "vec_id")
-        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-        .select("query_id", "vec_id", product.alias("score"))
-    )
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranks = complete.unionAll(rest).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+    ranks = entries.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return ranks.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
