@@ -42,3 +42,4 @@ TEST_SHARE = "0.25"
 DEFAULT_EXPERIMENT = "inference"
 CANDIDATE_PREFIX = "train_"
 EXAMPLE_ROWS = 3
+DEFAULT_KIND = "PipelineModel"  # of a version without a kind tag

@@ -182,3 +182,8 @@ def experiment_of(tag: Column) -> Column:
 
 def model_uri(name: Column, version: Column) -> Column:
     return F.concat(F.lit("models:/"), name, F.lit("/"), version.cast("string"))
+
+
+def kind_of(tag: Column) -> Column:
+    """The model's kind by its tag; without one it is some pipeline."""
+    return F.coalesce(tag, F.lit(fixed.DEFAULT_KIND))

@@ -289,7 +289,7 @@ def tag_defaults(spark: SparkSession, sf: str) -> DataFrame:
     return V.model_versions(spark, sf).select(
         "name",
         "version",
-        F.coalesce("kind", F.lit("PipelineModel")).alias("kind"),
+        S.kind_of(F.col("kind")).alias("kind"),
         S.experiment_of(F.col("experiment_tag")).alias("experiment"),
     )
 

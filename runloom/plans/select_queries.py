@@ -267,7 +267,7 @@ def registry_table(spark: SparkSession, sf: str) -> DataFrame:
     "M8",
     f"""
 SELECT q.request_id, q.name, coalesce(q.version, CASE WHEN m.name IS NOT NULL THEN m.version END) AS version,
-  'models:/' || m.name || '/' || m.version AS uri, m.kind, printf('%.4f', m.accuracy) AS accuracy,
+  'models:/' || m.name || '/' || m.version AS uri, CASE WHEN m.name IS NOT NULL THEN coalesce(m.kind, 'PipelineModel') END AS kind, printf('%.4f', m.accuracy) AS accuracy,
   CAST(m.source_run AS VARCHAR) AS source_run,
   CASE WHEN m.name IS NOT NULL THEN coalesce(nullif(m.experiment_tag, ''), 'inference') END AS experiment,
   CASE WHEN m.name IS NULL AND q.version IS NULL THEN 'no registered model ''' || q.name || ''''

@@ -82,6 +82,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes one folder that its writer has replaced; nothing if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 

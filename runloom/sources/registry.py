@@ -104,7 +104,7 @@ def register(
     row = next_version(read_versions(spark, f"{base}/versions"), tags.withColumn("name", F.lit(name)), [F.lit(0)])
     version = row.first()["version"]
     model.write().save(f"{base}/models/{name}/{version}")
-    new = row.withColumn("uri", S.model_uri(F.lit(name), F.lit(version)))
+    new = tags.select(F.lit(name).alias("name"), F.lit(version).alias("version"), S.model_uri(F.lit(name), F.lit(version)).alias("uri"), "tags")
     append_versions(new, f"{base}/versions")
     return read_versions(spark, f"{base}/versions").filter((F.col("name") == name) & (F.col("version") == version))
 
@@ -136,7 +136,7 @@ def resolve_models(requests: DataFrame, versions: DataFrame, default_name: str)
         "name",
         "version",
         "uri",
-        F.try_element_at("tags", F.lit("kind")).alias("kind"),
+        F.when(F.col("tags").isNotNull(), S.kind_of(F.try_element_at("tags", F.lit("kind")))).alias("kind"),
         F.try_element_at("tags", F.lit("accuracy")).alias("accuracy"),
         F.when(F.col("tags").isNotNull(), S.tag_list(F.col("tags"), "features")).alias("features"),
         F.when(F.col("tags").isNotNull(), S.tag_list(F.col("tags"), "classes")).alias("classes"),

@@ -18,7 +18,7 @@ from runloom.functions import fixed
 from runloom.operators.keyed import latest
 from runloom.operators.learn import predict
 from runloom.operators.state import revision_advance
-from runloom.sources.files import path_exists
+from runloom.sources.files import drop_path, path_exists
 from runloom.sources.traces import write_scored
 
 
@@ -82,19 +82,34 @@ def read_state(spark: SparkSession, out: str, schema: T.StructType, keys: Sequen
     return latest(spark.read.schema(full).parquet(out), keys, ["batch_id"]).drop("batch_id")
 
 
+def _fold(spark: SparkSession, path: str, rows: DataFrame, batch_id: int, keys: list[str], seq: str) -> DataFrame:
+    """Writes the newest row per key of the batch before and of ``rows`` as this batch's state.
+
+    The state before stays for a replay of this batch, the one before that goes.
+    """
+    before = f"{path}/batch_id={batch_id - 1}"
+    if path_exists(spark, before):
+        rows = spark.read.schema(rows.schema).parquet(before).unionByName(rows)
+    here = f"{path}/batch_id={batch_id}"
+    latest(rows, keys, [seq]).select(*rows.columns).write.mode("overwrite").parquet(here)
+    drop_path(spark, f"{path}/batch_id={batch_id - 2}")
+    return spark.read.schema(rows.schema).parquet(here)
+
+
 def flag_stuck(
     changes: DataFrame, older_than: float, out: str, checkpoint: str, keys: Sequence[str] = ("run_id",)
 ) -> StreamingQuery:
     """Runs that are still running ``older_than`` seconds after their last change.
 
     ``changes(run_id, state, seq, changed_at)``; the clock is the newest time seen.
+    Each batch folds its changes into the state of the one before, so its cost follows
+    the number of keys and not that of the batches.
     """
     keys = list(keys)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/state/batch_id={batch_id}")
-        now_state = read_state(spark, f"{out}/state", batch.schema, keys)
+        now_state = _fold(spark, f"{out}/state", batch, batch_id, keys, "seq")
         now = now_state.agg(F.max("changed_at").alias("now")).first()["now"]
         stuck = now_state.filter((F.col("state") == fixed.RUNNING) & (F.lit(now) - F.col("changed_at") > older_than))
         stuck.withColumn("stuck_for", F.lit(now) - F.col("changed_at")).write.mode("overwrite").parquet(
@@ -127,24 +142,25 @@ def reconcile(
 
     ``desired(app_name, dag_id, desired)`` is the stream, ``applied(app_name,
     revision)`` where things stood at the start; of several changes to one
-    application in a batch the newest by ``seq`` counts.  Moves are appended per batch; the
-    applied table of a batch is the fold of the batches before it.
+    application in a batch the newest by ``seq`` counts.  Each batch folds its moves into the
+    applied table of the one before.  ``app_name`` may be of any type.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base = applied.select("app_name", "revision", F.lit(-1).cast("bigint").alias("batch_id"))
-        if path_exists(spark, f"{out}/applied"):
-            moves = spark.read.schema(base.schema).parquet(f"{out}/applied").filter(F.col("batch_id") < batch_id)
-            base = base.unionByName(moves)
-        stands = latest(base, ["app_name"], ["batch_id"]).select("app_name", F.col("revision").alias("applied"))
+        base = applied.select("app_name", "revision", F.lit(-1).cast("bigint").alias("moved_in"))
+        before = f"{out}/applied/batch_id={batch_id - 1}"
+        if path_exists(spark, before):
+            base = base.unionByName(spark.read.schema(base.schema).parquet(before))
+        stands = latest(base, ["app_name"], ["moved_in"]).select("app_name", F.col("revision").alias("applied"))
         wanted = batch if seq is None else latest(batch, ["app_name"], [seq])
         status = wanted.join(stands, "app_name", "left")
         acted = revision_advance(status, app_runs, only=only).filter("action <> 'none'")
         acted.write.mode("overwrite").parquet(f"{out}/actions/batch_id={batch_id}")
         done = spark.read.schema(acted.schema).parquet(f"{out}/actions/batch_id={batch_id}")
-        done.filter("action = 'synced'").select("app_name", F.col("applied").alias("revision")).write.mode(
-            "overwrite"
-        ).parquet(f"{out}/applied/batch_id={batch_id}")
+        moves = done.filter("action = 'synced'").select(
+            "app_name", F.col("applied").alias("revision"), F.lit(batch_id).cast("bigint").alias("moved_in")
+        )
+        _fold(spark, f"{out}/applied", moves, batch_id, ["app_name"], "moved_in")
 
     return start(desired, sink, checkpoint)
