@@ -31,7 +31,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component; rows that repeat an id stay once."""
+    """Keeps the smallest doc_id of each component (all its rows, should an id repeat)."""
     dropped = minmax.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 

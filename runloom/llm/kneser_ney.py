@@ -31,7 +31,7 @@ from runloom.llm.common import BROADCAST_ROWS, flagged, utf8_bytes
 from runloom.session import new_dir, stage
 
 ORDER = 5
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES, RUN_BYTES = 32 << 20, 2 << 20
 SHRINK_BYTES = 400
 """Pseudo bytes at the language's usual rate that each text is scored with, so that short texts need more evidence."""
 QUANTILE = 0.995
@@ -60,6 +60,33 @@ def _grams(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _runs(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Texts lo to hi at a time, of about RUN_BYTES together: n-gram keys take eight bytes per byte of text."""
+    lo = 0
+    while lo < len(ends):
+        start = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, start + RUN_BYTES, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _counted(raw: np.ndarray, ends: np.ndarray, trusted: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of texts lo to hi and how often trusted texts have them."""
+    first = ends[lo - 1] if lo else 0
+    own = ends[lo:hi] - first
+    keys = _grams(raw[first : ends[hi - 1]], own)
+    found = np.unique(keys)
+    known, times = np.unique(keys[np.repeat(trusted[lo:hi], np.diff(own, prepend=0))], return_counts=True)
+    counts = np.zeros(len(found), np.int32)
+    counts[np.searchsorted(found, known)] = times
+    return found, counts
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    found, place = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
+    return found, np.bincount(place, np.concatenate([c for _, c in parts]), len(found)).astype(np.int32)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, lang, text, trusted) to one row per block and language."""
     part, seq = TaskContext.get().partitionId(), 0
@@ -77,17 +104,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held.pop(lang)).combine_chunks()
         size.pop(lang)
         raw, offsets = utf8_bytes(rows.column("text").combine_chunks())
-        ends = offsets[1:]
-        keys = _grams(raw, ends)
-        trusted = rows.column("trusted").to_numpy()
-        mine = np.repeat(trusted, np.diff(offsets))
-        found = np.unique(keys)
-        known, times = np.unique(keys[mine], return_counts=True)
-        counts = np.zeros(len(found), np.int32)
-        counts[np.searchsorted(found, known)] = times
+        ends, trusted = offsets[1:], rows.column("trusted").to_numpy()
+        found, counts = _merged([_counted(raw, ends, trusted, lo, hi) for lo, hi in _runs(ends)])
         values = [
             (part << 24) + seq, lang, rows.column("doc_id").to_pylist(), trusted, ends,
-            zstandard.ZstdCompressor(level=3).compress(raw.tobytes()), found, counts,
+            zstandard.ZstdCompressor(level=3).compress(raw.data), found, counts,
         ]
         seq += 1
         return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
@@ -112,13 +133,13 @@ def _score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     for row in blocks.to_pylist():
         ends = np.array(row["ends"], np.int64)
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
-        total = np.zeros(len(raw) + 1)
-        for lo in range(0, len(ends), 2000):  # some texts at a time, so that little is held at once
-            hi = min(lo + 2000, len(ends))
-            first, last = (ends[lo - 1] if lo else 0), ends[hi - 1]
-            at = index.get_indexer(_grams(raw[first:last], ends[lo:hi] - first))
-            total[first + 1 : last + 1] = bits[at]
-        np.cumsum(total, out=total)
+        spent = np.zeros(len(ends))
+        for lo, hi in _runs(ends):
+            first = ends[lo - 1] if lo else 0
+            own = ends[lo:hi] - first
+            total = np.zeros(own[-1] + 1)
+            np.cumsum(bits[index.get_indexer(_grams(raw[first : ends[hi - 1]], own))], out=total[1:])
+            spent[lo:hi] = np.diff(total[own], prepend=0.0)
         starts = np.concatenate([[0], ends[:-1]])
         out.append(
             pa.table(
@@ -127,7 +148,7 @@ def _score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
                     "lang": pa.array([row["lang"]] * len(ends), pa.string()),
                     "trusted": pa.array(row["trusted"], pa.bool_()),
                     "n_bytes": pa.array(ends - starts, pa.int64()),
-                    "bits": pa.array(total[ends] - total[starts], pa.float64()),
+                    "bits": pa.array(spent, pa.float64()),
                 }
             )
         )

@@ -27,7 +27,7 @@ CAPACITY = 2048
 GROUP_ROWS = 4096
 ROUNDS = 4
 SLICE_BYTES = 4 << 20
-CACHED_CHUNKS = 700_000
+CACHED_CHUNKS = 300_000
 """Chunks (and words) whose ids a Python worker remembers before a slice of texts; when full it starts afresh."""
 
 _SIMPLE = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")

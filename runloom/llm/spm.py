@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from runloom.llm.common import slices
 
 MARK = "▁"
-CACHED_SEGMENTS = 600_000
+CACHED_SEGMENTS = 300_000
 SLICE_BYTES = 4 << 20
 
 
