@@ -11,6 +11,11 @@ of ordinary tables that meet in joins:
    256 rows, probabilities by joins from order 1 up;
 3. the answers go back to the blocks that asked and every text is scored there.
 
+Each trusted text is also scored by a model that does not count it, since the threshold is
+to hold for texts that no model has seen: the trusted texts are dealt into ``FOLDS`` folds, a
+fold's counts are taken off before discounts and probabilities, and its texts are scored by
+what is left. The folds are columns of the same rows, filled only where a text of the fold asks.
+
 The blocks lie in a table bucketed by block, so the texts themselves are not shuffled.
 """
 
@@ -24,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.llm.common import BROADCAST_ROWS, flagged, utf8_bytes
@@ -37,10 +42,13 @@ SHRINK_BYTES = 400
 QUANTILE = 0.995
 MARGIN = 1.02
 MIN_TRUSTED = 20
+FOLDS = 4
+"""Folds of trusted texts, by text, so that exact copies of a text are left out together."""
 
+_EACH = range(1, FOLDS + 1)
 PACKED = (
-    "block long, lang string, doc_ids array<long>, trusted array<boolean>, ends array<long>,"
-    " body binary, grams array<long>, counts array<int>"
+    "block long, lang string, doc_ids array<long>, folds array<int>, ends array<long>, body binary, grams array<long>, "
+    + ", ".join(f"n{k} array<int>" for k in _EACH)
 )
 
 
@@ -70,32 +78,36 @@ def _runs(ends: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _counted(raw: np.ndarray, ends: np.ndarray, trusted: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of texts lo to hi and how often trusted texts have them."""
+def _counted(raw: np.ndarray, ends: np.ndarray, folds: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of texts lo to hi and how often the trusted texts of each fold have them."""
     first = ends[lo - 1] if lo else 0
     own = ends[lo:hi] - first
     keys = _grams(raw[first : ends[hi - 1]], own)
     found = np.unique(keys)
-    known, times = np.unique(keys[np.repeat(trusted[lo:hi], np.diff(own, prepend=0))], return_counts=True)
-    counts = np.zeros(len(found), np.int32)
-    counts[np.searchsorted(found, known)] = times
+    fold = np.repeat(folds[lo:hi], np.diff(own, prepend=0))
+    counts = np.zeros((FOLDS, len(found)), np.int32)
+    for k in _EACH:
+        known, times = np.unique(keys[fold == k], return_counts=True)
+        counts[k - 1, np.searchsorted(found, known)] = times
     return found, counts
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     found, place = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
-    return found, np.bincount(place, np.concatenate([c for _, c in parts]), len(found)).astype(np.int32)
+    counts = [np.bincount(place, np.concatenate([c[k] for _, c in parts]), len(found)).astype(np.int32) for k in range(FOLDS)]
+    return found, np.stack(counts)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, lang, text, trusted) to one row per block and language."""
+    """Rows of (doc_id, lang, text, fold) to one row per block and language."""
     part, seq = TaskContext.get().partitionId(), 0
     held: dict[str, list] = {}
     size: dict[str, int] = {}
     schema = pa.schema(
         [
-            ("block", pa.int64()), ("lang", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("trusted", pa.list_(pa.bool_())),
-            ("ends", pa.list_(pa.int64())), ("body", pa.binary()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
+            ("block", pa.int64()), ("lang", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("folds", pa.list_(pa.int32())),
+            ("ends", pa.list_(pa.int64())), ("body", pa.binary()), ("grams", pa.list_(pa.int64())),
+            *[(f"n{k}", pa.list_(pa.int32())) for k in _EACH],
         ]
     )
 
@@ -104,11 +116,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held.pop(lang)).combine_chunks()
         size.pop(lang)
         raw, offsets = utf8_bytes(rows.column("text").combine_chunks())
-        ends, trusted = offsets[1:], rows.column("trusted").to_numpy()
-        found, counts = _merged([_counted(raw, ends, trusted, lo, hi) for lo, hi in _runs(ends)])
+        ends, folds = offsets[1:], rows.column("fold").to_numpy()
+        found, counts = _merged([_counted(raw, ends, folds, lo, hi) for lo, hi in _runs(ends)])
         values = [
-            (part << 24) + seq, lang, rows.column("doc_id").to_pylist(), trusted, ends,
-            zstandard.ZstdCompressor(level=3).compress(raw.data), found, counts,
+            (part << 24) + seq, lang, rows.column("doc_id").to_pylist(), folds, ends,
+            zstandard.ZstdCompressor(level=3).compress(raw.data), found, *counts,
         ]
         seq += 1
         return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
@@ -126,76 +138,108 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-    """One block's texts against the answers to its n-grams: bits of each text."""
+    """One block's texts against the answers to its n-grams: bits of each text, with and without its own fold's counts."""
     out = []
     index = pd.Index(answers.column("gram").to_numpy())
-    bits = answers.column("bits").to_numpy()
+    bits = np.stack([answers.column(name).to_numpy() for name in ["bits", *[f"bits{k}" for k in _EACH]]])
     for row in blocks.to_pylist():
-        ends = np.array(row["ends"], np.int64)
+        ends, folds = np.array(row["ends"], np.int64), np.array(row["folds"], np.int32)
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
-        spent = np.zeros(len(ends))
+        spent, held = np.zeros(len(ends)), np.zeros(len(ends))
         for lo, hi in _runs(ends):
             first = ends[lo - 1] if lo else 0
             own = ends[lo:hi] - first
-            total = np.zeros(own[-1] + 1)
-            np.cumsum(bits[index.get_indexer(_grams(raw[first : ends[hi - 1]], own))], out=total[1:])
-            spent[lo:hi] = np.diff(total[own], prepend=0.0)
+            at = index.get_indexer(_grams(raw[first : ends[hi - 1]], own))
+            for out_of, model in ((spent, 0), (held, np.repeat(folds[lo:hi], np.diff(own, prepend=0)))):
+                total = np.zeros(own[-1] + 1)
+                np.cumsum(bits[model, at], out=total[1:])
+                out_of[lo:hi] = np.diff(total[own], prepend=0.0)
         starts = np.concatenate([[0], ends[:-1]])
         out.append(
             pa.table(
                 {
                     "doc_id": pa.array(row["doc_ids"], pa.int64()),
                     "lang": pa.array([row["lang"]] * len(ends), pa.string()),
-                    "trusted": pa.array(row["trusted"], pa.bool_()),
+                    "trusted": pa.array(folds > 0, pa.bool_()),
                     "n_bytes": pa.array(ends - starts, pa.int64()),
                     "bits": pa.array(spent, pa.float64()),
+                    "held_bits": pa.array(held, pa.float64()),
                 }
             )
         )
     return pa.concat_tables(out)
 
 
-SCORED = "doc_id long, lang string, trusted boolean, n_bytes long, bits double"
+SCORED = "doc_id long, lang string, trusted boolean, n_bytes long, bits double, held_bits double"
+
+
+def _count(model: int) -> Column:
+    """An n-gram's count in a model: 0 is the whole one, the others lack a fold."""
+    return F.col("c") - F.col(f"own{model}") if model else F.col("c")
 
 
 def _discounts(entries: DataFrame) -> DataFrame:
-    """The three discounts of each language, from the counts of counts 1 to 4."""
-    n = [F.sum(F.when(F.col("c") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    """The three discounts of each language and model, from the counts of counts 1 to 4."""
+    n = [
+        F.sum(F.when(_count(m) == k, 1).otherwise(0)).cast("double").alias(f"n{k}_{m}")
+        for m in range(FOLDS + 1) for k in (1, 2, 3, 4)
+    ]
 
-    def rule(k: int):
-        usual = F.lit(float(k)) - F.lit(k + 1.0) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
-        return F.when(usual.between(0.05, k), usual).otherwise(F.lit(0.5 * k)).alias(f"d{k}")
+    def rule(k: int, m: int):
+        n1, n2 = F.col(f"n1_{m}"), F.col(f"n2_{m}")
+        y = F.try_divide(n1, n1 + 2 * n2)
+        usual = F.lit(float(k)) - F.lit(k + 1.0) * y * F.try_divide(F.col(f"n{k + 1}_{m}"), F.col(f"n{k}_{m}"))
+        return F.when(usual.between(0.05, k), usual).otherwise(F.lit(0.5 * k)).alias(f"d{k}_{m}")
 
-    return entries.groupBy("lang").agg(*n).select("lang", *[rule(k) for k in (1, 2, 3)])
+    return entries.groupBy("lang").agg(*n).select("lang", *[rule(k, m) for m in range(FOLDS + 1) for k in (1, 2, 3)])
 
 
 def _probabilities(entries: DataFrame, order: int, few_langs: bool) -> DataFrame:
-    """(lang, gram, p) of every asked n-gram of an order; ``entries`` has (lang, gram, c), c = 0 where never seen.
+    """(lang, gram, p0, p1, ...) of every asked n-gram of an order, by the whole model and by those that lack a fold.
 
+    ``entries`` has (lang, gram, c, own1, ..., asking): the count, 0 where never seen, how much of it goes
+    with each fold, and as bits the folds whose texts have the n-gram. Other folds' numbers are null.
     ``few_langs``: the languages were counted and are few enough to broadcast their discounts,
     so that no shuffle deals n-grams by language.
     """
+    models = range(FOLDS + 1)
     discounts = F.broadcast(_discounts(entries)) if few_langs else _discounts(entries)
     around = Window.partitionBy("lang", "context")
-    d = F.expr("CASE WHEN c = 0 THEN 0 WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END")
+
+    def cut(m: int) -> Column:
+        c = _count(m)
+        return F.when(c == 0, 0.0).when(c == 1, F.col(f"d1_{m}")).when(c == 2, F.col(f"d2_{m}")).otherwise(F.col(f"d3_{m}"))
+
+    def asked(m: int, value: Column) -> Column:
+        return F.when(F.col("asking").bitwiseAND(1 << (m - 1)) != 0, value.cast("float")) if m else value
+
+    # dealt out before the discounts are joined, so that the shuffled rows hold counts only
     rows = (
-        entries.join(discounts, "lang")
-        .withColumn("context", F.shiftright("gram", 8))
-        .withColumn("cut", d)
-        .withColumn("total", F.sum("c").over(around))
-        .withColumn("left", F.sum("cut").over(around))
-    )
+        entries.withColumn("context", F.shiftright("gram", 8)).repartition("lang", "context").join(discounts, "lang")
+        .select("lang", "gram", "context", "asking", *[_count(m).alias(f"c{m}") for m in models], *[cut(m).alias(f"cut{m}") for m in models])
+        .select(
+            "*", *[F.sum(f"c{m}").over(around).alias(f"total{m}") for m in models], *[F.sum(f"cut{m}").over(around).alias(f"left{m}") for m in models]
+        )
+    )
+    # p = own + rest * p of the shorter n-gram
+    own = [asked(m, F.when(F.col(f"total{m}") > 0, (F.col(f"c{m}") - F.col(f"cut{m}")) / F.col(f"total{m}")).otherwise(0.0)).alias(f"own{m}") for m in models]
+    rest = [asked(m, F.when(F.col(f"total{m}") > 0, F.col(f"left{m}") / F.col(f"total{m}")).otherwise(1.0)).alias(f"rest{m}") for m in models]
     if order == 1:
-        shorter = rows.withColumn("q", F.lit(1.0 / 256))
+        shorter = rows.select("lang", "gram", *own, *rest, *[F.lit(1.0 / 256).alias(f"q{m}") for m in models])
     else:
         suffix = F.col("gram").bitwiseAND((1 << (8 * (order - 1))) - 1)
-        seen = F.when(F.col("c") > 0, 1).otherwise(0)
-        below = entries.groupBy("lang", suffix.alias("gram")).agg(F.sum(seen).alias("c"))
-        lower = _probabilities(below, order - 1, few_langs).select(F.col("lang").alias("_l"), F.col("gram").alias("_g"), F.col("p").alias("q"))
-        shorter = rows.withColumn("suffix", suffix).join(lower, (F.col("lang") == F.col("_l")) & (F.col("suffix") == F.col("_g")))
-    p = F.when(F.col("total") > 0, (F.col("c") - F.col("cut") + F.col("left") * F.col("q")) / F.col("total")).otherwise(F.col("q"))
-    return shorter.select("lang", "gram", p.alias("p"))
+        seen = lambda m: F.when(_count(m) > 0, 1).otherwise(0)
+        below = entries.groupBy("lang", suffix.alias("gram")).agg(
+            F.sum(seen(0)).alias("c"), *[F.sum(seen(0) - seen(k)).alias(f"own{k}") for k in _EACH], F.bit_or("asking").alias("asking")
+        )
+        lower = _probabilities(below, order - 1, few_langs).select(
+            F.col("lang").alias("_l"), F.col("gram").alias("_g"), *[F.col(f"p{m}").alias(f"q{m}") for m in models]
+        )
+        shorter = rows.select("lang", "gram", suffix.alias("suffix"), *own, *rest).join(
+            lower, (F.col("lang") == F.col("_l")) & (F.col("suffix") == F.col("_g"))
+        )
+    p = [F.col(f"own{m}") + F.col(f"rest{m}") * F.col(f"q{m}") for m in models]
+    return shorter.select("lang", "gram", *[x.cast("float" if m else "double").alias(f"p{m}") for m, x in enumerate(p)])
 
 
 def score_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -203,26 +247,35 @@ def score_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     Columns of ``SCORED``, one row per input row. A null language is a language of
     its own (""), a null text is empty, an empty text has 0 bits. Without trusted text
-    each byte costs 8 bits.
+    each byte costs 8 bits. ``held_bits`` are those of a model without the counts of the text's fold
+    (of a text that is not trusted: the same as ``bits``).
     """
     spark = docs.sparkSession
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
     )
-    source = flagged(source, trusted, "doc_id", "trusted").select("doc_id", "lang", "text", "trusted")
+    fold = F.when(F.col("trusted"), 1 + F.pmod(F.xxhash64("text"), F.lit(FOLDS))).otherwise(0).cast("int").alias("fold")
+    source = flagged(source, trusted, "doc_id", "trusted").select("doc_id", "lang", "text", fold)
     packed = source.mapInArrow(_pack, PACKED)
     path, name = new_dir(spark, "blocks"), f"blocks_{uuid.uuid4().hex}"
     buckets = max(2, source.rdd.getNumPartitions())
     packed.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)
-    asked = blocks.select("block", "lang", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select(
-        "block", "lang", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n")
+    times = [f"n{k}" for k in _EACH]
+    asked = blocks.select("block", "lang", F.explode(F.arrays_zip("grams", *times)).alias("g")).select(
+        "block", "lang", F.col("g.grams").alias("gram"), *[F.col(f"g.{n}").alias(n) for n in times]
     )
-    entries = stage(asked.groupBy("lang", "gram").agg(F.sum("n").alias("c")), "counts")[0]
+    counted = asked.groupBy("lang", "gram").agg(*[F.sum(f"n{k}").alias(f"own{k}") for k in _EACH])
+    asking = [F.when(F.col(f"own{k}") > 0, 1 << (k - 1)).otherwise(0) for k in _EACH]
+    whole = sum((F.col(f"own{k}") for k in _EACH), F.lit(0).cast("long"))
+    entries = stage(counted.select("*", whole.alias("c"), sum(asking, F.lit(0)).alias("asking")), "counts")[0]
     few_langs = entries.select("lang").distinct().count() <= BROADCAST_ROWS
-    model = _probabilities(entries, ORDER, few_langs).select("lang", "gram", (-F.log2("p")).cast("float").alias("bits"))
-    answers = asked.select("block", "lang", "gram").join(model, ["lang", "gram"]).select(F.col("block").alias("asker"), "gram", "bits")
-    bodies = spark.table(name).select("block", "lang", "doc_ids", "trusted", "ends", "body")
+    bits = [(-F.log2(f"p{m}")).cast("float").alias(f"bits{m}") for m in range(FOLDS + 1)]
+    model = _probabilities(entries, ORDER, few_langs).select("lang", "gram", *bits)
+    answers = asked.join(model, ["lang", "gram"]).select(
+        F.col("block").alias("asker"), "gram", F.col("bits0").alias("bits"), *[F.when(F.col(f"n{k}") > 0, F.col(f"bits{k}")).alias(f"bits{k}") for k in _EACH]
+    )
+    bodies = spark.table(name).select("block", "lang", "doc_ids", "folds", "ends", "body")
     return bodies.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_score, SCORED)
 
 
@@ -230,17 +283,17 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
     """One row per input row: doc_id, lang, n_bytes, perplexity (per byte), score, threshold, kept.
 
     ``score`` is the rate in bits per byte with ``SHRINK_BYTES`` pseudo bytes at the trusted
-    texts' rate added. A text is kept when its score is at most the language's threshold:
-    the ``quantile`` of the trusted texts' scores (over all of them), times ``margin``
-    since they are a little cheaper under their own counts. Languages with fewer than ``MIN_TRUSTED`` trusted texts
-    have no threshold and keep everything; so do empty texts.
+    texts' rate added, by models that do not count the text: both are of ``held_bits``. A text is kept when its
+    score is at most the language's threshold: the ``quantile`` of the trusted texts' scores (over all
+    of them), times ``margin``. ``perplexity`` is of the whole model. Languages with fewer than
+    ``MIN_TRUSTED`` trusted texts have no threshold and keep everything; so do empty texts.
     """
     scored = stage(score_texts(docs, trusted), "scored")[0]
     rate = scored.where("trusted").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_trusted"), (F.sum("bits") / F.greatest(F.sum("n_bytes"), F.lit(1))).alias("rate")
+        F.count(F.lit(1)).alias("n_trusted"), (F.sum("held_bits") / F.greatest(F.sum("n_bytes"), F.lit(1))).alias("rate")
     )
     rated = scored.join(rate, "lang", "left").withColumn(
-        "score", (F.col("bits") + SHRINK_BYTES * F.coalesce("rate", F.lit(8.0))) / (F.col("n_bytes") + SHRINK_BYTES)
+        "score", (F.col("held_bits") + SHRINK_BYTES * F.coalesce("rate", F.lit(8.0))) / (F.col("n_bytes") + SHRINK_BYTES)
     )
     bound = (
         rated.where("trusted").groupBy("lang")

@@ -139,6 +139,40 @@ def test_classifier_drops_noise_and_handles_odd_rows(spark):
     assert all(r.kept for r in kneser_ney.classify(docs, trusted.limit(0)).collect())
 
 
+def test_held_out_bits_leave_the_own_fold_out(spark):
+    good, other = prose(1, 30), prose(2, 4)
+    rows = [(i, t, "xx") for i, t in enumerate([*good, *good[:5], *other])]
+    docs = table(spark, rows)
+    trusted = spark.createDataFrame([(i,) for i in range(len(good) + 5)], "doc_id long")
+    got = {r.doc_id: r for r in kneser_ney.score_texts(docs, trusted).collect()}
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fold = {r.doc_id: r.f for r in texts.selectExpr("doc_id", f"pmod(xxhash64(text), {kneser_ney.FOLDS}) AS f").collect()}
+    kept = [i for i, _, _ in rows[: len(good) + 5]]
+    for f in set(fold.values()):
+        own = [i for i in kept if fold[i] == f]
+        want = brute_bits([rows[i][1] for i in own], [rows[i][1] for i in kept if fold[i] != f])
+        assert [got[i].held_bits for i in own] == pytest.approx(want, rel=1e-4)
+    assert all(got[i].held_bits == got[i].bits for i, _, _ in rows[len(kept) :])
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_clean_texts_outside_the_trusted_set_survive(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"/root/testdata/{size}/labels.parquet").collect()}
+    withheld = {i for i, q in labels.items() if q == 1 and zlib.crc32(str(i).encode()) % 4 == 0}
+    trusted = spark.createDataFrame([(i,) for i, q in labels.items() if q == 1 and i not in withheld], "doc_id long")
+    clean, junk = defaultdict(list), []
+    for r in kneser_ney.classify(docs, trusted).collect():
+        if r.threshold is not None and r.doc_id in withheld:
+            clean[r.lang].append(r.kept)
+        elif r.threshold is not None and labels.get(r.doc_id) == 0 and r.n_bytes > 400:
+            junk.append(r.kept)
+    assert clean and all(sum(kept) >= 0.9 * len(kept) for kept in clean.values())
+    # ordinary words repeated cost little more than clean text with a passage in another language, of which
+    # the 54 English trusted texts of the smallest size have one
+    assert junk and sum(junk) <= (0.5 if size == "sf0.001" else 0.1) * len(junk)
+
+
 # -- 3: licences
 
 
