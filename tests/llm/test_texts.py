@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
 import random
 import re
 import zlib
@@ -11,9 +13,10 @@ from itertools import pairwise
 import numpy as np
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runloom.llm import kneser_ney, licences, minmax, packing, spm, surrogates, toxicity
+from runloom.llm import kneser_ney, licences, minmax, packing, spm, surrogates, toxicity, warc
 from runloom.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -233,6 +236,23 @@ def test_held_out_is_by_crc32(spark):
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
+# -- 6: WARC
+
+
+def test_plain_text_decodes_every_reference_once(spark):
+    named = [f"a &{name} b" for name in html.entities.html5]
+    odd = ["&amp;lt;", "&amp;#38;amp;", "&#169; &#xA9; &#XA9 &#0; &#x80; &#xD800; &#x110000; &#1114112;", "&copy 2024 &notit; &nothing; & &; &#; &#x; x&y", "a&nbsp;&#160;b"]
+    pages = [*named, *odd, "<p>1 &lt;b&gt; 2</p>", "&l<b>t;</b>", "no reference", "", None]
+    got = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", warc.plain_text(F.col("html")).alias("t")).collect()
+    for i, text in got:
+        if pages[i] is None:
+            assert text is None
+            continue
+        want = html.unescape(re.sub("<[^>]*>", "", pages[i].replace("<p>", "\n").replace("</p>", "\n"))).replace("\xa0", " ")
+        want = re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f]+", " ", want))
+        assert text == re.sub(r"^\n|\n$", "", want).strip(" ")
+
+
 # -- 7: surrogates
 
 PRIVATE = (
