@@ -69,9 +69,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, s
     """``labels``: (doc_id, label 0/1). Texts that repeat count once; rows without an id, label or text are left out.
 
     Without texts of both classes the machine is the share of class 1, smoothed, for every text.
+    The sample is capped per class, so the bias is moved back to the odds of all labels: a score
+    means the same whether or not a class was capped.
     """
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    labelled = {int(k): n for k, n in known.groupBy("label").count().collect()}
+    stands_for = [max(1.0, labelled.get(k, 0) / per_class) for k in (0, 1)]  # labels per sampled one
+    shift = float(np.log(stands_for[1] / stands_for[0]))
     sample = [known.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     picked = sample[0].unionAll(sample[1])
     texts = (
@@ -83,7 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, s
     totals = {k: n for k, n in rows.groupBy("label").count().collect()}
     n0, n1 = totals.get(0.0, 0), totals.get(1.0, 0)
     if not n0 or not n1:
-        share = (n1 + 1) / (n0 + n1 + 2)
+        all0, all1 = n0 * stands_for[0], n1 * stands_for[1]
+        share = (all1 + 1) / (all0 + all1 + 2)
         return Machine(float(np.log(share / (1 - share))), {}, np.zeros(0), np.zeros((0, FACTORS)))
     by_slot = rows.select("label", F.explode("slots").alias("slot")).groupBy("slot").agg(
         F.sum("label").alias("k1"), F.count(F.lit(1)).alias("k")
@@ -94,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, s
     chosen = by_slot.withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "slot").limit(TERMS).collect()
     terms = [r["slot"] for r in chosen]
     if not terms:
-        return Machine(float(np.log(n1 / n0)), {}, np.zeros(0), np.zeros((0, FACTORS)))
+        return Machine(float(np.log(n1 / n0)) + shift, {}, np.zeros(0), np.zeros((0, FACTORS)))
     counter = CountVectorizerModel.from_vocabulary(terms, inputCol="slots", outputCol="features")
     counter.setBinary(True)
     features = stage(counter.transform(rows).select("label", "features"), "features")[0]
@@ -102,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, s
         factorSize=FACTORS, regParam=1e-3, maxIter=ITERATIONS, stepSize=0.1, initStd=0.05, solver="adamW", seed=seed
     ).fit(features)
     index = {int(t): i for i, t in enumerate(terms)}
-    return Machine(float(machine.intercept), index, machine.linear.toArray(), machine.factors.toArray())
+    return Machine(float(machine.intercept) + shift, index, machine.linear.toArray(), machine.factors.toArray())
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:

@@ -230,6 +230,18 @@ def test_toxicity_learns_terms_and_pairs(spark):
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
 
 
+def test_a_capped_sample_keeps_the_odds_of_all_labels(spark):
+    rnd = random.Random(8)
+    texts = prose(5, 500)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(500)], "doc_id long, label int")
+    plain = toxicity.fit(table(spark, [(i, f"only{i}", "en") for i in range(500)]), labels, per_class=50)
+    assert not plain.index and plain.bias == pytest.approx(np.log(50 / 450))
+    marked = table(spark, [(i, t + " dolt" * (rnd.random() < (0.8 if i % 10 == 0 else 0.2)), "en") for i, t in enumerate(texts)])
+    machine = toxicity.fit(marked, labels, per_class=50)
+    mean = np.mean([r.score for r in toxicity.score(marked, machine).collect()])
+    assert machine.index and mean == pytest.approx(0.1, abs=0.05)  # as many as are toxic
+
+
 def test_held_out_is_by_crc32(spark):
     ids = [*range(50), None]
     got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", toxicity.held_out().alias("h")).collect()
