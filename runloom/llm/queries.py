@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import kneser_ney, licences, minmax, packing, pq, spm, surrogates, topk, toxicity, warc
+from runloom.llm import kneser_ney, licences, minmax, packing, pq, spm, surrogates, topk, toxicity, warc, whitening
 from runloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op9_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     return packing.pack_documents(spark, read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the leading components, at unit variance."""
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
