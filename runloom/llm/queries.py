@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import kneser_ney, licences, minmax, packing, pq, spm, surrogates, topk, toxicity, warc, whitening
+from runloom.llm import conversations, kneser_ney, licences, minmax, packing, pq, spm, surrogates, topk, toxicity, warc, whitening
 from runloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the leading components, at unit variance."""
     return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after planted damage: its faults, its cheapest repair and the repaired text's digest."""
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
