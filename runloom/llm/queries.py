@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import conversations, kneser_ney, licences, minmax, packing, pq, spm, surrogates, topk, toxicity, warc, whitening
+from runloom.llm import conversations, kneser_ney, licences, minmax, packing, pq, resharding, spm, surrogates, topk, toxicity, warc, whitening
 from runloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation after planted damage: its faults, its cheapest repair and the repaired text's digest."""
     rows = read(spark, sf_dir, "conversations")
     return conversations.repair(conversations.damaged(rows), rows)
+
+
+@query
+def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's new shard and slot, read back from the resharded files."""
+    return resharding.digests(resharding.reshard(read(spark, sf_dir, "documents")))
