@@ -2,7 +2,7 @@
 
 The driver only holds a basis of a few dozen columns. Each product of the covariance with
 a block of columns is one job over the distinct vectors: every block of rows is centred and
-multiplied in its task, the partial products are summed by a grouped aggregate. Corrections
+multiplied in its task, the tasks' partial products are summed in a few more. Corrections
 of several Ritz pairs are solved side by side (MINRES on the projected shifted operator,
 one job per step for all of them), the basis grows by them, Rayleigh-Ritz picks the next
 pairs, and pairs whose residual is down to double precision are locked.
@@ -30,6 +30,7 @@ SCALE, OFFSET = 64, 1_000_000
 LARGEST = 2.0**40
 """Entries of a larger magnitude are refused: their squares would leave double precision."""
 BLOCK_ROWS = 4096
+SUMMED_IN = 4
 GUARD, CORRECTED, INNER_STEPS, MOST_OUTER = 8, 8, 8, 200
 TIGHT = 32 * np.finfo(float).eps
 """A residual this small, relative to the largest eigenvalue, is at rounding level."""
@@ -242,7 +243,7 @@ def _block_sums(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
 
 
 def _sums(blocks: DataFrame, compute: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
-    """The sum of ``compute(x)`` over all blocks (flat doubles): one row per entry reaches the driver."""
+    """The sum of ``compute(x)`` over all blocks, as flat doubles: a row per task, then ``SUMMED_IN`` rows to the driver."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -251,14 +252,23 @@ def _sums(blocks: DataFrame, compute: Callable[[np.ndarray], np.ndarray], width:
                 part = compute(np.frombuffer(body.as_buffer(), np.int64).reshape(-1, width))
                 total = part if total is None else total + part
         if total is not None:
-            flat = total.ravel()
-            yield pa.record_batch([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["cell", "value"])
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    summed = blocks.select("body").mapInArrow(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
-    found = summed.toArrow()
-    out = np.zeros(found.num_rows)
-    out[found.column("cell").to_numpy()] = found.column("value").to_numpy()
-    return out
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _added(p for batch in batches for p in batch.column("total"))
+        if total is not None:
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    parts = blocks.select("body").mapInArrow(partial, "total binary").repartition(SUMMED_IN).mapInArrow(merged, "total binary")
+    return _added(parts.toArrow().column("total"))
+
+
+def _added(parts) -> np.ndarray | None:
+    total = None
+    for p in parts:
+        part = np.frombuffer(p.as_buffer())
+        total = part.copy() if total is None else total + part
+    return total
 
 
 def fit(x: DataFrame, components: int = COMPONENTS) -> Whitener:
