@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import html as markup
 import re
+from html import entities
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +20,11 @@ from pyspark.sql import functions as F
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
-# Elements without text of their own, elements that break lines, the entities that the check SQL knows.
-SILENT = "script|style|noscript|template"
+# Elements without text of their own, elements that break lines.
+SILENT = ["script", "style", "noscript", "template"]
 BREAKING = "p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|title|head|body|html|header|footer|blockquote|pre"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
-UNSEEN = rf"(?is)<!--.*?-->|<(?:{SILENT})\b.*?</(?:{SILENT})\s*>"
+UNSEEN = "(?is)<!--.*?-->|" + "|".join(rf"<{e}\b.*?</{e}\s*>" for e in SILENT)
 BREAKS = rf"(?i)</?(?:{BREAKING})\b[^>]*>"
 TAGS = "<[^>]*>"
 TITLE = "(?is)<title[^>]*>(.*?)</title>"
@@ -32,6 +32,8 @@ LINK = r'(?i)<a\s[^>]*?href="([^"]*)"'
 
 
 REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+NUMBERS = [*range(160), *range(0xFDD0, 0xFDF0), *[plane << 16 | last for plane in range(17) for last in (0xFFFE, 0xFFFF)]]
+"""Code points whose numeric references may stand for another character, or for none."""
 
 
 @functools.lru_cache(4096)
@@ -140,25 +142,63 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("fields", F.decode(F.substr(F.encode("rest", "utf-8"), F.lit(1), size), "utf-8").alias("block"))
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_map(pairs: dict) -> str:
+    return f"MAP([{', '.join(map(str, pairs))}], [{', '.join(_sql_text(v) for v in pairs.values())}])"
+
+
+def _sql_decoded() -> str:
+    """SQL for the character that the reference ``t`` stands for: the HTML names, and the numbers by their rule."""
+    names = _sql_map({_sql_text(name): chars for name, chars in entities.html5.items()})
+    numbers = {n: markup.unescape(f"&#{n};") for n in NUMBERS}
+    odd = _sql_map({n: chars for n, chars in numbers.items() if chars != chr(n)})
+    return f"""
+        decoded AS (
+            SELECT t, body, n, CASE
+                WHEN t[2] = '#' AND n IS NULL THEN chr(65533)
+                WHEN t[2] = '#' AND len(map_extract(odd, n)) > 0 THEN map_extract(odd, n)[1]
+                WHEN t[2] = '#' AND (n > 1114111 OR n BETWEEN 55296 AND 57343) THEN chr(65533)
+                WHEN t[2] = '#' THEN chr(CAST(n AS INTEGER))
+                WHEN len(map_extract(names, body)) > 0 THEN map_extract(names, body)[1]
+                WHEN len(short) > 0 THEN map_extract(names, short[1])[1] || body[len(short[1]) + 1:]
+                ELSE t END AS found
+            FROM (
+                SELECT t, t[2:] AS body, names, odd,
+                    CASE WHEN lower(t[3]) = 'x' THEN TRY_CAST('0x' || right(ltrim(rtrim(t[4:], ';'), '0'), 12) AS BIGINT) + CASE WHEN len(ltrim(rtrim(t[4:], ';'), '0')) > 12 THEN 1114112 ELSE 0 END
+                        WHEN t[2] = '#' THEN TRY_CAST(rtrim(t[3:], ';') AS BIGINT) END AS number,
+                    CASE WHEN t[2] = '#' AND lower(t[3]) = 'x' AND ltrim(rtrim(t[4:], ';'), '0') = '' THEN 0 ELSE number END AS n,
+                    list_filter(list_transform(range(len(t) - 2, 1, -1), lambda x: t[2:x + 1]), lambda x: len(map_extract(names, x)) > 0) AS short
+                FROM (SELECT DISTINCT unnest(tokens) AS t FROM tokens), (SELECT {names} AS names, {odd} AS odd)
+                WHERE t[1] = '&' AND t <> '&'
+            )
+        )"""
+
+
 def oracle_sql(date: str = DATE) -> str:
     """The derivatives of ``pages`` in plain SQL."""
     uuid = (
         "'<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>'"
     )
-    text = f"regexp_replace(regexp_replace(regexp_replace(body, '{UNSEEN}', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAGS}', '', 'g')"
-    for name, char in ENTITIES:
-        text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    text = f"regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g')"
+    bare = f"regexp_replace(regexp_replace(regexp_replace(body, '{UNSEEN}', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAGS}', '', 'g')"
+    text = "regexp_replace(flat, '[ \\t\\r\\f]+', ' ', 'g')"
     text = f"trim(regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^\\n|\\n$', '', 'g'))"
     crlf = "chr(13) || chr(10)"
     return f"""
     WITH source AS (
-        SELECT page_id AS key, coalesce(url, '') AS target_uri, coalesce(html, '') AS body,
+        SELECT row_number() OVER () AS page, page_id AS key, coalesce(url, '') AS target_uri, coalesce(html, '') AS body,
             md5(concat_ws('|', 'response', coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''))) AS h FROM pages
     ), response AS (
-        SELECT key, target_uri, body, {uuid} AS refers_to, 'sha256:' || sha256(body) AS payload_digest,
+        SELECT page, key, target_uri, body, {uuid} AS refers_to, 'sha256:' || sha256(body) AS payload_digest,
             'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(body) || {crlf} AS http_headers
         FROM source
+    ), tokens AS (
+        SELECT page, regexp_extract_all({bare}, '{REFERENCE.pattern}|[^&]+|&') AS tokens FROM source
+    ), {_sql_decoded()}, flat AS (
+        SELECT page, coalesce(string_agg(coalesce(replace(found, chr(160), ' '), token), '' ORDER BY place), '') AS flat
+        FROM (SELECT page, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM tokens) LEFT JOIN decoded ON token = t GROUP BY page
     ), made AS (
         SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
             'title: ' || regexp_replace(trim(regexp_extract(body, '{TITLE}', 1)), '\\s+', ' ', 'g') || {crlf} || 'source-digest: ' || payload_digest || {crlf}
@@ -166,7 +206,7 @@ def oracle_sql(date: str = DATE) -> str:
             || coalesce(array_to_string(list_transform(regexp_extract_all(body, '{LINK}', 1), lambda x: 'outlink: ' || regexp_replace(x, '\\s+', ' ', 'g') || {crlf}), ''), '') AS block
         FROM response
         UNION ALL
-        SELECT *, 'conversion', 'text/plain; charset=utf-8', {text} FROM response
+        SELECT response.*, 'conversion', 'text/plain; charset=utf-8', coalesce({text}, '') FROM response LEFT JOIN flat USING (page)
     ), named AS (SELECT *, md5(concat_ws('|', warc_type, refers_to)) AS h FROM made)
     SELECT key AS page_id, warc_type, {uuid} AS record_id, refers_to, target_uri, '{date}' AS warc_date, content_type, http_headers, payload_digest,
         'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS INTEGER) AS content_length, block

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
 
+import duckdb
 import numpy as np
 import pytest
 from compare import compare, connect
@@ -265,6 +266,26 @@ def test_plain_text_decodes_every_reference_once(spark):
         assert text == re.sub(r"^\n|\n$", "", want).strip(" ")
 
 
+def test_sql_and_records_agree_on_odd_pages(spark):
+    """Every named reference, numbers of all kinds, scripts that hold other closing tags, a very long page."""
+    odd = [
+        "&amp;lt; &amp;#38;amp; &#x00000041; &#x1FFFFFFFFFFFFFFFFFFF41; &#99999999999999999999999; &#x0; &#xFDD0; &#x1FFFE;x &#13; &#11;y &#x80;",
+        "<script>var a='</style>'; secret()</script><p>x</p>", "<STYLE>a</style >b<template>c</template>d<noscript>e</script>f</noscript>", "x& &; &#; <!-- a > b -->c",
+        "<p>long &copy; page</p>\n" * 40_000, "", None, "<title>a\n b</title><a href=\"u v\">x</a>",
+    ]
+    rows = [(i, f"http://a/{i % 3}" if i % 5 else None, h) for i, h in enumerate([*[f"a &{n} b" for n in html.entities.html5], *odd])]
+    rows += [(None, None, "no id"), (1, "http://a/1", rows[1][2])]
+    pages = spark.createDataFrame([(*r, "b") for r in rows], "page_id long, url string, html string, block string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    derived = warc.derive(warc.responses(pages)).withColumnRenamed("key", "page_id")
+    assert compare(derived, con, SQL["op6_warc"]) is None
+    blocks = {r.page_id: r.block for r in derived.where("warc_type = 'conversion'").collect()}
+    at = len(html.entities.html5)
+    assert blocks[at + 1] == "x" and blocks[at + 2] == "b d" and blocks[at + 4] == "\n".join(["long © page"] * 40_000)
+
+
 # -- 7: surrogates
 
 PRIVATE = (
