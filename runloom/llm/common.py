@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.session import new_dir, stage
+
 BROADCAST_ROWS = 1_000_000
 """Rows of at most three numbers that a hinted broadcast may hold: some 32 MB."""
 
@@ -55,3 +57,29 @@ def utf8_bytes(text: pa.Array):
         offsets = np.zeros(1, np.int64)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
+
+class Staged:
+    """Tables in the shared folder that are dropped once later ones have been written from them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, label: str, df: DataFrame) -> DataFrame:
+        path = new_dir(self.spark, label)
+        back = stage(df, label, path)[0]
+        self.paths[id(back)] = (back, path)
+        return back
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            if id(table) in self.paths:
+                self._delete(self.paths.pop(id(table))[1])
+
+    def drop_all(self, *paths: str) -> None:
+        self.drop(*[table for table, _ in list(self.paths.values())])
+        for path in paths:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)

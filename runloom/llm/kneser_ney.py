@@ -16,7 +16,12 @@ to hold for texts that no model has seen: the trusted texts are dealt into ``FOL
 fold's counts are taken off before discounts and probabilities, and its texts are scored by
 what is left. The folds are columns of the same rows, filled only where a text of the fold asks.
 
-The blocks lie in a table bucketed by block, so the texts themselves are not shuffled.
+The blocks lie in a table bucketed by block, so the texts themselves are not shuffled. Each order's
+counts and probabilities are tables of their own, so every plan is short; a table goes once the
+next one is written.
+
+Repeated ordinary words are cheap to any n-gram model. So a text's novelty, the share of n-grams that are new
+within their window of the text, has a language's lower bound as the score has an upper one.
 """
 
 from __future__ import annotations
@@ -32,11 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.llm.common import BROADCAST_ROWS, flagged, utf8_bytes
-from runloom.session import new_dir, stage
+from runloom.llm.common import BROADCAST_ROWS, Staged, flagged, utf8_bytes
+from runloom.session import new_dir
 
 ORDER = 5
 BLOCK_BYTES, RUN_BYTES = 32 << 20, 2 << 20
+MERGED_BYTES = 64 << 20
+"""Text that an input partition should bring at least: blocks of little text ask for almost every n-gram anew."""
+WINDOW, SLOTS = 1024, 8192
+"""Novelty is counted in windows of so many bytes; an n-gram counts as seen if its slot of so many is taken."""
 SHRINK_BYTES = 400
 """Pseudo bytes at the language's usual rate that each text is scored with, so that short texts need more evidence."""
 QUANTILE = 0.995
@@ -92,6 +101,19 @@ def _counted(raw: np.ndarray, ends: np.ndarray, folds: np.ndarray, lo: int, hi:
     return found, counts
 
 
+def _novelty(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The share of each text's n-grams whose slot is free in their window; 1 for an empty text."""
+    sizes = np.diff(ends, prepend=0)
+    windows = -(-sizes // WINDOW)
+    base = np.cumsum(windows) - windows
+    at = np.arange(len(keys)) - np.repeat(ends - sizes, sizes)
+    slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)
+    taken = np.zeros(int(windows.sum()) * SLOTS, bool)
+    taken[(np.repeat(base, sizes) + at // WINDOW) * SLOTS + slot.astype(np.int64)] = True
+    new = np.concatenate([[0], np.cumsum(taken.reshape(-1, SLOTS).sum(1))])
+    return np.where(sizes > 0, (new[base + windows] - new[base]) / np.maximum(sizes, 1), 1.0)
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     found, place = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
     counts = [np.bincount(place, np.concatenate([c[k] for _, c in parts]), len(found)).astype(np.int32) for k in range(FOLDS)]
@@ -145,11 +167,13 @@ def _score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     for row in blocks.to_pylist():
         ends, folds = np.array(row["ends"], np.int64), np.array(row["folds"], np.int32)
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
-        spent, held = np.zeros(len(ends)), np.zeros(len(ends))
+        spent, held, novelty = np.zeros(len(ends)), np.zeros(len(ends)), np.ones(len(ends))
         for lo, hi in _runs(ends):
             first = ends[lo - 1] if lo else 0
             own = ends[lo:hi] - first
-            at = index.get_indexer(_grams(raw[first : ends[hi - 1]], own))
+            keys = _grams(raw[first : ends[hi - 1]], own)
+            novelty[lo:hi] = _novelty(keys, own)
+            at = index.get_indexer(keys)
             for out_of, model in ((spent, 0), (held, np.repeat(folds[lo:hi], np.diff(own, prepend=0)))):
                 total = np.zeros(own[-1] + 1)
                 np.cumsum(bits[model, at], out=total[1:])
@@ -164,13 +188,14 @@ def _score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
                     "n_bytes": pa.array(ends - starts, pa.int64()),
                     "bits": pa.array(spent, pa.float64()),
                     "held_bits": pa.array(held, pa.float64()),
+                    "novelty": pa.array(novelty, pa.float64()),
                 }
             )
         )
     return pa.concat_tables(out)
 
 
-SCORED = "doc_id long, lang string, trusted boolean, n_bytes long, bits double, held_bits double"
+SCORED = "doc_id long, lang string, trusted boolean, n_bytes long, bits double, held_bits double, novelty double"
 
 
 def _count(model: int) -> Column:
@@ -194,11 +219,21 @@ def _discounts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("lang").agg(*n).select("lang", *[rule(k, m) for m in range(FOLDS + 1) for k in (1, 2, 3)])
 
 
-def _probabilities(entries: DataFrame, order: int, few_langs: bool) -> DataFrame:
+def _below(entries: DataFrame, order: int) -> DataFrame:
+    """The next shorter n-grams: each counts the different ones that end in it."""
+    suffix = F.col("gram").bitwiseAND((1 << (8 * (order - 1))) - 1)
+    seen = lambda m: F.when(_count(m) > 0, 1).otherwise(0)
+    return entries.groupBy("lang", suffix.alias("gram")).agg(
+        F.sum(seen(0)).alias("c"), *[F.sum(seen(0) - seen(k)).alias(f"own{k}") for k in _EACH], F.bit_or("asking").alias("asking")
+    )
+
+
+def _probabilities(entries: DataFrame, order: int, few_langs: bool, lower: DataFrame | None) -> DataFrame:
     """(lang, gram, p0, p1, ...) of every asked n-gram of an order, by the whole model and by those that lack a fold.
 
     ``entries`` has (lang, gram, c, own1, ..., asking): the count, 0 where never seen, how much of it goes
     with each fold, and as bits the folds whose texts have the n-gram. Other folds' numbers are null.
+    ``lower``: the same of the next shorter n-grams, None below order 1.
     ``few_langs``: the languages were counted and are few enough to broadcast their discounts,
     so that no shuffle deals n-grams by language.
     """
@@ -224,19 +259,13 @@ def _probabilities(entries: DataFrame, order: int, few_langs: bool) -> DataFrame
     # p = own + rest * p of the shorter n-gram
     own = [asked(m, F.when(F.col(f"total{m}") > 0, (F.col(f"c{m}") - F.col(f"cut{m}")) / F.col(f"total{m}")).otherwise(0.0)).alias(f"own{m}") for m in models]
     rest = [asked(m, F.when(F.col(f"total{m}") > 0, F.col(f"left{m}") / F.col(f"total{m}")).otherwise(1.0)).alias(f"rest{m}") for m in models]
-    if order == 1:
+    if lower is None:
         shorter = rows.select("lang", "gram", *own, *rest, *[F.lit(1.0 / 256).alias(f"q{m}") for m in models])
     else:
         suffix = F.col("gram").bitwiseAND((1 << (8 * (order - 1))) - 1)
-        seen = lambda m: F.when(_count(m) > 0, 1).otherwise(0)
-        below = entries.groupBy("lang", suffix.alias("gram")).agg(
-            F.sum(seen(0)).alias("c"), *[F.sum(seen(0) - seen(k)).alias(f"own{k}") for k in _EACH], F.bit_or("asking").alias("asking")
-        )
-        lower = _probabilities(below, order - 1, few_langs).select(
-            F.col("lang").alias("_l"), F.col("gram").alias("_g"), *[F.col(f"p{m}").alias(f"q{m}") for m in models]
-        )
+        known = lower.select(F.col("lang").alias("_l"), F.col("gram").alias("_g"), *[F.col(f"p{m}").alias(f"q{m}") for m in models])
         shorter = rows.select("lang", "gram", suffix.alias("suffix"), *own, *rest).join(
-            lower, (F.col("lang") == F.col("_l")) & (F.col("suffix") == F.col("_g"))
+            known, (F.col("lang") == F.col("_l")) & (F.col("suffix") == F.col("_g"))
         )
     p = [F.col(f"own{m}") + F.col(f"rest{m}") * F.col(f"q{m}") for m in models]
     return shorter.select("lang", "gram", *[x.cast("float" if m else "double").alias(f"p{m}") for m, x in enumerate(p)])
@@ -254,51 +283,65 @@ def score_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
     )
+    n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_bytes // MERGED_BYTES))
     fold = F.when(F.col("trusted"), 1 + F.pmod(F.xxhash64("text"), F.lit(FOLDS))).otherwise(0).cast("int").alias("fold")
     source = flagged(source, trusted, "doc_id", "trusted").select("doc_id", "lang", "text", fold)
-    packed = source.mapInArrow(_pack, PACKED)
-    path, name = new_dir(spark, "blocks"), f"blocks_{uuid.uuid4().hex}"
-    buckets = max(2, source.rdd.getNumPartitions())
-    packed.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
-    blocks = spark.table(name)
+    packed = source.coalesce(parts).mapInArrow(_pack, PACKED)
+    staged, path, name = Staged(spark), new_dir(spark, "blocks"), f"blocks_{uuid.uuid4().hex}"
+    packed.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(max(2, parts), "block").saveAsTable(name)
     times = [f"n{k}" for k in _EACH]
-    asked = blocks.select("block", "lang", F.explode(F.arrays_zip("grams", *times)).alias("g")).select(
+    asked = spark.table(name).select("block", "lang", F.explode(F.arrays_zip("grams", *times)).alias("g")).select(
         "block", "lang", F.col("g.grams").alias("gram"), *[F.col(f"g.{n}").alias(n) for n in times]
     )
     counted = asked.groupBy("lang", "gram").agg(*[F.sum(f"n{k}").alias(f"own{k}") for k in _EACH])
     asking = [F.when(F.col(f"own{k}") > 0, 1 << (k - 1)).otherwise(0) for k in _EACH]
     whole = sum((F.col(f"own{k}") for k in _EACH), F.lit(0).cast("long"))
-    entries = stage(counted.select("*", whole.alias("c"), sum(asking, F.lit(0)).alias("asking")), "counts")[0]
-    few_langs = entries.select("lang").distinct().count() <= BROADCAST_ROWS
+    entries = {ORDER: staged.put("counts", counted.select("*", whole.alias("c"), sum(asking, F.lit(0)).alias("asking")))}
+    for order in range(ORDER, 1, -1):
+        entries[order - 1] = staged.put(f"counts{order - 1}", _below(entries[order], order))
+    few_langs = entries[1].select("lang").distinct().count() <= BROADCAST_ROWS
+    model = None
+    for order in range(1, ORDER):
+        shorter, model = model, staged.put(f"model{order}", _probabilities(entries[order], order, few_langs, model))
+        staged.drop(shorter, entries[order])
     bits = [(-F.log2(f"p{m}")).cast("float").alias(f"bits{m}") for m in range(FOLDS + 1)]
-    model = _probabilities(entries, ORDER, few_langs).select("lang", "gram", *bits)
+    model = _probabilities(entries[ORDER], ORDER, few_langs, model).select("lang", "gram", *bits)
     answers = asked.join(model, ["lang", "gram"]).select(
         F.col("block").alias("asker"), "gram", F.col("bits0").alias("bits"), *[F.when(F.col(f"n{k}") > 0, F.col(f"bits{k}")).alias(f"bits{k}") for k in _EACH]
     )
     bodies = spark.table(name).select("block", "lang", "doc_ids", "folds", "ends", "body")
-    return bodies.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_score, SCORED)
+    scored = Staged(spark).put("scored", bodies.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_score, SCORED))
+    spark.sql(f"DROP TABLE {name}")
+    staged.drop_all(path)
+    return scored
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """One row per input row: doc_id, lang, n_bytes, perplexity (per byte), score, threshold, kept.
+    """One row per input row: doc_id, lang, n_bytes, perplexity (per byte), score, threshold, novelty, least_novelty, kept.
 
     ``score`` is the rate in bits per byte with ``SHRINK_BYTES`` pseudo bytes at the trusted
     texts' rate added, by models that do not count the text: both are of ``held_bits``. A text is kept when its
-    score is at most the language's threshold: the ``quantile`` of the trusted texts' scores (over all
-    of them), times ``margin``. ``perplexity`` is of the whole model. Languages with fewer than
-    ``MIN_TRUSTED`` trusted texts have no threshold and keep everything; so do empty texts.
+    score is at most the language's threshold, the ``quantile`` of the trusted texts' scores (over all
+    of them) times ``margin``, and its novelty at least the opposite quantile of theirs divided by ``margin``.
+    ``perplexity`` is of the whole model. Languages
+    with fewer than ``MIN_TRUSTED`` trusted texts have no threshold and keep everything; so do empty texts.
     """
-    scored = stage(score_texts(docs, trusted), "scored")[0]
+    scored = score_texts(docs, trusted)
     rate = scored.where("trusted").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_trusted"), (F.sum("held_bits") / F.greatest(F.sum("n_bytes"), F.lit(1))).alias("rate")
     )
     rated = scored.join(rate, "lang", "left").withColumn(
         "score", (F.col("held_bits") + SHRINK_BYTES * F.coalesce("rate", F.lit(8.0))) / (F.col("n_bytes") + SHRINK_BYTES)
     )
+    enough = lambda name: F.when(F.col("n") >= MIN_TRUSTED, F.col(name))
     bound = (
         rated.where("trusted").groupBy("lang")
-        .agg((margin * F.percentile_approx("score", quantile, 10_000)).alias("bound"), F.max("n_trusted").alias("n"))
-        .select("lang", F.when(F.col("n") >= MIN_TRUSTED, F.col("bound")).alias("threshold"))
+        .agg(
+            (margin * F.percentile_approx("score", quantile, 10_000)).alias("high"),
+            (F.percentile_approx("novelty", 1 - quantile, 10_000) / margin).alias("low"), F.max("n_trusted").alias("n"),
+        )
+        .select("lang", enough("high").alias("threshold"), enough("low").alias("least_novelty"))
     )
     return rated.join(bound, "lang", "left").select(
         "doc_id",
@@ -307,5 +350,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
         F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))).alias("perplexity"),
         "score",
         "threshold",
-        F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept"),
+        "novelty",
+        "least_novelty",
+        F.coalesce((F.col("score") <= F.col("threshold")) & (F.col("novelty") >= F.col("least_novelty")), F.lit(True)).alias("kept"),
     )
