@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +26,15 @@ from runloom.session import stage
 
 CAPACITY = 2048
 GROUP_ROWS = 4096
-ROUNDS = 4
 SLICE_BYTES = 4 << 20
-CACHED_CHUNKS = 300_000
-"""Chunks (and words) whose ids a Python worker remembers before a slice of texts; when full it starts afresh."""
+WORD_END, LINE_WORDS = "</w>", 256
+CACHED_WORDS = 300_000
+"""Words whose ids a Python worker remembers before a slice of texts; when full it starts afresh."""
 
-_SIMPLE = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")
+_MARKS = r"""[!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*"""
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIMPLE = f"^(?P<word>[{_LETTERS}]+)(?P<marks>{_MARKS})$"
+_WORD = f"^(?:[{_LETTERS}]+|{_MARKS})$"
 
 
 class ChunkIds:
@@ -38,44 +42,71 @@ class ChunkIds:
 
     The tokenizer drops white space and neither its normaliser nor its merges look past
     it, so a text's ids are those of its chunks in order. A chunk of Latin letters plus
-    ASCII punctuation falls into these two parts; every other chunk is encoded whole.
+    ASCII punctuation falls into these two parts, each one word to the tokenizer: lower case, composed, no
+    contraction. Many such words are encoded as one line, which only has to be cut at spaces, and are told
+    apart by the tokens that end a word. Every other chunk is encoded whole, by the tokenizer as it is.
     """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(model)
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, new: set[bytes]) -> None:
-        split = {}
-        for chunk in new:
-            text = chunk.decode()
-            simple = _SIMPLE.fullmatch(text)
-            split[chunk] = (simple[1].lower(), simple[2]) if simple else (text,)
-        parts = list({p for ps in split.values() for p in ps if p not in self.parts})
-        for lo in range(0, len(parts), 5000):
-            some = parts[lo : lo + 5000]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[part] = np.array(found.ids, "<u4").tobytes()
-        for chunk, ps in split.items():
-            self.chunks[chunk] = b"".join([self.parts[p] for p in ps])
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.of_words = Tokenizer.from_str(model), Tokenizer.from_str(model)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """The words known so far: none but the empty one; their ids lie one after another in ``flat``."""
+        self.words, self.flat, self.starts = pa.array([""], pa.string()), np.zeros(0, "<u4"), np.zeros(2, np.int64)
+
+    def _learn(self, new: pa.Array) -> None:
+        plain = pc.match_substring_regex(new, _WORD)
+        words, others = new.filter(plain), new.filter(pc.invert(plain))
+        listed = words.to_pylist()
+        lines = [" ".join(listed[lo : lo + LINE_WORDS]) for lo in range(0, len(listed), LINE_WORDS)]
+        found = [np.array(e.ids, "<u4") for e in self.of_words.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *found])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError(f"the tokenizer does not end every word in {WORD_END}")
+        rest = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(others.to_pylist(), add_special_tokens=False)]
+        ends = np.concatenate([ends, len(ids) + np.cumsum([len(r) for r in rest], dtype=np.int64)])
+        self.words = pa.concat_arrays([self.words, words, others])
+        self.starts = np.concatenate([self.starts, len(self.flat) + ends])
+        self.flat = np.concatenate([self.flat, ids, *rest])
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where the ids of different words lie; those that are new are learnt."""
+        if len(self.words) > CACHED_WORDS:
+            self._forget()
+        new = parts.filter(pc.is_null(pc.index_in(parts, self.words)))
+        if len(new):
+            self._learn(new)
+        return pc.index_in(parts, self.words).to_numpy()
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
         """The ids of each text, four little-endian bytes each."""
-        for cache in (self.chunks, self.parts):
-            if len(cache) > CACHED_CHUNKS:
-                cache.clear()
-        cut = [t.encode("utf-8", "replace").split() for t in texts]
-        wanted = set()
-        for c in cut:
-            wanted.update(c)
-        self._learn({c for c in wanted if c not in self.chunks})
-        ids = self.chunks
-        for c in cut:
-            yield b"".join([ids[x] for x in c])
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
+        cut = pc.ascii_split_whitespace(texts)
+        chunks = cut.flatten().dictionary_encode()
+        simple = pc.extract_regex(chunks.dictionary, _SIMPLE)
+        fits = simple.is_valid()
+        heads = pc.if_else(fits, pc.utf8_lower(simple.field("word")), chunks.dictionary)
+        parts = pa.concat_arrays([heads, pc.if_else(fits, simple.field("marks"), "")]).dictionary_encode()
+        places = self._places(parts.dictionary)[parts.indices.to_numpy()]
+        which = chunks.indices.to_numpy()
+        order = np.stack([places[: len(heads)][which], places[len(heads) :][which]], axis=1).ravel()  # word, marks, word, marks ...
+        sizes = np.diff(self.starts)[order]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(self.starts[order] - ends[:-1], sizes) + np.arange(ends[-1])]
+        for lo, hi in pairwise(ends[2 * (cut.offsets.to_numpy() - cut.offsets[0].as_py())].tolist()):
+            yield ids[lo:hi].tobytes()
 
 
 _LOADED: dict[int, ChunkIds] = {}
@@ -94,7 +125,7 @@ def _cut(batches: Iterator[pa.RecordBatch], model, capacity: int, with_ids: bool
     encoder = _loaded(model.value)
     for batch in slices(batches, "text", SLICE_BYTES):
         rows: list[tuple] = []
-        texts = [t or "" for t in batch.column("text").to_pylist()]
+        texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
             ids += b"\0\0\0\0"
             for piece, lo in enumerate(range(0, len(ids), 4 * capacity)):
@@ -194,14 +225,14 @@ def _round(rows: DataFrame, n: int, number: int, capacity: int, group_rows: int)
         return _pack_group(rows, capacity)
 
     placed = dealt.groupBy("grp").applyInArrow(packed, schema)
-    # groups are below 2^37, a group's bins below 2^22, rounds below 8
-    named = placed.withColumn("sequence_id", (F.col("grp") * (1 << 22) + F.col("bin")) * 8 + number)
+    # groups are below 2^31, a group's bins below 2^22, rounds below 2^10
+    named = placed.withColumn("sequence_id", (F.col("grp") * (1 << 22) + F.col("bin")) * (1 << 10) + number)
     staged = stage(named, f"packed{number}")[0]
     bins = staged.where("offset = 0").count()
     return staged, bins
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, rounds: int | None = None) -> DataFrame:
     """Places pieces (1 to ``capacity`` long) in sequences: adds sequence_id, offset and certified.
 
     ``certified``: the group that the sequence was packed in took as few bins as its lower
@@ -212,7 +243,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS,
     placed, _ = _round(rows, n, 0, capacity, group_rows)
     done: list[DataFrame] = []
     loose_rule = (F.col("fill") < capacity) & ((F.col("n_bins") > F.col("bound")) | F.col("emptiest"))
-    for number in range(1, rounds):
+    for number in range(1, rounds or 1 << 10):
         loose = placed.where(loose_rule)
         size, before = loose.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("offset") == 0, 1)), F.lit(0))).first()
         if before < 2:
@@ -233,4 +264,5 @@ def default_tokenizer() -> str:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
+    """Pieces and places of all documents. Null texts and empty ones are one piece of a single id; null ids and repeated rows are packed like others."""
     return pack(pieces(docs, tokenizer_file or default_tokenizer()))

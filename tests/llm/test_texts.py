@@ -414,7 +414,7 @@ def test_chunks_give_the_tokenizers_ids():
 
 
 def test_a_full_cache_starts_afresh(monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_CHUNKS", 10)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 10)
     with open(packing.default_tokenizer(), encoding="utf-8") as f:
         chunks = packing.ChunkIds(f.read())
     first = list(chunks.encode(prose(7, 3)))
