@@ -31,6 +31,9 @@ NO_RESULT = "%s executor: process exited %s without writing a result"
 UNKNOWN_ERROR = "unknown error"
 REAPED = "abandoned: the scheduler running this task died"
 UPSTREAM = "upstream '%s' failed"
+NO_MODEL = "no registered model '%s'"
+NO_VERSION = "no version '%s' of model '%s'"
+NO_ROWS = "nothing to predict"
 WIDTH = "expected %d values (%s), got %d"
 BELOW_GATE = "accuracy %.4f below threshold %s — refusing to register"
 RUN_KEY_TIME = "yyyyMMdd'T'HHmmss"

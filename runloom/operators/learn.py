@@ -19,39 +19,41 @@ from pyspark.sql import types as T
 
 from runloom.functions import fixed
 from runloom.functions import scalars as S
+from runloom.operators.contract import InputContract
 from runloom.operators.keyed import gather, is_small, rank_rows
-from runloom.session import local_table, small_table
+from runloom.session import local_table, stage
 
-MAX_CLASSES = 10_000  # per-class numbers are kept on the driver
 SPLIT_DIGITS = 4  # leading hex digits that name a bucket: 65,536 of them
 
 
 # --- split -------------------------------------------------------------------
 def class_index(rows: DataFrame, label: str, name: str = "target", classes: Sequence | None = None) -> DataFrame:
     """Adds the 0-based place of ``label`` in the sorted list of its values (a null label comes first)."""
-    schema = T.StructType([rows.schema[label]]).add(name, "integer")
     if classes is None:
-        # One row per class in this window, not one per row of the table.
-        place = (F.row_number().over(Window.orderBy(label)) - 1).cast("int")
-        found = small_table(rows.select(label).distinct().withColumn(name, place))
+        found = rank_rows(rows.select(label).distinct(), [], [F.asc_nulls_first(label)], name)
+        found = found.withColumn(name, (F.col(name) - 1).cast("int"))
     else:
+        schema = T.StructType([rows.schema[label]]).add(name, "integer")
         found = local_table(rows.sparkSession, [(c, i) for i, c in enumerate(classes)], schema)
     found = found.withColumnRenamed(label, "_class")
     return rows.join(found, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
 
 
-def train_quotas(sizes: Mapping[object, int], share: str = fixed.TEST_SHARE) -> dict[object, int]:
-    """Rows of each class that go to train, in whole numbers.
+def train_quotas(sizes: DataFrame, label: str, share: str = fixed.TEST_SHARE) -> DataFrame:
+    """``sizes`` (label, size), one row per class, with the ``quota`` of rows that go to train.
 
     ``ceil(share * n)`` rows are held out over all classes; what is left is dealt
-    by largest remainder, ties by class.
+    by largest remainder, ties by class. Whole numbers throughout; the classes stay a table.
     """
-    n = sum(sizes.values())
+    wide = lambda c: c.cast("decimal(38,0)")
+    n = int(sizes.agg(F.coalesce(F.sum(wide(F.col("size"))), F.lit(0))).first()[0])
     n_train = n - ceil(Fraction(share) * n)
-    dealt = {c: divmod(size * n_train, n) for c, size in sizes.items()}
-    left = n_train - sum(q for q, _ in dealt.values())
-    first = set(sorted(sizes, key=lambda c: (-dealt[c][1], c is not None, c))[:left])
-    return {c: q + (c in first) for c, (q, _) in dealt.items()}
+    product = wide(F.col("size")) * F.lit(n_train).cast("decimal(19,0)")
+    divisor = F.lit(max(n, 1)).cast("decimal(19,0)")
+    dealt = sizes.withColumn("_rest", F.pmod(product, divisor)).withColumn("quota", wide((product - F.col("_rest")) / divisor).cast("bigint"))
+    left = n_train - (dealt.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0])
+    ranked = rank_rows(dealt, [], [F.desc("_rest"), F.asc_nulls_first(label)], "_place")
+    return ranked.withColumn("quota", F.col("quota") + (F.col("_place") <= left).cast("bigint")).drop("_rest", "_place")
 
 
 def split_bounds(
@@ -61,16 +63,12 @@ def split_bounds(
 
     The bound is the last row that trains when the class is ordered by
     ``md5(seed:key)``.  In a large table no class is sorted: rows are counted per
-    hash bucket first and only the bucket the bound lies in is ranked.
+    hash bucket first and only the bucket the bound lies in is ranked. However many
+    classes there are, they are rows of tables.
     """
-    spark = rows.sparkSession
-    counted = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(counted) > MAX_CLASSES:
-        raise ValueError(f"{label!r} has more than {MAX_CLASSES} values; it is no class label")
-    sizes = {r[label]: r["n"] for r in counted}
-    quotas = train_quotas(sizes, share)
-    kinds = T.StructType([rows.schema[label]]).add("place", "long")
-    wanted = local_table(spark, list(quotas.items()), kinds).withColumnRenamed(label, "_class")
+    sizes = stage(rows.groupBy(label).agg(F.count(F.lit(1)).alias("size")), "classes")[0]
+    quotas = train_quotas(sizes, label, share)
+    wanted = quotas.select(F.col(label).alias("_class"), F.col("quota").alias("place"))
     same = F.col(label).eqNullSafe(F.col("_class"))
 
     hashed = rows.select(F.col(label), F.col(key), _split_hash(key, seed).alias("_h"))
@@ -78,22 +76,21 @@ def split_bounds(
         bucket = F.substring("_h", 1, SPLIT_DIGITS)
         before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         counts = hashed.groupBy(label, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n"))
-        cuts = small_table(
+        cuts = stage(
             counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
             .join(wanted, same)
             .filter((F.col("_before") < F.col("place")) & (F.col("place") <= F.col("_before") + F.col("n")))
-            .select("_class", "_b", (F.col("place") - F.col("_before")).alias("place"))
-        )
+            .select("_class", "_b", (F.col("place") - F.col("_before")).alias("place")),
+            "cuts",
+        )[0]
         hashed = hashed.join(cuts.select(F.col("_class").alias("_c"), "_b"), F.col(label).eqNullSafe(F.col("_c")))
         hashed = hashed.filter(bucket == F.col("_b")).drop("_c", "_b")
         wanted = cuts.drop("_b")
     ranked = rank_rows(hashed, [label], [F.col("_h"), F.col(key)], "_n")
-    bounds = {
-        r[label]: (r["_h"], r[key]) for r in ranked.join(wanted, same & (F.col("_n") == F.col("place"))).collect()
-    }
-    found = [(c, sizes[c], quotas[c], *bounds.get(c, (None, None))) for c in sizes]
-    schema = T.StructType([rows.schema[label]]).add("size", "long").add("quota", "long")
-    return local_table(spark, found, schema.add("bound_hash", "string").add("bound_key", rows.schema[key].dataType))
+    last = ranked.join(wanted, same & (F.col("_n") == F.col("place")))
+    last = last.select(F.col(label).alias("_class"), F.col("_h").alias("bound_hash"), F.col(key).alias("bound_key"))
+    found = quotas.join(last, same, "left").select(label, "size", "quota", "bound_hash", "bound_key")
+    return stage(found, "bounds")[0]
 
 
 def stratified_split(
@@ -155,13 +152,17 @@ class Candidate:
 def fit_candidates(
     train: DataFrame, features: Sequence[str], estimators: Mapping[str, Estimator], parallelism: int = 4
 ) -> list[Candidate]:
-    """Fits independent candidates at the same time, as Spark jobs from driver threads."""
+    """Fits independent candidates at the same time, as Spark jobs from driver threads.
+
+    Each model begins with the contract of its input: names and types in order, with example rows.
+    """
     assemble = VectorAssembler(inputCols=list(features), outputCol="features")
     spark = train.sparkSession
     train = gather(train)
+    contract = InputContract.of(train, features)
 
     def fit(task_id: str) -> tuple[str, PipelineModel]:
-        return task_id, Pipeline(stages=[assemble, estimators[task_id]]).fit(train)
+        return task_id, Pipeline(stages=[contract, assemble, estimators[task_id]]).fit(train)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         done = [pool.submit(inheritable_thread_target(spark)(fit), t) for t in sorted(estimators)]
@@ -206,24 +207,13 @@ def score_table(spark: SparkSession, run_id: str, found: Sequence[Candidate], ac
 # --- input contract ----------------------------------------------------------
 def input_contract(train: DataFrame, features: Sequence[str]) -> dict:
     """Column names and types in order, with the first rows as an example."""
-    view = train.select(*features)
-    return {"schema": view.schema.jsonValue(), "example": [r.asDict() for r in view.limit(fixed.EXAMPLE_ROWS).collect()]}
+    made = InputContract.of(train, features)
+    return {"schema": made.schema().jsonValue(), "example": made.example_rows()}
 
 
 def meet_contract(rows: DataFrame, contract: dict) -> DataFrame:
     """The contract's columns by name, in its order; anything else is refused."""
-    want = T.StructType.fromJson(contract["schema"])
-    missing = [f.name for f in want if f.name not in rows.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    wrong = [
-        f"{f.name} is {rows.schema[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}"
-        for f in want
-        if rows.schema[f.name].dataType != f.dataType
-    ]
-    if wrong:
-        raise ValueError("; ".join(wrong))
-    return rows.select(*[f.name for f in want], *[c for c in rows.columns if c not in want.names])
+    return InputContract()._set(columns=T.StructType.fromJson(contract["schema"]).json()).transform(rows)
 
 
 # --- score -------------------------------------------------------------------

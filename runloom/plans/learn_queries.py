@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from runloom.functions import fixed
 from runloom.functions import scalars as S
-from runloom.operators import learn, select, steps
+from runloom.operators import learn, select, serve, steps
+from runloom.operators.contract import contract_of
 from runloom.plans.catalog import query
 from runloom.session import local_table, new_dir
 from runloom.sources import files, registry, traces
@@ -30,6 +31,7 @@ class Prepared:
     train: DataFrame
     test: DataFrame
     n_train: int
+    n_test: int
     classes: list[str]
 
 
@@ -45,7 +47,8 @@ def prepare(spark: SparkSession, sf: str, label: str = "lang") -> Prepared:
     files.write_split(learn.stratified_split(rows, "doc_id", label, bounds=bounds), path, RUN_ID)
     train = files.read_split(spark, path, rows.schema, RUN_ID, "train")
     test = files.read_split(spark, path, rows.schema, RUN_ID, "test")
-    return Prepared(train, test, sum(r["quota"] for r in found), classes)
+    n_train = sum(r["quota"] for r in found)
+    return Prepared(train, test, n_train, sum(r["size"] for r in found) - n_train, classes)
 
 
 def estimators(p: Prepared) -> dict:
@@ -188,13 +191,30 @@ def evaluate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def train_and_register(spark: SparkSession, sf: str, base: str) -> tuple[Prepared, learn.Candidate, DataFrame]:
-    """Split, fit two, compare on the held-out rows, gate, register the better one."""
+    """Split, fit two, compare on the held-out rows, gate, register the better one.
+
+    Every step logs its parameters, metrics and tags below ``base/tracking``, the comparison its ranked list
+    below ``base/bakeoff``; a model that the gate refuses has left these, but no version.
+    """
     p = prepare(spark, sf)
     found = learn.fit_candidates(p.train, FEATURES, estimators(p))
     accuracy = learn.evaluate(p.test, {c.task_id: c.model for c in found})
     scores = learn.score_table(spark, RUN_ID, found, accuracy)
     best = select.best_candidate(scores).first()
     winner = next(c for c in found if c.task_id == best["task_id"])
+
+    def logged(task: str, params: dict = {}, metrics: dict = {}, tags: dict = {}) -> DataFrame:
+        ids = {"dag_id": DAG_ID, "run_id": RUN_ID, "task_id": task}
+        return registry.log_rows(spark, f"{RUN_ID}.{task}", ids, params, metrics, tags)
+
+    held_out = {f"test_accuracy.{t}": a for t, a in accuracy.items()}
+    entries = [
+        logged("prep", {"test_size": fixed.TEST_SHARE, "stratified": True, "random_state": 0}, {"train_rows": p.n_train, "test_rows": p.n_test}),
+        *[logged(c.task_id, c.params, {"train_accuracy": c.train_accuracy}, {"kind": c.kind}) for c in found],
+        logged("select_best", metrics={**held_out, "best_accuracy": best["accuracy"]}, tags={"winner": best["task_id"]}),
+    ]
+    registry.append_log(select.union_scores(entries), f"{base}/tracking")
+    files.write_json(select.bake_off(scores), f"{base}/bakeoff")
     tags = spark.range(1).select(
         registry.version_tags(
             F.lit(RUN_ID),
@@ -205,7 +225,51 @@ def train_and_register(spark: SparkSession, sf: str, base: str) -> tuple[Prepare
             S.list_tag(p.classes),
         ).alias("tags")
     )
-    return p, winner, registry.register(winner.model, base, MODEL_NAME, best["accuracy"], tags)
+    version = registry.register(winner.model, base, MODEL_NAME, best["accuracy"], tags)
+    number = version.first()["version"]
+    registry.append_log(
+        logged("register", metrics={"registered_accuracy": best["accuracy"]}, tags={"registered_model": MODEL_NAME, "registered_version": number}),
+        f"{base}/tracking",
+    )
+    return p, winner, version
+
+
+_STEPS = ", ".join(
+    f"('{task}', '{kind}', '{key}', '{value}')"
+    for task, kind, key, value in [
+        ("prep", "param", "test_size", "0.25"), ("prep", "param", "stratified", "True"), ("prep", "param", "random_state", "0"),
+        *[(t, "param", k, v) for t, params in _PARAMS.items() for k, v in params.items()],
+        *[(t, "metric", "train_accuracy", "passed") for t in _KINDS], *[(t, "tag", "kind", v) for t, v in _KINDS.items()],
+        *[("select_best", "metric", f"test_accuracy.{t}", "passed") for t in _KINDS], ("select_best", "metric", "best_accuracy", "passed"),
+        ("select_best", "tag", "winner", "known"), *[("select_best", "bakeoff", t, v) for t, v in _KINDS.items()],
+        ("register", "metric", "registered_accuracy", "passed"), ("register", "tag", "registered_model", MODEL_NAME), ("register", "tag", "registered_version", "1"),
+    ]
+)
+
+
+@query(
+    "training_log",
+    "M10",
+    f"""
+SELECT '{RUN_ID}.' || task_id AS tracking_run, '{RUN_ID}' AS run_id, task_id, kind, "key", "value" FROM (
+  SELECT * FROM (VALUES {_STEPS}) AS v(task_id, kind, "key", "value")
+  UNION ALL SELECT 'train_logreg', 'param', 'regParam', CAST(CAST(1 AS DOUBLE) / count(*) AS VARCHAR) FROM doc_split WHERE split = 'train'
+  UNION ALL SELECT 'prep', 'metric', split || '_rows', CAST(count(*) AS VARCHAR) FROM doc_split GROUP BY split) l""",
+    "doc_split",
+)
+def training_log(spark: SparkSession, sf: str) -> DataFrame:
+    """What the training job has written about itself: every step's entries and the ranked list of candidates."""
+    base = new_dir(spark, "registry")
+    train_and_register(spark, sf, base)
+    entries = registry.read_log(spark, f"{base}/tracking").select("tracking_run", "run_id", "task_id", "kind", "key", "value")
+    learned = (F.col("kind") == "metric") & F.col("key").contains("accuracy")
+    passed = learned & F.col("value").try_cast("double").between(LEAST_ACCURACY, 1)
+    won = (F.col("key") == "winner") & F.col("value").isin(list(_KINDS))
+    listed = spark.read.json(f"{base}/bakeoff").select("run_id", F.explode("candidates").alias("c")).select(
+        F.concat_ws(".", "run_id", F.lit("select_best")).alias("tracking_run"), "run_id", F.lit("select_best").alias("task_id"),
+        F.lit("bakeoff").alias("kind"), F.col("c.task_id").alias("key"), F.col("c.kind").alias("value"),
+    )
+    return entries.withColumn("value", F.when(passed, "passed").when(won, "known").otherwise(F.col("value"))).unionByName(listed)
 
 
 @query(
@@ -233,14 +297,94 @@ def input_contract(spark: SparkSession, sf: str) -> DataFrame:
     return learn.meet_contract(rows.select(*reversed(rows.columns)), contract)
 
 
+_REFUSED = ", ".join(
+    f"('without {f}', 'missing columns: {f}', CAST(NULL AS BIGINT)), ('{f} as text', '{f} is string, not double', NULL)" for f in FEATURES
+)
+_PLACES = ", ".join(f"('column', '{f}', {i})" for i, f in enumerate([*FEATURES, "lang", "doc_id"]))
+
+
+@query(
+    "model_contract",
+    "M7",
+    f"""
+SELECT variant, found, CAST(number AS BIGINT) AS number FROM (VALUES {_REFUSED}, {_PLACES}) AS v(variant, found, number)
+UNION ALL SELECT 'reversed', lang, count(*) FROM documents GROUP BY lang""",
+)
+def model_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored model, loaded again: what it refuses, the order its columns leave in, and rows given in reverse order.
+
+    A row per refused shape of the input, a row per column with its position after the contract, and per language
+    the rows whose prediction is the same whichever order the columns come in (all of them).
+    """
+    p, c = fit_one(spark, sf, "train_tree")
+    base = new_dir(spark, "registry")
+    tags = spark.range(1).select(F.create_map(F.lit("kind"), F.lit(c.kind)).alias("tags"))
+    registry.register(c.model, base, MODEL_NAME, 1.0, tags)
+    _, model = registry.load_model(spark, base, MODEL_NAME)
+    rows = p.train.unionByName(p.test).select("doc_id", "lang", *FEATURES)
+    turned = rows.select(*reversed(rows.columns))
+    contract = contract_of(model)
+    wrong = {f"without {f}": rows.drop(f) for f in FEATURES} | {f"{f} as text": rows.withColumn(f, F.col(f).cast("string")) for f in FEATURES}
+    told = [(name, contract.refusal(variant.schema), None) for name, variant in wrong.items()]
+    told += [("column", name, i) for i, name in enumerate(contract.transform(turned).columns)]
+    straight = model.transform(rows).select("doc_id", "lang", F.col("prediction").alias("p"))
+    reverse = model.transform(turned).select("doc_id", F.col("prediction").alias("q"))
+    same = straight.join(reverse, "doc_id").filter("p = q").groupBy("lang").agg(F.count(F.lit(1)).alias("number"))
+    return local_table(spark, told, "variant string, found string, number bigint").unionByName(
+        same.select(F.lit("reversed").alias("variant"), F.col("lang").alias("found"), "number")
+    )
+
+
+_WIDE = f"expected {len(FEATURES)} values ({', '.join(FEATURES)}), got 3"
+
+
+@query(
+    "predict_requests",
+    "M9",
+    f"""
+WITH asked AS (SELECT DISTINCT doc_id // 4 AS request_id FROM documents), named AS (
+  SELECT request_id, CASE request_id % 6 WHEN 3 THEN 'no such model' ELSE '{MODEL_NAME}' END AS name,
+    CASE request_id % 5 WHEN 2 THEN '1' WHEN 3 THEN '2' WHEN 4 THEN '9' END AS version FROM asked
+), checked AS (
+  SELECT n.request_id, d.doc_id, n.name, coalesce(n.version, CASE WHEN n.name = '{MODEL_NAME}' THEN '2' END) AS version,
+    CASE WHEN n.name = 'no such model' AND n.version IS NULL THEN 'no registered model ''no such model'''
+      WHEN n.name = 'no such model' OR n.version = '9' THEN 'no version ''' || n.version || ''' of model ''' || n.name || ''''
+      WHEN d.doc_id IS NULL THEN 'nothing to predict' WHEN d.doc_id % 10 = 0 THEN '{_WIDE}' END AS message
+  FROM named n LEFT JOIN documents d ON d.doc_id // 4 = n.request_id AND n.request_id % 17 <> 0
+), refused AS (SELECT request_id, min(message) AS refusal FROM checked WHERE message IS NOT NULL GROUP BY request_id)
+SELECT c.request_id, c.doc_id, c.name, c.version, r.refusal, r.refusal IS NULL AS answered, r.refusal IS NULL AS known_label, r.refusal IS NULL AS sure
+FROM checked c LEFT JOIN refused r ON r.request_id = c.request_id""",
+)
+def predict_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of up to four rows over two registered versions: answers, and refusals with their reasons."""
+    p = prepare(spark, sf)
+    base = new_dir(spark, "registry")
+    for c in sorted(learn.fit_candidates(p.train, FEATURES, estimators(p)), key=lambda c: c.kind):
+        tags = registry.version_tags(F.lit(RUN_ID), F.lit(DAG_ID), F.lit(c.train_accuracy), F.lit(c.kind), S.list_tag(FEATURES), S.list_tag(p.classes))
+        registry.register(c.model, base, MODEL_NAME, c.train_accuracy, spark.range(1).select(tags.alias("tags")), LEAST_ACCURACY)
+    texts = p.train.unionByName(p.test)
+    k, r = F.expr("doc_id div 4"), F.col("request_id")
+    name = F.when(r % 6 == 1, " String ").when(r % 6 == 2, "NONE").when(r % 6 == 3, "no such model").when(r % 6 > 3, f"  {MODEL_NAME} ")
+    version = F.when(r % 5 == 0, "").when(r % 5 == 1, " null").when(r % 5 == 4, "9").otherwise((r % 5 - 1).cast("string"))
+    requests = texts.select(k.alias("request_id")).distinct().select("request_id", name.alias("name"), version.alias("version"))
+    values = F.when(F.col("doc_id") % 10 == 0, F.array(*FEATURES[:3])).otherwise(F.array(*FEATURES))
+    rows = texts.filter(k % 17 != 0).select(k.alias("request_id"), F.col("doc_id").alias("row_id"), values.alias("row_values"))
+    answers = serve.answer(spark, base, requests, rows, MODEL_NAME)
+    there = lambda c: F.coalesce(c, F.lit(False))
+    return answers.select(
+        "request_id", F.col("row_id").alias("doc_id"), "name", "version", "refusal",
+        there(F.col("prediction").between(0, len(p.classes) - 1)).alias("answered"), there(F.col("label").isin(p.classes)).alias("known_label"),
+        there(F.col("confidence").between(1 / len(p.classes) - 1e-9, 1 + 1e-9)).alias("sure"),
+    )
+
+
 @query("predict", "M9", "SELECT doc_id, lang, true AS known_label, true AS sure, true AS accurate FROM documents")
 def predict(spark: SparkSession, sf: str) -> DataFrame:
     base = new_dir(spark, "registry")
-    train_and_register(spark, sf, base)
+    p, _, _ = train_and_register(spark, sf, base)
     info, model = registry.load_model(spark, base, MODEL_NAME)
-    rows = V.doc_features(spark, sf)
-    scored = learn.predict(model, rows.drop("lang"), info["features"], info["classes"])
-    return judged(scored.join(V.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id"), info["classes"])
+    rows = p.train.unionByName(p.test)  # the features of every document, as the split has stored them
+    return judged(learn.predict(model, rows.drop("target"), info["features"], info["classes"]), info["classes"])
 
 
 @query(

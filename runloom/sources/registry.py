@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions import fixed
 from runloom.functions import scalars as S
+from runloom.operators.contract import contract_of
 from runloom.operators.keyed import latest
 from runloom.operators.select import latest_version, next_version
 from runloom.session import local_table
@@ -103,7 +104,7 @@ def register(
     spark = tags.sparkSession
     row = next_version(read_versions(spark, f"{base}/versions"), tags.withColumn("name", F.lit(name)), [F.lit(0)])
     version = row.first()["version"]
-    model.write().save(f"{base}/models/{name}/{version}")
+    model.write().save(model_path(base, name, version))
     new = tags.select(F.lit(name).alias("name"), F.lit(version).alias("version"), S.model_uri(F.lit(name), F.lit(version)).alias("uri"), "tags")
     append_versions(new, f"{base}/versions")
     return read_versions(spark, f"{base}/versions").filter((F.col("name") == name) & (F.col("version") == version))
@@ -127,8 +128,8 @@ def resolve_models(requests: DataFrame, versions: DataFrame, default_name: str)
     )
     missing = F.when(
         F.col("tags").isNull(),
-        F.when(F.col("version").isNull(), F.format_string("no registered model '%s'", F.col("name"))).otherwise(
-            F.format_string("no version '%s' of model '%s'", F.col("version"), F.col("name"))
+        F.when(F.col("version").isNull(), F.format_string(fixed.NO_MODEL, F.col("name"))).otherwise(
+            F.format_string(fixed.NO_VERSION, F.col("version"), F.col("name"))
         ),
     )
     return pinned.unionByName(newest.select(*pinned.columns)).select(
@@ -147,9 +148,18 @@ def resolve_models(requests: DataFrame, versions: DataFrame, default_name: str)
 
 
 def load_model(spark: SparkSession, base: str, name: str | None = None, version: str | None = None, default_name: str = "default") -> tuple[dict, PipelineModel]:
-    """The resolved row and its model; ``LookupError`` when nothing is registered."""
+    """The resolved row and its model; ``LookupError`` when nothing is registered.
+
+    ``features`` are the columns the model itself names, if it does, else those of its tag.
+    """
     asked = local_table(spark, [(0, name, version)], "request_id int, name string, version string")
     row = resolve_models(asked, read_versions(spark, f"{base}/versions"), default_name).first().asDict()
     if row["error"]:
         raise LookupError(row["error"])
-    return row, PipelineModel.load(f"{base}/models/{row['name']}/{row['version']}")
+    model = PipelineModel.load(model_path(base, row["name"], row["version"]))
+    own = contract_of(model)
+    return row | ({"features": own.schema().names} if own else {}), model
+
+
+def model_path(base: str, name: str, version: object) -> str:
+    return f"{base}/models/{name}/{version}"

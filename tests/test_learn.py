@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from runloom.functions import scalars as S
-from runloom.operators import learn, select
+from runloom.operators import learn, select, serve
+from runloom.operators.contract import contract_of
 from runloom.plans import learn_queries as Q
 from runloom.sources import registry, traces
 from runloom.sources import tables as V
@@ -15,12 +16,17 @@ from runloom.sources import tables as V
 SF = "/root/testdata/sf0.001"
 
 
+def quotas_of(spark, sizes, share):
+    table = spark.createDataFrame(list(sizes.items()), "kind string, size long")
+    return {r["kind"]: r["quota"] for r in learn.train_quotas(table, "kind", share).collect()}
+
+
 @pytest.mark.parametrize("share", ["0.25", "0.1", "0.5", "1", "0"])
 @pytest.mark.parametrize("seed", range(3))
-def test_quotas_add_up(share, seed):
+def test_quotas_add_up(spark, share, seed):
     rng = random.Random(seed)
     sizes = {f"c{i}": rng.randint(1, 50) for i in range(rng.randint(1, 6))}
-    quotas = learn.train_quotas(sizes, share)
+    quotas = quotas_of(spark, sizes, share)
     n = sum(sizes.values())
     n_test = {"0.25": -(-n // 4), "0.1": -(-n // 10), "0.5": -(-n // 2), "1": n, "0": 0}[share]
     assert sum(quotas.values()) == n - n_test
@@ -29,8 +35,24 @@ def test_quotas_add_up(share, seed):
         assert int(exact) <= q <= ceil(exact) and q <= sizes[c]
 
 
-def test_ties_go_to_the_first_class():
-    assert learn.train_quotas({"a": 1, "b": 1}, "0.5") == {"a": 1, "b": 0}
+def test_ties_go_to_the_first_class(spark):
+    assert quotas_of(spark, {"a": 1, "b": 1}, "0.5") == {"a": 1, "b": 0}
+    assert quotas_of(spark, {"b": 1, "a": 1, None: 1}, "0.5") == {None: 1, "a": 0, "b": 0}
+    assert quotas_of(spark, {"a": 3_000_000_000_000, "b": 5_000_000_000_001}, "0.25") == {"a": 2_250_000_000_000, "b": 3_750_000_000_000}
+
+
+@pytest.mark.parametrize("small", [None, 0])
+def test_a_label_of_many_values(spark, small):
+    """100,000 classes of one to three rows: quotas, bounds and numbers stay tables."""
+    rows = spark.range(200_000).select("id", (F.col("id") % 100_000 + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).cast("string").alias("kind"))
+    bounds = learn.split_bounds(rows, "id", "kind", small=small)
+    split = learn.stratified_split(rows, "id", "kind", bounds=bounds)
+    assert split.filter("split = 'test'").count() == 50_000
+    per = split.groupBy("kind").agg(F.count_if(F.col("split") == "train").alias("trains")).join(bounds, "kind")
+    assert per.filter("trains <> quota").isEmpty() and per.count() == bounds.count()
+    places = learn.class_index(rows, "kind").groupBy("kind").agg(F.min("target").alias("low"), F.max("target").alias("high"))
+    want = sorted(r["kind"] for r in bounds.select("kind").collect())
+    assert {r["kind"]: (r["low"], r["high"]) for r in places.collect()} == {k: (i, i) for i, k in enumerate(want)}
 
 
 def skewed_rows(spark, n=900):
@@ -154,6 +176,48 @@ def test_contract(spark):
         learn.meet_contract(rows.withColumn("b", F.lit("x")), contract)
 
 
+def test_a_loaded_model_carries_its_contract(spark, trained):
+    base, p, _, _ = trained
+    info, model = registry.load_model(spark, base, Q.MODEL_NAME)
+    contract = contract_of(model)
+    assert contract.schema().names == info["features"] == V.FEATURES and len(contract.example_rows()) == 3
+    shuffled = p.test.select(*reversed(p.test.columns))
+    one, other = (model.transform(rows).select("doc_id", "prediction") for rows in (p.test, shuffled))
+    assert sorted(one.collect()) == sorted(other.collect())
+    with pytest.raises(ValueError, match="missing columns: f_b, f_q"):
+        model.transform(p.test.drop("f_b", "f_q"))
+    with pytest.raises(ValueError, match="f_a is string, not double"):
+        model.transform(p.test.withColumn("f_a", F.lit("x")))
+
+
+def test_requests_are_routed_by_version(spark, trained, folder):
+    _, p, winner, _ = trained
+    tags = spark.createDataFrame([({"features": '["a"]', "classes": '["x"]'},)], "tags map<string,string>")
+    for _ in range(2):
+        registry.register(winner.model, folder, "m", 0.95, tags)
+    good = [0.0] * 26
+    requests = spark.createDataFrame(
+        [(1, "m", "1"), (2, None, None), (3, "m", "7"), (4, "nobody", ""), (5, "m", None), (6, "m", "2"), (7, "m", "1")],
+        "request_id int, name string, version string",
+    )
+    rows = spark.createDataFrame(
+        [(1, 1, good), (1, 2, [1.0]), (2, 1, good), (3, 1, good), (5, 1, [0.0, 1.0]), (5, 2, good), (6, 1, None), (8, 1, good)],
+        "request_id int, row_id int, row_values array<double>",
+    )
+    versions = registry.read_versions(spark, f"{folder}/versions")
+    routed = {(r["request_id"], r["row_id"]): r["refusal"] for r in serve.route(requests, rows, versions, "m").collect()}
+    wide = "expected 1 values (a), got %d"
+    assert routed == {
+        (1, 1): wide % 26, (1, 2): wide % 26, (2, 1): wide % 26, (3, 1): "no version '7' of model 'm'", (4, None): "no registered model 'nobody'",
+        (5, 1): wide % 2, (5, 2): wide % 2, (6, 1): wide % 0, (7, None): "nothing to predict",
+    }
+    tags = spark.range(1).select(F.create_map(F.lit("features"), S.list_tag(V.FEATURES), F.lit("classes"), S.list_tag(p.classes)).alias("tags"))
+    registry.register(winner.model, folder, "m", 0.95, tags)
+    out = serve.answer(spark, folder, requests.filter("request_id IN (2, 4)"), rows, "m").orderBy("request_id").collect()
+    assert [(r["request_id"], r["version"], r["refusal"]) for r in out] == [(2, "3", None), (4, None, "no registered model 'nobody'")]
+    assert out[0]["label"] in p.classes and out[1]["prediction"] is None
+
+
 def test_one_bad_row_refuses_its_request(spark):
     rows = spark.createDataFrame(
         [(1, [1.0, 2.0]), (1, [1.0]), (2, [1.0, 2.0])], "request_id int, v array<double>"
