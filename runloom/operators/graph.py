@@ -92,35 +92,32 @@ def adjacency(tasks: DataFrame, edges: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """All transitive parents: ``(dag_id, task_id, ancestor)``.
 
-    Without ``of`` every task is answered; path lengths double each round, so a
-    DAG of depth d takes about log2(d) rounds.  With ``of(dag_id, task_id)`` only
-    those tasks are followed, one edge per round.  Both stop on cycles.
+    Without ``of`` every task is answered. Round k adds the pairs that are more than 2^k and at most
+    2^(k+1) edges apart: a shortest path that long begins with one of exactly 2^k edges, so only those pairs
+    are joined with what is known. A pair is written once, when it is found, and a DAG of depth d takes about
+    log2(d) rounds. With ``of(dag_id, task_id)`` only those tasks are followed, one edge per round. Both stop on cycles.
     """
     if of is not None:
         return _follow(edges, of)
+    spark = edges.sparkSession
+    base = new_dir(spark, "reach")
     pairs = edges.select("dag_id", F.col("downstream").alias("task_id"), F.col("upstream").alias("ancestor")).distinct()
-    reach, n = stage(pairs, "reach")  # walks of 1 .. 2^k edges
-    walks = reach  # walks of exactly 2^k edges
-    for _ in range(64):
-        hop = walks.select("dag_id", F.col("task_id").alias("ancestor"), F.col("ancestor").alias("_far"))
-        # Both products need the same hop, so one job writes them, told apart by ``exact``.
-        grown = (
-            reach.withColumn("exact", F.lit(False))
-            .unionByName(_step_up(reach, hop).withColumn("exact", F.lit(False)))
-            .unionByName(_step_up(walks, hop).withColumn("exact", F.lit(True)))
-            .distinct()
+    fresh = pairs.withColumn("apart", F.lit(1).cast("bigint"))
+    schema = fresh.schema
+    for k in count():
+        _, n = stage(fresh, path=f"{base}/round={k}")
+        known = spark.read.schema(schema).parquet(base)
+        if n == 0:
+            return known.select("dag_id", "task_id", "ancestor")
+        far = known.filter(F.col("apart") == 1 << k).select("dag_id", "task_id", F.col("ancestor").alias("_at"))
+        step = known.select("dag_id", F.col("task_id").alias("_at"), "ancestor", "apart")
+        fresh = (
+            far.join(step, ["dag_id", "_at"])
+            .groupBy("dag_id", "task_id", "ancestor")
+            .agg((F.min("apart") + (1 << k)).alias("apart"))
+            .join(known.drop("apart"), ["dag_id", "task_id", "ancestor"], "left_anti")
+            .select(*schema.names)
         )
-        counts = {"reach": F.count_if(~F.col("exact")), "walks": F.count_if(F.col("exact"))}
-        both, seen = stage_counted(grown, counts, "reach", partition_by=["exact"])
-        reach, walks = both.filter("NOT exact").drop("exact"), both.filter("exact").drop("exact")
-        if seen["reach"] == n or seen["walks"] == 0:  # nothing new, or no longer walk left
-            return reach
-        n = seen["reach"]
-    raise RuntimeError("closure did not settle")
-
-
-def _step_up(pairs: DataFrame, hop: DataFrame) -> DataFrame:
-    return pairs.join(hop, ["dag_id", "ancestor"]).select("dag_id", "task_id", F.col("_far").alias("ancestor"))
 
 
 def _follow(edges: DataFrame, of: DataFrame) -> DataFrame:
@@ -198,39 +195,21 @@ def topo_order(tasks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return order, stuck
 
 
-def spread_failure(states: DataFrame, edges: DataFrame, now: Column | None = None) -> DataFrame:
+def spread_failure(states: DataFrame, edges: DataFrame, now: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """Pending tasks below a failed one become ``upstream_failed``, naming it.
 
     ``states(run_id, dag_id, task_id, state, finished_at, ...)`` comes back whole
     with an ``error`` column, and with ``now`` as the end of the tasks that were hit.
-    The first failure by (finished_at, task_id) is named.  Blame walks down the
-    edges from the failed rows, one edge per round; a task passes on only the
-    first blame it has met, and only when that is better than before.
+    The first failure by (finished_at, task_id) is named. Who lies below whom comes from ``index``, the
+    ``ancestors`` of the DAGs (worked out here if not given), which all runs of a DAG share: the blame of
+    all runs is one join and one fold, whatever the depth.
     """
-    spark = states.sparkSession
-    base = new_dir(spark, "blame")
-    down = edges.select("dag_id", F.col("upstream").alias("task_id"), "downstream").distinct()
+    below = ancestors(edges) if index is None else index
     key = ["run_id", "dag_id", "task_id"]
-    first = F.struct("finished_at", "seed")
-    front = states.filter(F.col("state") == fixed.FAILED).select(*key, "finished_at", F.col("task_id").alias("seed"))
-    schema = front.schema
-    for i in count():
-        hit = (
-            front.join(down, ["dag_id", "task_id"])
-            .select("run_id", "dag_id", F.col("downstream").alias("task_id"), "finished_at", "seed")
-            .groupBy(*key)
-            .agg(F.min(first).alias("b"))
-        )
-        if i:
-            known = spark.read.schema(schema).parquet(base).groupBy(*key).agg(F.min(first).alias("k"))
-            hit = hit.join(known, key, "left").filter(F.col("k").isNull() | (F.col("b") < F.col("k")))
-        _, n = stage(hit.select(*key, "b.finished_at", "b.seed"), path=f"{base}/round={i}")
-        if n == 0:
-            break
-        front = spark.read.schema(schema).parquet(f"{base}/round={i}")
-    blame = (
-        spark.read.schema(schema).parquet(base).groupBy("run_id", "dag_id", "task_id").agg(F.min(first)["seed"].alias("blamed"))
+    failed = states.filter(F.col("state") == fixed.FAILED).select(
+        "run_id", "dag_id", F.col("task_id").alias("ancestor"), F.struct("finished_at", F.col("task_id").alias("seed")).alias("_first")
     )
+    blame = failed.join(below, ["dag_id", "ancestor"]).groupBy(*key).agg(F.min("_first")["seed"].alias("blamed"))
     out = states if "error" in states.columns else states.withColumn("error", F.lit(None).cast("string"))
     hit = (F.col("state") == fixed.PENDING) & F.col("blamed").isNotNull()
     ended = F.col("finished_at") if now is None else F.when(hit, now).otherwise(F.col("finished_at"))

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from fractions import Fraction
 from math import ceil
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,6 +181,62 @@ def fit_candidates(
     ]
 
 
+@dataclass
+class Search:
+    """A grid searched by k folds: ``scores(task_id, fold, accuracy)``, and the winner, fitted on all rows."""
+
+    scores: DataFrame
+    winner: Candidate
+
+
+def grid(task_id: str, estimator: Estimator, **values: Sequence) -> dict[str, Estimator]:
+    """One estimator per combination of parameter values, named ``task_id.param=value...``."""
+    found = ParamGridBuilder()
+    for name, some in values.items():
+        found = found.addGrid(estimator.getParam(name), list(some))
+    return {
+        ".".join([task_id, *[f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)]]): estimator.copy(m)
+        for m in found.build()
+    }
+
+
+def fold_of(key: str, folds: int, seed: int = 0) -> Column:
+    """The fold of a row, by a hash of its key: 0 to ``folds`` - 1."""
+    return (F.conv(F.substring(_split_hash(key, seed), 1, 8), 16, 10).cast("bigint") % folds).cast("int")
+
+
+def grid_search(
+    rows: DataFrame, features: Sequence[str], key: str, estimators: Mapping[str, Estimator], folds: int = 3, parallelism: int = 4
+) -> Search:
+    """Scores every estimator on every fold by a model of the other folds; the best mean wins, ties by name.
+
+    The rows are read once and persisted, folds are a column of theirs. All fits run from one bounded pool; a fold's
+    models are scored in one pass. At most ``len(estimators) * folds`` models are on the driver.
+    """
+    spark = rows.sparkSession
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
+    held = gather(rows.select(*features, "target", fold_of(key, folds).alias("fold"))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+
+        def fit(task: str, fold: int) -> PipelineModel:
+            return Pipeline(stages=[assemble, estimators[task]]).fit(held.filter(F.col("fold") != fold))
+
+        tasks = sorted(estimators)
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            started = {(f, t): pool.submit(inheritable_thread_target(spark)(fit), t, f) for f in range(folds) for t in tasks}
+            models = {at: future.result() for at, future in started.items()}
+        found = []
+        for f in range(folds):
+            accuracy = evaluate(held.filter(F.col("fold") == f), {str(i): models[f, t] for i, t in enumerate(tasks)})
+            found += [(t, f, accuracy[str(i)]) for i, t in enumerate(tasks)]
+    finally:
+        held.unpersist()
+    scores = local_table(spark, found, "task_id string, fold int, accuracy double")
+    mean = {t: [a for name, _, a in found if name == t and a is not None] for t in tasks}
+    best = min(tasks, key=lambda t: (-sum(mean[t]) / len(mean[t]) if mean[t] else float("inf"), t))
+    return Search(scores, fit_candidates(rows, features, {best: estimators[best]})[0])
+
+
 def predictions(rows: DataFrame, models: Mapping[str, PipelineModel]) -> DataFrame:
     """Adds ``p_<task>`` for every model in one pass over the rows."""
     out = rows
@@ -192,7 +249,7 @@ def predictions(rows: DataFrame, models: Mapping[str, PipelineModel]) -> DataFra
 
 def evaluate(rows: DataFrame, models: Mapping[str, PipelineModel]) -> dict[str, float]:
     """Accuracy of each model on the same rows, from one scan."""
-    hit = lambda t: F.avg((F.col(f"p_{t}") == F.col("target")).cast("double")).alias(t)
+    hit = lambda t: F.avg((F.col(f"`p_{t}`") == F.col("target")).cast("double")).alias(t)
     row = predictions(rows, models).agg(*[hit(t) for t in models]).first()
     return {t: row[t] for t in models}
 

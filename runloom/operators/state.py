@@ -111,15 +111,19 @@ def init_tasks(runs: DataFrame, tasks: DataFrame, existing: DataFrame) -> DataFr
     return existing.select("run_id", "task_id", "state", "try_number").unionByName(fresh)
 
 
-def ready_tasks(states: DataFrame, edges: DataFrame) -> DataFrame:
+def ready_tasks(states: DataFrame, edges: DataFrame, run_tasks: DataFrame | None = None) -> DataFrame:
     """Pending or unseen tasks whose every parent succeeded.
 
     One pass over the state table: each row says whether its own task is pending
     and counts as one for its children when it succeeded.  A child that never speaks
     for itself has no row yet and so is pending.  The sums per (run, task) are
-    combined before the only shuffle and compared with the in-degree.  (A task
-    without parents and without a row is for ``init_tasks`` to find.)
+    combined before the only shuffle and compared with the in-degree.  A task
+    without parents and without a row is only known from ``run_tasks(run_id, dag_id, task_id)``,
+    the tasks that the runs should have; without it such tasks are for ``init_tasks`` to find.
     """
+    if run_tasks is not None:
+        keys = ["run_id", "dag_id", "task_id"]
+        states = run_tasks.select(*keys).join(states.select(*keys, "state"), keys, "full")
     e = edges.select("dag_id", F.col("upstream").alias("task_id"), "downstream").distinct()
     need = e.groupBy("dag_id", F.col("downstream").alias("task_id")).agg(F.count(F.lit(1)).alias("need"))
     pending = F.coalesce("state", F.lit(fixed.PENDING)) == fixed.PENDING
@@ -145,8 +149,7 @@ def upstream_results(run_tasks: DataFrame, edges: DataFrame, results: DataFrame)
 
     ``run_tasks(run_id, dag_id, task_id)``, ``results(run_id, task_id, result)``.
     """
-    asked = run_tasks.select("dag_id", "task_id").distinct()
-    pairs = ancestors(edges, of=asked)
+    pairs = ancestors(edges)  # of the DAGs, which their runs share: about log2(depth) rounds
     found = results.select("run_id", F.col("task_id").alias("ancestor"), "result")
     return (
         run_tasks.select("run_id", "dag_id", "task_id")

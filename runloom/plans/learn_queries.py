@@ -175,6 +175,36 @@ def fit_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return logged.withColumn("value", F.when(passed, "passed").otherwise(F.col("value")))
 
 
+_GRID = {"tree.maxDepth=2": "2", "tree.maxDepth=5": "5", "flat.regParam=0.001": "-", "flat.regParam=1.0": "-"}
+
+
+@query(
+    "grid_search",
+    "M3",
+    f"""
+WITH folds AS (SELECT doc_id, CAST('0x' || substr(md5('0:' || doc_id), 1, 8) AS BIGINT) % 3 AS fold FROM documents)
+SELECT t.task_id, CAST(f.fold AS INT) AS fold, f.n, t.task_id NOT LIKE '%1.0' AS trusted, true AS won
+FROM (SELECT fold, count(*) AS n FROM folds GROUP BY fold) f, (VALUES {", ".join(f"('{t}')" for t in _GRID)}) AS t(task_id)""",
+)
+def grid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Two depths of a tree and two penalties of a regression over three folds: each score, and how many rows it is of.
+
+    ``trusted``: every candidate but the over-penalised one is right more often than the largest language alone would be;
+    ``won``: the winner has the best mean of all.
+    """
+    p = prepare(spark, sf)
+    rows = p.train.unionByName(p.test)
+    flat = learn.logreg(p.n_train, max_iter=30)
+    found = learn.grid_search(rows, FEATURES, "doc_id", learn.grid("tree", learn.tree(), maxDepth=[2, 5]) | learn.grid("flat", flat, regParam=[1e-3, 1.0]))
+    sizes = rows.groupBy(learn.fold_of("doc_id", 3).alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+    means = found.scores.groupBy("task_id").agg(F.avg("accuracy").alias("mean"))
+    best = means.agg(F.max("mean").alias("best"))
+    top = means.filter(F.col("task_id") == found.winner.task_id).first()["mean"]
+    return found.scores.join(sizes, "fold").select(
+        "task_id", "fold", "n", (F.col("accuracy") > 0.6).alias("trusted"), F.lit(top == best.first()["best"]).alias("won")
+    )
+
+
 @query(
     "evaluate",
     "M4",
@@ -560,3 +590,30 @@ def group_function(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = V.table(spark, sf, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity")
     return steps.group_function(rows, ["l_returnflag"], sums, line, 5, ["n", "slope", "intercept"])
+
+
+@query(
+    "group_logistic",
+    "U3",
+    """
+SELECT l_returnflag, l_linestatus, count(*) AS n, true AS converged, true AS better FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+)
+def group_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    """Which lines hold more than 25 pieces, by a logistic regression per return flag and line status, all fitted in the same rounds.
+
+    ``better``: the group's log loss is below that of its base rate.
+    """
+    keys, inputs = ["l_returnflag", "l_linestatus"], ["price", "discount", "tax"]
+    rows = V.table(spark, sf, "lineitem").select(
+        *keys, (F.col("l_extendedprice") / 50_000).cast("double").alias("price"), (10 * F.col("l_discount")).cast("double").alias("discount"),
+        (10 * F.col("l_tax")).cast("double").alias("tax"), (F.col("l_quantity") > 25).cast("double").alias("large"),
+    )
+    fitted = steps.group_rounds(rows, keys, steps.logistic(inputs, "large", penalty=1e-3))
+    margin = F.get("weights", F.lit(0))
+    for i, c in enumerate(inputs):
+        margin = margin + F.get("weights", F.lit(i + 1)) * F.col(c)
+    loss = F.avg(F.log1p(F.exp(-F.abs(margin))) + F.greatest(margin, F.lit(0.0)) - F.col("large") * margin)
+    rate = F.avg("large")
+    base = -(rate * F.log(rate) + (1 - rate) * F.log(1 - rate))
+    scored = rows.join(fitted, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bool_and("converged").alias("converged"), loss.alias("l"), base.alias("b"))
+    return scored.select(*keys, "n", "converged", F.coalesce(F.col("l") <= F.col("b"), F.col("b").isNull()).alias("better"))

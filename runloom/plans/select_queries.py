@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions import fixed
 from runloom.functions import scalars as S
-from runloom.operators import graph, select
+from runloom.operators import graph, select, state
 from runloom.operators.keyed import LIST_CHUNK
 from runloom.plans.catalog import query
 from runloom.plans.state_queries import _CLOSURE
@@ -198,6 +198,26 @@ def task_logs(spark: SparkSession, sf: str) -> DataFrame:
     return logs.read_log_lines(spark, path)
 
 
+@query(
+    "asked_logs",
+    "S6",
+    """
+SELECT k.run_id, k.task_id, a.attempt, 'run ' || a.run_id || ' ended at ' || a.finished_at AS line,
+  CASE WHEN a.attempt IS NULL THEN 'no logs for task ''' || k.task_id || ''' in ' || k.run_id END AS problem
+FROM (SELECT r.run_id, t.task_id FROM runs r JOIN tasks t ON t.dag_id = r.dag_id WHERE r.state = 'failed') k
+LEFT JOIN (SELECT * FROM attempts QUALIFY attempt = max(attempt) OVER (PARTITION BY run_id, task_id)) a
+  ON a.run_id = k.run_id AND a.task_id = k.task_id""",
+    "runs tasks attempts",
+)
+def asked_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest log of every task of the failed runs; tasks that never started have none."""
+    path = new_dir(spark, "logs")
+    line = F.format_string("run %d ended at %d", "run_id", "finished_at").alias("line")
+    logs.write_log_lines(V.attempts(spark, sf).select("run_id", "task_id", "attempt", line), path)
+    failed = V.runs(spark, sf).filter(F.col("state") == fixed.FAILED)
+    return logs.find_log_lines(spark, path, failed.join(V.tasks(spark), "dag_id").select("run_id", "task_id"))
+
+
 @query(
     "run_store",
     "S7",
@@ -212,6 +232,7 @@ def run_store(spark: SparkSession, sf: str) -> DataFrame:
     store.create_store(spark, base)
     runs = V.runs(spark, sf)
     store.append(runs.withColumn("seq", F.lit(0)), base, "runs")
+    store.compact(spark, base, "runs")  # later changes lie beside the snapshot
     closed = runs.filter(F.col("state") == fixed.RUNNING).withColumns(
         {"state": F.lit(fixed.FAILED), "finished_at": F.col("created_at") + 5, "seq": F.lit(1)}
     )
@@ -371,3 +392,72 @@ FROM task_states s LEFT JOIN (
 def spread_failure(spark: SparkSession, sf: str) -> DataFrame:
     out = graph.spread_failure(V.task_states(spark, sf), V.edges(spark), F.lit(V.NOW).cast("bigint"))
     return out.select("run_id", "task_id", "state", "error", "finished_at")
+
+
+_ORDER_STATES = f"""(SELECT o_custkey AS run_id, o_custkey AS dag_id, o_orderkey AS task_id,
+  CASE WHEN o_orderstatus <> 'F' THEN 'pending' WHEN o_orderkey % 4 = 0 THEN 'failed' ELSE 'success' END AS state,
+  CASE WHEN o_orderstatus = 'F' THEN CAST(epoch(o_orderdate) AS BIGINT) END AS finished_at, o_totalprice AS result FROM orders)"""
+
+
+def order_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks of the customers' DAGs (``edges_big``) as one run each: fulfilled orders have ended, some badly."""
+    done = F.col("o_orderstatus") == "F"
+    state_of = F.when(~done, fixed.PENDING).when(F.col("o_orderkey") % 4 == 0, fixed.FAILED).otherwise(fixed.SUCCESS)
+    customer = F.col("o_custkey")
+    return V.table(spark, sf, "orders").select(
+        customer.alias("run_id"), customer.alias("dag_id"), F.col("o_orderkey").alias("task_id"), state_of.alias("state"),
+        F.when(done, V.epoch("o_orderdate")).alias("finished_at"), F.col("o_totalprice").alias("result"),
+    )
+
+
+@query(
+    "order_failures",
+    "G5",
+    _CLOSURE.format(edges="edges_big")
+    + f"""SELECT s.run_id, s.task_id, CASE WHEN b.seed IS NOT NULL THEN 'upstream_failed' ELSE s.state END AS state,
+  CASE WHEN b.seed IS NOT NULL THEN 'upstream ''' || b.seed || ''' failed' END AS error, s.finished_at
+FROM {_ORDER_STATES} s LEFT JOIN (
+  SELECT p.run_id, p.task_id, f.task_id AS seed,
+    row_number() OVER (PARTITION BY p.run_id, p.task_id ORDER BY f.finished_at, f.task_id) AS rn
+  FROM {_ORDER_STATES} p JOIN reach c ON c.dag_id = p.dag_id AND c.task_id = p.task_id
+  JOIN {_ORDER_STATES} f ON f.run_id = p.run_id AND f.task_id = c.ancestor AND f.state = 'failed'
+  WHERE p.state = 'pending') b ON b.run_id = s.run_id AND b.task_id = s.task_id AND b.rn = 1""",
+    "edges_big",
+    recursive=True,
+)
+def order_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures spread over graphs that come from the data and grow with it."""
+    out = graph.spread_failure(order_states(spark, sf), V.edges_big(spark, sf))
+    return out.select("run_id", "task_id", "state", "error", "finished_at")
+
+
+@query(
+    "order_inputs",
+    "J1",
+    _CLOSURE.format(edges="edges_big")
+    + f"""SELECT p.run_id, p.task_id, c.ancestor, f.result FROM {_ORDER_STATES} p JOIN reach c ON c.dag_id = p.dag_id AND c.task_id = p.task_id
+LEFT JOIN {_ORDER_STATES} f ON f.run_id = p.run_id AND f.task_id = c.ancestor AND f.state = 'success' WHERE p.state = 'pending'""",
+    "edges_big",
+    recursive=True,
+)
+def order_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """What every pending order would be given: the results of all orders above it."""
+    rows = order_states(spark, sf)
+    pending, done = (rows.filter(F.col("state") == s) for s in (fixed.PENDING, fixed.SUCCESS))
+    return state.upstream_results(pending, V.edges_big(spark, sf), done)
+
+
+@query(
+    "order_ready",
+    "J5",
+    f"""
+SELECT run_id, dag_id, task_id FROM {_ORDER_STATES} s WHERE state = 'pending' AND NOT EXISTS (
+  SELECT 1 FROM edges_big e JOIN {_ORDER_STATES} p ON p.run_id = s.run_id AND p.task_id = e.upstream
+  WHERE e.dag_id = s.dag_id AND e.downstream = s.task_id AND p.state <> 'success')""",
+    "edges_big",
+)
+def order_ready(spark: SparkSession, sf: str) -> DataFrame:
+    """Pending orders have no row of their own here, those without a parent included."""
+    rows = order_states(spark, sf)
+    seen = rows.filter(F.col("state") != fixed.PENDING)
+    return state.ready_tasks(seen, V.edges_big(spark, sf), rows.select("run_id", "dag_id", "task_id"))

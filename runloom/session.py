@@ -47,7 +47,11 @@ def work_dir(spark: SparkSession) -> str:
 
 def new_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the work folder; nothing is ever written twice to it."""
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{new_name(label)}"
+
+
+def new_name(label: str) -> str:
+    return f"{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str = "stage", path: str | None = None) -> tuple[DataFrame, int]:

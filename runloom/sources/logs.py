@@ -5,26 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.functions import fixed
 from runloom.operators.keyed import latest
 
 
-def read_log_files(spark: SparkSession, path: str, task_id: str | None = None, all_tries: bool = False) -> DataFrame:
-    """Logs named ``<task>.<try>.log``, whole text; the newest try unless all are asked for.
+def list_log_files(spark: SparkSession, path: str, task_id: str | None = None, all_tries: bool = False) -> DataFrame:
+    """``(file, length, run_dir, task_id, attempt)`` of logs named ``<task>.<try>.log``, from the listing alone.
 
-    Tries are compared as numbers, so try 10 is newer than try 9.
+    The newest try unless all are asked for; tries are compared as numbers, so try 10 is newer than try 9.
+    Spark lists no file without a byte, so an empty log counts as none.
     """
-    name = F.col("_metadata.file_name")
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.log").select(
-        F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "").alias("run_dir"),
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.log").load(path)
+    name = F.substring_index("path", "/", -1)
+    files = listed.select(
+        F.col("path").alias("file"),
+        "length",
+        F.regexp_replace("path", r"/[^/]*$", "").alias("run_dir"),
         F.regexp_extract(name, r"^(.*)\.(\d+)\.log$", 1).alias("task_id"),
         F.regexp_extract(name, r"^(.*)\.(\d+)\.log$", 2).try_cast("bigint").alias("attempt"),
-        F.col("value").alias("text"),
     )
     if task_id is not None:
         files = files.filter(F.col("task_id") == task_id)
     return files if all_tries else latest(files, ["run_dir", "task_id"], ["attempt"])
 
 
+def read_log_files(spark: SparkSession, path: str, task_id: str | None = None, all_tries: bool = False) -> DataFrame:
+    """Whole texts of the logs that ``list_log_files`` chooses; other files are not opened.
+
+    The chosen paths are on the driver, as the listing of any scan is.
+    """
+    chosen = list_log_files(spark, path, task_id, all_tries).select("file", "run_dir", "task_id", "attempt")
+    paths = [r["file"] for r in chosen.select("file").collect()]
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.log")
+    texts = texts.filter(F.col("_metadata.file_path").isin(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return chosen.join(texts, "file").select("run_dir", "task_id", "attempt", "text")
+
+
 def require_logs(logs: DataFrame, task_id: str) -> DataFrame:
     if logs.isEmpty():
         raise FileNotFoundError(f"no logs for task {task_id!r}")
@@ -34,13 +50,16 @@ def require_logs(logs: DataFrame, task_id: str) -> DataFrame:
 BUCKETS = 256  # folders of a log table, whatever the number of runs
 
 
+def _bucket():
+    return F.pmod(F.xxhash64("run_id", "task_id"), F.lit(BUCKETS)).cast("int")
+
+
 def write_log_lines(lines: DataFrame, path: str) -> None:
     """``(run_id, task_id, attempt, line)`` as a table in ``BUCKETS`` folders, the lines of a task together.
 
     Beside it goes an index: which attempts a task of a run has.
     """
-    bucket = F.pmod(F.xxhash64("run_id", "task_id"), F.lit(BUCKETS)).cast("int")
-    lines.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "run_id", "task_id", "attempt").write.partitionBy(
+    lines.withColumn("bucket", _bucket()).hint("rebalance", "bucket").sortWithinPartitions("bucket", "run_id", "task_id", "attempt").write.partitionBy(
         "bucket"
     ).parquet(f"{path}/lines")
     attempts = lines.select("run_id", "task_id", "attempt").distinct()
@@ -61,3 +80,21 @@ def read_log_lines(spark: SparkSession, path: str, all_tries: bool = False, run_
         return lines
     newest = index.groupBy("run_id", "task_id").agg(F.max("attempt").alias("attempt"))
     return lines.join(newest, ["run_id", "task_id", "attempt"], "left_semi")
+
+
+def find_log_lines(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """The newest log of each asked ``(run_id, task_id)``, line by line, or a row that says there is none.
+
+    ``(run_id, task_id, attempt, line, problem)``: attempt and line are null where a problem is named. The folders that hold none
+    of the asked tasks are not read (partition filter at run time).
+    """
+    wanted = asked.select("run_id", "task_id").distinct()
+    newest = spark.read.parquet(f"{path}/attempts").groupBy("run_id", "task_id").agg(F.max("attempt").alias("attempt"))
+    known = wanted.join(newest, ["run_id", "task_id"], "left").withColumn("bucket", _bucket())
+    lines = spark.read.parquet(f"{path}/lines")
+    kinds = dict(lines.dtypes)
+    found = lines.join(known.filter(F.col("attempt").isNotNull()), ["bucket", "run_id", "task_id", "attempt"], "left_semi")
+    missing = known.filter(F.col("attempt").isNull()).select(
+        "run_id", "task_id", "attempt", F.lit(None).cast(kinds["line"]).alias("line"), F.format_string(fixed.NO_LOGS, "task_id", F.col("run_id").cast("string")).alias("problem")
+    )
+    return found.select("run_id", "task_id", "attempt", "line", F.lit(None).cast("string").alias("problem")).unionByName(missing)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runloom.operators import graph, keyed
+from runloom.operators import graph, keyed, state
 
 EDGE = "dag_id string, upstream string, downstream string"
 TASK = "dag_id string, task_id string"
@@ -190,3 +190,25 @@ def test_failure_spreads_round_a_cycle_and_stops(spark):
     states = spark.createDataFrame(rows, "run_id string, dag_id string, task_id string, state string, finished_at int")
     got = {r["task_id"]: r["state"] for r in graph.spread_failure(states, edges).collect()}
     assert got == {"bad": "failed", "a": "upstream_failed", "b": "upstream_failed"}
+
+
+def test_each_pair_is_written_once(spark):
+    """A hub of 300 x 300 paths and a chain of 40: log2(depth) rounds, and no pair in more than one of them."""
+    hub = [("h", f"u{i}", "hub") for i in range(300)] + [("h", "hub", f"d{i}") for i in range(300)]
+    chain = [("c", f"n{i:02}", f"n{i + 1:02}") for i in range(40)]
+    edges = spark.createDataFrame(hub + chain, EDGE)
+    found = graph.ancestors(edges)
+    assert found.count() == 600 + 300 * 300 + 41 * 40 // 2 == found.distinct().count()
+    base = found.inputFiles()[0].split("/round=")[0]
+    written = spark.read.parquet(base)
+    assert written.count() == found.count()
+    per = {r["round"]: r["n"] for r in written.groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert [r for r in sorted(per) if per[r]] == [0, 1, 2, 3, 4, 5, 6]  # 1, 2, 4, ... 32, 40 edges
+
+
+def test_roots_without_a_row_are_ready(spark):
+    edges = spark.createDataFrame([("d", "a", "b")], EDGE)
+    tasks = spark.createDataFrame([(1, "d", t) for t in "abc"] + [(2, "d", "a")], "run_id int, dag_id string, task_id string")
+    seen = spark.createDataFrame([(1, "d", "a", "success")], "run_id int, dag_id string, task_id string, state string")
+    got = sorted((r["run_id"], r["task_id"]) for r in state.ready_tasks(seen, edges, tasks).collect())
+    assert got == [(1, "b"), (1, "c"), (2, "a")]

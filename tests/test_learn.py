@@ -282,3 +282,20 @@ def test_null_labels_are_a_class_and_null_scores_never_win(spark):
     wide = {r["run_id"]: r for r in select.metrics_wide(scores).collect()}
     assert wide["r"]["winner"] == "train_b" and wide["r"]["test_accuracy.train_b"] == 0.5 and "test_accuracy.train_z" in wide["r"]
     assert {(r["task_id"], r["winner"]) for r in select.metrics_long(scores).collect() if r["run_id"] == "r"} == {("train_a", "train_b"), ("train_b", "train_b")}
+
+
+def test_grid_search_scores_every_fold_and_reads_once(spark):
+    p = Q.prepare(spark, SF)
+    rows = p.train.unionByName(p.test)
+    estimators = learn.grid("tree", learn.tree(), maxDepth=[1, 4], impurity=["gini", "entropy"])
+    assert sorted(estimators)[0] == "tree.impurity=entropy.maxDepth=1" and len(estimators) == 4
+    found = learn.grid_search(rows, V.FEATURES, "doc_id", estimators, folds=3)
+    scores = {(r["task_id"], r["fold"]): r["accuracy"] for r in found.scores.collect()}
+    assert len(scores) == 12 and all(0 <= a <= 1 for a in scores.values())
+    mean = {t: sum(scores[t, f] for f in range(3)) / 3 for t in estimators}
+    assert found.winner.task_id == min(mean, key=lambda t: (-mean[t], t)) and "maxDepth=4" in found.winner.task_id
+    held_out = rows.filter(learn.fold_of("doc_id", 3) == 1)
+    t = found.winner.task_id
+    again = learn.fit_candidates(rows.filter(learn.fold_of("doc_id", 3) != 1), V.FEATURES, {t: estimators[t]})[0]
+    assert learn.evaluate(held_out, {"x": again.model})["x"] == scores[t, 1]
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()

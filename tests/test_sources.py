@@ -131,3 +131,100 @@ def test_small_tables_become_local_and_large_ones_are_staged(spark):
 def test_work_dir_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     assert base is None or work_dir(spark).startswith(base)
+
+
+RUN_COLUMNS = "run_id string, dag_id string, state string, trigger string, created_at double, finished_at double, run_dir string"
+
+
+def run_rows(spark, ids, state, seq):
+    rows = [(str(i), "d", state, "manual", 1.0, None, "/r") for i in ids]
+    return spark.createDataFrame(rows, RUN_COLUMNS).withColumn("seq", F.lit(seq))
+
+
+def states(df):
+    return {r["run_id"]: r["state"] for r in df.collect()}
+
+
+def test_compaction_folds_and_later_batches_win(spark, folder):
+    store.create_store(spark, folder)
+    store.append(run_rows(spark, range(50), "pending", 0), folder, "runs")
+    store.append(run_rows(spark, range(10), "running", 1), folder, "runs")
+    store.compact(spark, folder, "runs")
+    store.append(run_rows(spark, [3, 60], "success", 2), folder, "runs")
+    store.append(run_rows(spark, [5], "late", 0), folder, "runs")  # an older version never wins
+    want = {str(i): "running" if i < 10 else "pending" for i in range(50)} | {"3": "success", "60": "success"}
+    assert states(store.read(spark, folder, "runs")) == want
+    store.compact(spark, folder, "runs")
+    gone = store.vacuum(spark, folder, "runs")
+    assert states(store.read(spark, folder, "runs")) == want and len([g for g in gone if g.startswith("batch")]) == 5
+    assert [n for n in files.list_names(spark, f"{folder}/runs") if n.startswith("batch")] == []
+    store.append(run_rows(spark, [5], "success", 3), folder, "runs")
+    assert states(store.read(spark, folder, "runs", {"run_id": "5"})) == {"5": "success"}
+
+
+def test_one_run_reads_one_bucket(spark, folder):
+    store.create_store(spark, folder)
+    store.append(run_rows(spark, range(2000), "pending", 0), folder, "runs")
+    store.compact(spark, folder, "runs")
+    store.vacuum(spark, folder, "runs")
+    one = store.read(spark, folder, "runs", {"run_id": "77"})
+    assert states(one) == {"77": "pending"}
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(run_id,77)" in plan
+    with pytest.raises(ValueError, match="state: not a key of runs"):
+        store.read(spark, folder, "runs", {"state": "x"})
+
+
+def test_failed_writers_and_rival_compactions_lose_nothing(spark, folder, monkeypatch):
+    store.create_store(spark, folder)
+    store.append(run_rows(spark, range(5), "pending", 0), folder, "runs")
+    # a writer that died: a folder with rows, but not finished
+    run_rows(spark, [99], "pending", 0).write.parquet(f"{folder}/runs/batch-dead")
+    files.drop_path(spark, f"{folder}/runs/batch-dead/_SUCCESS")
+    assert set(states(store.read(spark, folder, "runs"))) == set("01234")
+
+    def lost(*_):
+        raise OSError("lost")
+
+    # a compaction that died before its live file
+    monkeypatch.setattr(store, "write_new_text_file", lost)
+    with pytest.raises(OSError):
+        store.compact(spark, folder, "runs")
+    monkeypatch.undo()
+    assert set(states(store.read(spark, folder, "runs"))) == set("01234")
+    # two at once: a rival finishes first, the other must not replace it
+    real = store.write_new_text_file
+
+    def overtaken(*a):
+        monkeypatch.undo()
+        store.append(run_rows(spark, [7], "pending", 0), folder, "runs")
+        store.compact(spark, folder, "runs")
+        real(*a)
+
+    monkeypatch.setattr(store, "write_new_text_file", overtaken)
+    with pytest.raises(Exception, match="exists"):
+        store.compact(spark, folder, "runs")
+    assert set(states(store.read(spark, folder, "runs"))) == set("012347")
+
+
+def test_only_the_chosen_logs_are_read(spark, folder):
+    os.makedirs(f"{folder}/r1/logs")
+    for name, text in {"a.1.log": "old", "a.10.log": "new", "a.9.log": "nine", "b.1.log": "", "notes.txt": "no"}.items():
+        with open(f"{folder}/r1/logs/{name}", "w") as f:
+            f.write(text)
+    listed = {(r["task_id"], r["attempt"]): r["length"] for r in logs.list_log_files(spark, folder, all_tries=True).collect()}
+    assert listed == {("a", 1): 3, ("a", 9): 4, ("a", 10): 3}  # a file without a byte is not listed
+    texts = logs.read_log_files(spark, folder)
+    assert {r["task_id"]: r["text"] for r in texts.collect()} == {"a": "new"}
+    plan = texts._jdf.queryExecution().executedPlan()
+    scan = next(n for n in str(plan.toString()).split("\n") if "FileScan text" in n)
+    assert "file_path" in scan.split("PartitionFilters")[1] or "file_path" in scan.split("DataFilters")[1]
+
+
+def test_asked_logs_name_what_is_missing(spark, folder):
+    lines = spark.createDataFrame([(1, "a", 1, "x"), (1, "a", 2, "y"), (1, "a", 2, "z"), (2, "b", 1, "w")], "run_id int, task_id string, attempt int, line string")
+    logs.write_log_lines(lines, f"{folder}/l")
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (3, "a"), (1, "a")], "run_id int, task_id string")
+    found = logs.find_log_lines(spark, f"{folder}/l", asked).collect()
+    got = sorted(((r["run_id"], r["task_id"], r["line"], r["problem"]) for r in found), key=str)
+    assert got == [(1, "a", "y", None), (1, "a", "z", None), (1, "b", None, "no logs for task 'b' in 1"), (3, "a", None, "no logs for task 'a' in 3")]

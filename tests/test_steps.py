@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from runloom.operators import steps
@@ -47,3 +50,44 @@ def test_group_function_does_not_depend_on_batches(spark):
     got = {r["k"]: r["m"] for r in steps.group_function(rows.repartition(7), ["k"], sums, mean, 2, ["m"]).collect()}
     want = {r["k"]: r["m"] for r in rows.groupBy("k").agg(F.avg("x").alias("m")).collect()}
     assert got == pytest.approx(want)
+
+
+def labelled(spark, n=3000):
+    """Three groups, one with two thirds of the rows and one with a null key, and noisy 0/1 targets of two inputs."""
+    rng = np.random.default_rng(5)
+    group = np.where(np.arange(n) % 3 != 2, "hot", np.where(np.arange(n) % 2 == 0, "small", None))
+    x = rng.normal(size=(n, 2))
+    slope = np.where(group == "hot", 2.0, -1.0)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.3 + slope * x[:, 0] + 0.5 * x[:, 1])))).astype(float)
+    rows = [(g, float(a), float(b), float(t)) for g, (a, b), t in zip(group, x, y)]
+    return spark.createDataFrame(rows, "kind string, a double, b double, y double")
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.1])
+def test_logistic_groups_equal_single_fits(spark, penalty):
+    rows = labelled(spark)
+    out = steps.group_rounds(rows.repartition(5), ["kind"], steps.logistic(["a", "b"], "y", penalty))
+    got = {r["kind"]: r for r in out.collect()}
+    assert set(got) == {"hot", "small", None} and all(r["converged"] for r in got.values())
+    assemble = VectorAssembler(inputCols=["a", "b"], outputCol="f")
+    for kind, r in got.items():
+        one = assemble.transform(rows.filter(F.col("kind").eqNullSafe(kind)))
+        m = LogisticRegression(featuresCol="f", labelCol="y", regParam=penalty, standardization=False, tol=1e-12, maxIter=500).fit(one)
+        assert r["weights"] == pytest.approx([m.intercept, *m.coefficients.toArray()], abs=1e-5)
+
+
+def test_converged_groups_leave_and_open_ones_are_told(spark):
+    rows = spark.createDataFrame([("far", float(i)) for i in range(9)] + [("near", 0.0)], "kind string, x double")
+    seen = lambda g, w: [len(g), g["x"].sum()]
+
+    def toward_mean(w, s):
+        mean = s[1] / s[0]
+        step = np.clip(mean - w[0], -1, 1)
+        return [w[0] + step], abs(step) < 1e-9
+
+    trainer = steps.RoundTrainer([0.0], seen, toward_mean, 2)
+    got = {r["kind"]: (r["weights"], r["rounds"], r["converged"]) for r in steps.group_rounds(rows, ["kind"], trainer).collect()}
+    assert got == {"near": ([0.0], 1, True), "far": ([4.0], 5, True)}
+    cut = {r["kind"]: (r["weights"], r["rounds"], r["converged"]) for r in steps.group_rounds(rows, ["kind"], trainer, most=2).collect()}
+    assert cut == {"near": ([0.0], 1, True), "far": ([2.0], 2, False)}
+    assert steps.group_rounds(rows.limit(0), ["kind"], trainer).collect() == []
