@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.operators.keyed import key_hash
-from runloom.session import stage
+from runloom.session import new_name
 
 RUN_BUCKETS = 64
 
@@ -43,37 +43,72 @@ def read_split(spark: SparkSession, path: str, schema: T.StructType, run_id: str
 def write_runs(rows: DataFrame, path: str, buckets: int = RUN_BUCKETS) -> None:
     """Writes outputs of many runs; a run replaces its own rows and no others.
 
-    Runs share ``run_bucket=`` folders, so there are never more folders than
-    buckets.  Touched buckets are put together in a staged table first and then
-    swapped in by dynamic partition overwrite.
+    The rows go to a folder of their own (``data/write=N``, runs by ``run_bucket``), the runs they belong to into a
+    manifest, and then ``live-N``, which only one writer can create, makes both count: a reader sees all of a
+    write or nothing of it, and rows of other runs are neither read nor written. What a run's former write holds stays until
+    ``vacuum_runs``. A second writer at the same time fails and can be run again.
     """
     spark = rows.sparkSession
+    number = _live_number(spark, path) + 1
+    label = new_name(f"{number}")
     bucket = F.pmod(key_hash(["run_id"]), F.lit(buckets)).cast("int")
-    fresh = rows.withColumn("run_bucket", bucket)
-    old = _read_if_present(spark, path, fresh.schema)
-    if old is not None:
-        staged, _ = stage(fresh, "runs")
-        kept = old.join(staged.select("run_bucket").distinct(), "run_bucket", "left_semi").join(
-            staged.select("run_id").distinct(), "run_id", "left_anti"
-        )
-        fresh, _ = stage(kept.select(*fresh.columns).unionByName(staged), "merged")
     (
-        fresh.hint("rebalance", "run_bucket")  # one file per bucket, several for a large one
+        rows.withColumn("run_bucket", bucket)
+        .hint("rebalance", "run_bucket")  # one file per bucket, several for a large one
         .sortWithinPartitions("run_bucket", "run_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_bucket")
-        .parquet(path)
+        .write.partitionBy("run_bucket")
+        .parquet(f"{path}/data/write={label}")
     )
+    written = spark.read.schema(_with_places(rows.schema)).parquet(f"{path}/data/write={label}")
+    written.select("run_id").distinct().write.parquet(f"{path}/manifest/write={label}")
+    write_new_text_file(spark, f"{path}/live-{number}", label)
 
 
-def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    full = T.StructType([f for f in schema if f.name != "run_bucket"] + [T.StructField("run_bucket", T.IntegerType())])
-    return spark.read.schema(full).parquet(path)
+def _with_places(schema: T.StructType) -> T.StructType:
+    plain = [f for f in schema if f.name not in ("run_bucket", "write")]
+    return T.StructType([*plain, T.StructField("write", T.StringType()), T.StructField("run_bucket", T.IntegerType())])
 
 
-def _read_if_present(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    return read_runs(spark, path, schema) if path_exists(spark, path) else None
+def _live_number(spark: SparkSession, path: str) -> int:
+    return max([int(n.split("-")[1]) for n in list_names(spark, path) if n.startswith("live-")], default=0)
+
+
+def _live_writes(spark: SparkSession, path: str) -> list[str]:
+    """Labels of the writes that count, oldest first."""
+    numbers = sorted(int(n.split("-")[1]) for n in list_names(spark, path) if n.startswith("live-"))
+    if not numbers:
+        return []
+    labels = {int(r["value"].split("-")[0]): r["value"] for r in spark.read.text([f"{path}/live-{n}" for n in numbers]).collect()}
+    return [labels[n] for n in numbers]
+
+
+def _current(spark: SparkSession, path: str, run_type: T.DataType) -> DataFrame:
+    """The write that holds each run: ``(run_id, write)``."""
+    schema = T.StructType([T.StructField("run_id", run_type), T.StructField("write", T.StringType())])
+    live = _live_writes(spark, path)
+    if not live:
+        return spark.createDataFrame([], schema)
+    number = F.substring_index("write", "-", 1).cast("bigint")
+    named = spark.read.schema(schema).parquet(f"{path}/manifest").filter(F.col("write").isin(live))
+    return named.groupBy("run_id").agg(F.max_by("write", number).alias("write"))
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of every run's newest write; with ``run_bucket``, the folder they are in."""
+    full = _with_places(schema)
+    now = _current(spark, path, schema["run_id"].dataType)
+    if not path_exists(spark, f"{path}/data"):
+        return spark.createDataFrame([], full).drop("write")
+    return spark.read.schema(full).parquet(f"{path}/data").join(now, ["run_id", "write"], "left_semi").drop("write")
+
+
+def vacuum_runs(spark: SparkSession, path: str, schema: T.StructType) -> list[str]:
+    """Drops the data of writes that hold no run any more, and of writers that died. Run it when no query reads or writes."""
+    used = {r["write"] for r in _current(spark, path, schema["run_id"].dataType).select("write").distinct().collect()}
+    gone = [n for n in list_names(spark, f"{path}/data") if n.removeprefix("write=") not in used]
+    for n in gone:
+        drop_path(spark, f"{path}/data/{n}")
+    return gone
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

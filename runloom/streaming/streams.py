@@ -18,7 +18,7 @@ from runloom.functions import fixed
 from runloom.operators.keyed import latest
 from runloom.operators.learn import predict
 from runloom.operators.state import revision_advance
-from runloom.sources.files import drop_path, path_exists
+from runloom.sources.files import drop_path, list_names, path_exists
 from runloom.sources.traces import write_scored
 
 
@@ -68,18 +68,51 @@ def current_state(changes: DataFrame, keys: Sequence[str], seq: str) -> DataFram
     )
 
 
-def track_state(changes: DataFrame, keys: Sequence[str], seq: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends the keys that changed in each batch; ``read_state`` folds them."""
+FAN = 8  # state folders of one level that are folded into one of the next
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return start(current_state(changes, keys, seq), sink, checkpoint, "update")
+def track_state(changes: DataFrame, keys: Sequence[str], seq: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes the newest change per key of each batch; ``read_state`` folds them by ``seq``.
 
+    Nothing is kept in the query's own state, so closed runs cost nothing and a late change simply loses to the higher
+    number. Every ``FAN`` batches are folded into one folder, every ``FAN`` of those into one of the next level, and so on:
+    a batch costs its own rows, plus each row once more per level, however long the stream runs.
+    """
 
-def read_state(spark: SparkSession, out: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    return latest(spark.read.schema(full).parquet(out), keys, ["batch_id"]).drop("batch_id")
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        current_state(batch, keys, seq).write.mode("overwrite").parquet(f"{out}/level=0/upto={batch_id}")
+        level = 0
+        while (batch_id + 1) % FAN ** (level + 1) == 0:
+            parts = [f"{out}/level={level}/upto={batch_id - i * FAN**level}" for i in range(FAN)]
+            rows = batch.sparkSession.read.schema(batch.schema).parquet(*parts)
+            current_state(rows, keys, seq).write.mode("overwrite").parquet(f"{out}/level={level + 1}/upto={batch_id}")
+            level += 1
+
+    return start(changes, sink, checkpoint)
+
+
+def _folders(newest: int) -> list[tuple[int, int]]:
+    """The fewest (level, upto) folders that hold the batches 0 to ``newest``."""
+    level = 0
+    while FAN ** (level + 1) <= newest + 1:
+        level += 1
+    found, start_at = [], 0
+    while start_at <= newest:
+        if start_at + FAN**level <= newest + 1:
+            start_at += FAN**level
+            found.append((level, start_at - 1))
+        else:
+            level -= 1
+    return found
+
+
+def read_state(spark: SparkSession, out: str, schema: T.StructType, keys: Sequence[str], seq: str = "seq") -> DataFrame:
+    """Newest change per key over all batches; at most ``FAN`` - 1 folders of each level are read."""
+    batches = [int(n.split("=")[1]) for n in list_names(spark, f"{out}/level=0") if n.startswith("upto=")]
+    if not batches:
+        return spark.createDataFrame([], schema)
+    parts = [f"{out}/level={level}/upto={upto}" for level, upto in _folders(max(batches))]
+    return latest(spark.read.schema(schema).parquet(*parts), keys, [seq]).select(*schema.names)
 
 
 def _fold(spark: SparkSession, path: str, rows: DataFrame, batch_id: int, keys: list[str], seq: str) -> DataFrame:
@@ -116,7 +149,7 @@ def flag_stuck(
             f"{out}/stuck/batch_id={batch_id}"
         )
 
-    return start(current_state(changes, keys, "seq"), sink, checkpoint, "update")
+    return start(changes, sink, checkpoint)
 
 
 def read_stuck(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
@@ -128,7 +161,6 @@ def read_stuck(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame
     return rows.parquet(f"{out}/stuck").join(newest, "batch_id", "left_semi").drop("batch_id")
 
 
-
 def reconcile(
     desired: DataFrame,
     applied: DataFrame,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runloom.session import small_table, work_dir
 from runloom.sources import files, logs, registry, store
+from runloom.sources import tables as V
 
 
 def put_log(folder, run, name, text):
@@ -228,3 +229,45 @@ def test_asked_logs_name_what_is_missing(spark, folder):
     found = logs.find_log_lines(spark, f"{folder}/l", asked).collect()
     got = sorted(((r["run_id"], r["task_id"], r["line"], r["problem"]) for r in found), key=str)
     assert got == [(1, "a", "y", None), (1, "a", "z", None), (1, "b", None, "no logs for task 'b' in 1"), (3, "a", None, "no logs for task 'a' in 3")]
+
+
+def test_a_run_is_replaced_without_touching_others(spark, folder):
+    path = f"{folder}/runs"
+    first = spark.createDataFrame([(f"r{i}", i) for i in range(2000)], RESULT)
+    files.write_runs(first, path, buckets=8)
+    files.write_runs(spark.createDataFrame([("r1", 100)], RESULT), path, buckets=8)
+    writes = sorted(files.list_names(spark, f"{path}/data"), key=lambda n: int(n.removeprefix("write=").split("-")[0]))
+    assert [spark.read.parquet(f"{path}/data/{w}").count() for w in writes] == [2000, 1]  # bytes follow the replaced run
+    # a writer that died before its live file, and one that lost the race for it
+    monkey = spark.createDataFrame([("r2", 200)], RESULT)
+    real = files.write_new_text_file
+
+    def die(*_):
+        raise OSError("lost")
+
+    files.write_new_text_file = die
+    try:
+        with pytest.raises(OSError):
+            files.write_runs(monkey, path, buckets=8)
+        files.write_new_text_file = lambda s, p, text: (real(s, p, "3-rival"), real(s, p, text))
+        with pytest.raises(Exception, match="exists"):
+            files.write_runs(monkey, path, buckets=8)
+    finally:
+        files.write_new_text_file = real
+    got = {r["run_id"]: r["v"] for r in files.read_runs(spark, path, first.schema).collect()}
+    assert got == {f"r{i}": i for i in range(2000)} | {"r1": 100}
+    files.write_runs(first.filter("v <> 1"), f"{folder}/other", buckets=8)
+    files.write_runs(first, f"{folder}/other", buckets=8)
+    assert len(files.vacuum_runs(spark, f"{folder}/other", first.schema)) == 1  # the first write holds no run any more
+    assert files.read_runs(spark, f"{folder}/other", first.schema).count() == 2000
+    assert files.read_runs(spark, f"{folder}/none", first.schema).isEmpty()
+
+
+def test_letters_are_counted_whole(spark):
+    texts = ["aAbB zZ", "", None, "éÀkK", "x" * 100_000, "漢字 İi"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("lang", F.lit("x"))
+    got = {r["doc_id"]: r for r in V.letter_shares(docs.coalesce(1)).collect()}
+    for i, t in enumerate(texts):
+        for c in V.LETTERS:
+            want = None if t is None else round(t.lower().count(c) / max(1, len(t)), 9)
+            assert got[i][f"f_{c}"] == want

@@ -88,3 +88,26 @@ def test_stream_scores_equal_batch_scores(spark, folder, trace):
     assert sorted(got.collect()) == sorted(want.collect())
     if trace:
         assert spark.read.parquet(f"{out}/traces").count() == got.count()
+
+
+def test_state_over_many_batches(spark, folder, monkeypatch):
+    """Ten micro-batches with late and repeated changes: few folders are read, each state is the newest."""
+    monkeypatch.setattr(streams, "FAN", 3)
+    best: dict = {}
+    for i in range(10):
+        rows = [("hot", f"s{i}", 2 * i, i), ("late", f"s{i}", 100 - i, i), (f"only{i}", "done", i, i), ("same", "x", 7, 7)]
+        put(spark, folder, "in", rows, CHANGE)
+        for run, state, seq, _ in rows:
+            best[run] = max(best.get(run, (-1, "")), (seq, state))
+        changes = feed(spark, folder, "in", CHANGE)
+        streams.track_state(changes, ["run_id"], "seq", f"{folder}/out", f"{folder}/cp").awaitTermination()
+    read = streams.read_state(spark, f"{folder}/out", changes.schema, ["run_id"])
+    assert {r["run_id"]: (r["seq"], r["state"]) for r in read.collect()} == best
+    assert {f.split("/out/")[1].rsplit("/", 1)[0] for f in read.inputFiles()} == {"level=2/upto=8", "level=0/upto=9"}
+
+
+@pytest.mark.parametrize("newest", range(30))
+def test_folders_cover_every_batch_once(newest, monkeypatch):
+    monkeypatch.setattr(streams, "FAN", 3)
+    held = [b for level, upto in streams._folders(newest) for b in range(upto - 3**level + 1, upto + 1)]
+    assert held == list(range(newest + 1))
