@@ -1,14 +1,13 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A vector's dimensions are cut into lists, each of which knows part of a score.
-
-1. Every block of vectors gives its k best partial scores per query and list, with the whole
-   scores of these few. The k-th best of them bounds each query's k-th best score from below.
-2. That cut-off is sent back, spread evenly below the lists' best values. By the pigeonhole
-   principle a vector that reaches it has a partial score at or over its list's share, so
-   all such entries suffice.
-3. The parts of these entries that other lists hold are looked up where the vector lies, and
-   what reaches the cut-off in full is ranked.
+A vector's dimensions are cut into lists, each a table of its own that knows part of every score.
+
+1. Every block of a list gives its k best partial scores per query. The parts of these few that the other lists hold are
+   looked up there; the k-th best whole score of them bounds each query's k-th best score from below.
+2. That cut-off is sent to the lists, spread evenly below their best values. By the pigeonhole
+   principle a vector that reaches it has a partial score at or over some list's share, so the entries over it suffice.
+3. Entries that could reach the cut-off, given that what a list did not send is below its share, have their missing parts
+   looked up in the other lists, and the whole scores are ranked.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.session import stage
+from runloom.session import stage, stage_counted
 
 K = 10
 LISTS = 2
@@ -41,8 +40,12 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return usable.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A partition's vectors as one row; shorter ones are padded with zeros."""
+def _slice(v: str, lists: int, j: int):
+    return F.filter(v, lambda _, i: i % lists == j)
+
+
+def _pack(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """A partition's part of the vectors as one row, numbered within its list; shorter ones are padded with zeros."""
     ids, rows = [], []
     for batch in batches:
         ids += batch.column("vec_id").to_pylist()
@@ -51,7 +54,7 @@ def _pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         matrix = np.zeros((len(rows), width), np.int64)
         for line, v in zip(matrix, rows):
             line[: len(v)] = v
-        columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())]
+        columns = [pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())]
         yield pa.record_batch(columns, names=["block", "ids", "matrix"])
 
 
@@ -61,63 +64,60 @@ def _partial(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if top < 2**53 else q @ x.T
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], lists: int):
-    """Each pair of blocks: query ids, vector ids, the partial scores per list and who is whose own."""
+def _blocks(batches: Iterator[pa.RecordBatch]):
+    """Each pair of blocks of one list: its row, query ids, vector ids, the partial scores and who is whose own."""
     for batch in batches:
         for row in batch.to_pylist():
-            q_ids, ids = np.array(row["q_ids"]), np.array(row["ids"])
+            q_ids, ids = np.array(row["q_ids"], np.int64), np.array(row["ids"], np.int64)
             q = np.frombuffer(row["q_matrix"], np.int64).reshape(len(q_ids), -1)
             x = np.frombuffer(row["matrix"], np.int64).reshape(len(ids), -1)
-            yield row, q_ids, ids, [_partial(q[:, j::lists], x[:, j::lists]) for j in range(lists)], q_ids[:, None] == ids
+            yield row, q_ids, ids, _partial(q, x), q_ids[:, None] == ids
 
 
-_FIRST = "q_block int, query_id long, list int, vec_id long, part long, whole long, low long"
+_FIRST = "q_block int, query_id long, list int, vec_id long, part long, low long"
 
 
-def _local_lists(batches: Iterator[pa.RecordBatch], lists: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Phase 1: the k best partial scores of each query and list in a block, and the block's least."""
-    least = np.iinfo(np.int64).min
-    for row, q_ids, ids, parts, own in _blocks(batches, lists):
-        whole = sum(parts)
-        for j, part in enumerate(parts):
-            low = np.where(own, np.iinfo(np.int64).max, part).min(axis=1)
-            masked = np.where(own, least, part)
-            n = min(k, len(ids))
-            best = np.argpartition(-masked, n - 1, axis=1)[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(q_ids), 1))
-            at = np.repeat(np.arange(len(q_ids)), n)
-            best = best.ravel()
-            keep = ~own[at, best]
-            at, best = at[keep], best[keep]
-            m = len(at)
-            columns = [np.full(m, row["q_block"], np.int32), q_ids[at], np.full(m, j, np.int32), ids[best], part[at, best], whole[at, best], low[at]]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["q_block", "query_id", "list", "vec_id", "part", "whole", "low"])
+def _local_lists(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Phase 1: the k best partial scores of each query in a block of a list, and the block's least."""
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    for row, q_ids, ids, part, own in _blocks(batches):
+        low = np.where(own, most, part).min(axis=1)
+        masked = np.where(own, least, part)
+        n = min(k, len(ids))
+        best = np.argpartition(-masked, n - 1, axis=1)[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(q_ids), 1))
+        at = np.repeat(np.arange(len(q_ids)), n)
+        best = best.ravel()
+        keep = ~own[at, best]
+        at, best = at[keep], best[keep]
+        m = len(at)
+        columns = [np.full(m, row["q_block"], np.int32), q_ids[at], np.full(m, row["list"], np.int32), ids[best], part[at, best], low[at]]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["q_block", "query_id", "list", "vec_id", "part", "low"])
 
 
-_SECOND = "query_id long, vec_id long, score long"
+_ENTRY = "query_id long, list int, vec_id long, part long"
 
 
-def _entries(batches: Iterator[pa.RecordBatch], lists: int) -> Iterator[pa.RecordBatch]:
-    """Phases 2 and 3: entries at or over a list's threshold, then those whose full score reaches the cut-off."""
-    for row, q_ids, ids, parts, own in _blocks(batches, lists):
-        known = {t["query_id"]: (t["cut"], t["reached"]) for t in row["thresholds"]}
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phase 2: the entries of a block of a list that are at or over the query's cut-off for that list."""
+    for row, q_ids, ids, part, own in _blocks(batches):
+        known = {t["query_id"]: t["cut"] for t in row["thresholds"]}
         at = np.flatnonzero([i in known for i in q_ids.tolist()])
-        cuts = np.array([known[i][0] for i in q_ids[at].tolist()], np.int64).reshape(len(at), lists)
-        least = np.iinfo(np.int64).min
-        reached = np.array([least if (r := known[i][1]) is None else r for i in q_ids[at].tolist()], np.int64)
-        enough = np.zeros((len(at), len(ids)), bool)
-        for j, part in enumerate(parts):
-            enough |= part[at] >= cuts[:, j, None]
-        q, v = np.nonzero(enough & ~own[at])
-        score = sum(part[at[q], v] for part in parts)
-        keep = score >= reached[q]
-        columns = [q_ids[at[q[keep]]], ids[v[keep]], score[keep]]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+        cuts = np.array([known[i] for i in q_ids[at].tolist()], np.int64)
+        q, v = np.nonzero((part[at] >= cuts[:, None]) & ~own[at])
+        columns = [pa.array(q_ids[at[q]]), pa.array(np.full(len(q), row["list"], np.int32)), pa.array(ids[v]), pa.array(part[at[q], v])]
+        yield pa.record_batch(columns, names=["query_id", "list", "vec_id", "part"])
 
 
-def _kth(scores: DataFrame, score: str, k: int, name: str) -> DataFrame:
-    """The k-th best score of each query that has k."""
-    best = Window.partitionBy("query_id").orderBy(F.desc(score))
-    return scores.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).where(F.col("_r") == k).select("query_id", F.col(score).alias(name))
+def _looked_up(known: DataFrame, slices: DataFrame, lists: int) -> DataFrame:
+    """``known`` (columns of ``_ENTRY``) and the parts of the same pairs that other lists hold, fetched from there by a join."""
+    pairs = known.groupBy("query_id", "vec_id").agg(F.collect_set("list").alias("_has"))
+    every = F.array(*[F.lit(j) for j in range(lists)])
+    missing = pairs.select("query_id", "vec_id", F.explode(F.array_except(every, "_has")).alias("list"))
+    theirs = slices.select("list", "vec_id", F.col("v").alias("_x"))
+    mine = slices.select("list", F.col("vec_id").alias("query_id"), F.col("v").alias("_q"))
+    product = F.aggregate(F.zip_with("_q", "_x", lambda a, b: F.coalesce(a * b, F.lit(0))), F.lit(0).cast("long"), lambda a, b: a + b)
+    fetched = missing.join(theirs, ["list", "vec_id"]).join(mine, ["list", "query_id"])
+    return known.unionByName(fetched.select("query_id", "list", "vec_id", product.alias("part")))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS) -> DataFrame:
@@ -129,33 +129,46 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LIST
     """
     rows, n = stage(vectors.select("vec_id", "v"), "vectors")
     wanted = queries.select(F.col(queries.columns[0]).alias("vec_id")).distinct()
-    asked, n_asked = stage(rows.join(wanted, "vec_id"), "queries")
-    width = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0] or 1
-    n_rows, n_queries = max(1, -(-n // ROW_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
-    packed = functools.partial(_pack, width=width)
-    kind = "block int, ids array<long>, matrix binary"
-    row_blocks = stage(rows.repartition(n_rows).mapInArrow(packed, kind), "rows")[0]
-    query_blocks = stage(asked.repartition(n_queries).mapInArrow(packed, kind), "asked")[0]
-    mine = row_blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    theirs = query_blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))
-    )
-    first = mine.join(theirs, ["block", "q_block"]).mapInArrow(functools.partial(_local_lists, lists=lists, k=k), _FIRST)
+    width = max(1, rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])
+    cut_up = rows.select("vec_id", F.posexplode(F.array(*[_slice("v", lists, j) for j in range(lists)])).alias("list", "v"))
+    slices = stage_counted(cut_up, {"rows": F.count(F.lit(1))}, "slices", partition_by=["list"])[0]  # a table per list
+    asked, n_asked = stage(slices.join(wanted, "vec_id"), "queries")
+    n_rows, n_queries = max(1, -(-n // ROW_BLOCK)), max(1, -(-n_asked // lists // QUERY_BLOCK))
+
+    def blocks(of: DataFrame, parts: int, label: str) -> DataFrame:
+        kind = "block int, ids array<long>, matrix binary"
+        packed = [
+            of.where(F.col("list") == j).select("vec_id", "v").repartition(parts)
+            .mapInArrow(functools.partial(_pack, width=len(range(j, width, lists)), parts=parts), kind).withColumn("list", F.lit(j))
+            for j in range(lists)
+        ]
+        return stage(functools.reduce(DataFrame.unionAll, packed), label)[0]
+
+    mine = blocks(slices, n_rows, "rows").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    theirs = blocks(asked, n_queries, "asked").select(
+        "list", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")
+    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+    first = mine.join(theirs, ["list", "block", "q_block"]).mapInArrow(functools.partial(_local_lists, k=k), _FIRST)
     first = stage(first, "first")[0]
-    of_list = first.groupBy("q_block", "query_id", "list").agg(F.max("part").alias("best"), F.min("low").alias("low"))
-    of_list = stage(of_list, "lists")[0]
+    of_list = stage(first.groupBy("query_id", "list").agg(F.max("q_block").alias("q_block"), F.max("part").alias("best"), F.min("low").alias("low")), "lists")[0]
     ranked = Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id")
-    tops = first.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k)
-    reached = _kth(tops.select("query_id", "vec_id", "whole").distinct(), "whole", k, "reached")
+    tops = first.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k).select("query_id", "list", "vec_id", "part")
+    wholes = _looked_up(stage(tops, "tops")[0], slices, lists).groupBy("query_id", "vec_id").agg(F.sum("part").alias("whole"))
+    place = Window.partitionBy("query_id").orderBy(F.desc("whole"), "vec_id")
+    reached = wholes.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k).where(F.col("_r") == k).select("query_id", F.col("whole").alias("reached"))
     bases = of_list.groupBy("query_id").agg(F.sum("best").alias("top"))
-    cuts = (
-        of_list.join(bases, "query_id").join(reached, "query_id", "left")
-        .withColumn("cut", F.coalesce(F.col("best") + F.floor((F.col("reached") - F.col("top")) / lists), F.col("low")))
-    )
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("list", "cut"))), lambda x: x["cut"])
-    cuts = stage(cuts.groupBy("q_block", "query_id").agg(in_order.alias("cut"), F.max("reached").alias("reached")), "cuts")[0]
-    told = theirs.join(cuts.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "cut", "reached")).alias("thresholds")), "q_block")
-    entries = mine.join(told, ["block", "q_block"]).mapInArrow(functools.partial(_entries, lists=lists), _SECOND)
+    spread = F.col("best") + F.floor((F.col("reached") - F.col("top")) / lists)
+    cuts = of_list.join(bases, "query_id").join(reached, "query_id", "left").withColumn("cut", F.coalesce(spread, F.col("low")))
+    cuts = stage(cuts.select("q_block", "query_id", "list", "cut", "reached"), "cuts")[0]
+    sent = cuts.groupBy("list", "q_block").agg(F.collect_list(F.struct("query_id", "cut")).alias("thresholds"))
+    found = mine.join(theirs.join(sent, ["list", "q_block"]), ["list", "block", "q_block"]).mapInArrow(_entries, _ENTRY)
+    # what a list has not sent is below its cut-off there: pairs that can't reach the goal even so are not looked up
+    held = stage(found, "entries")[0]
+    most = cuts.groupBy("query_id").agg(F.sum("cut").alias("cuts"), F.max("reached").alias("reached"))
+    hope = held.join(cuts.select("query_id", "list", "cut"), ["query_id", "list"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("part") - F.col("cut")).alias("over"))
+    alive = hope.join(most, "query_id").where(F.col("reached").isNull() | (F.col("cuts") + F.col("over") >= F.col("reached"))).select("query_id", "vec_id")
+    scored = _looked_up(held.join(alive, ["query_id", "vec_id"]).select("query_id", "list", "vec_id", "part"), slices, lists)
+    score = scored.groupBy("query_id", "vec_id").agg(F.sum("part").alias("score"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranks = entries.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+    ranks = score.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return ranks.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
