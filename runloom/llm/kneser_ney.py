@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.llm.common import BROADCAST_ROWS, Staged, flagged, utf8_bytes
-from runloom.session import new_dir
+from runloom.session import new_dir, stage
 
 ORDER = 5
 BLOCK_BYTES, RUN_BYTES = 32 << 20, 2 << 20
@@ -328,10 +328,15 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
     with fewer than ``MIN_TRUSTED`` trusted texts have no threshold and keep everything; so do empty texts.
     """
     scored = score_texts(docs, trusted)
-    rate = scored.where("trusted").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_trusted"), (F.sum("held_bits") / F.greatest(F.sum("n_bytes"), F.lit(1))).alias("rate")
-    )
-    rated = scored.join(rate, "lang", "left").withColumn(
+    rate, langs = stage(
+        scored.where("trusted").groupBy("lang").agg(
+            F.count(F.lit(1)).alias("n_trusted"), (F.sum("held_bits") / F.greatest(F.sum("n_bytes"), F.lit(1))).alias("rate")
+        ),
+        "rates",
+    )
+    # a row per language, counted: no join deals documents by language
+    few = F.broadcast if langs <= BROADCAST_ROWS else lambda rows: rows
+    rated = scored.join(few(rate), "lang", "left").withColumn(
         "score", (F.col("held_bits") + SHRINK_BYTES * F.coalesce("rate", F.lit(8.0))) / (F.col("n_bytes") + SHRINK_BYTES)
     )
     enough = lambda name: F.when(F.col("n") >= MIN_TRUSTED, F.col(name))
@@ -343,7 +348,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
         )
         .select("lang", enough("high").alias("threshold"), enough("low").alias("least_novelty"))
     )
-    return rated.join(bound, "lang", "left").select(
+    return rated.join(few(stage(bound, "bounds")[0]), "lang", "left").select(
         "doc_id",
         "lang",
         "n_bytes",
