@@ -34,6 +34,7 @@ UPSTREAM = "upstream '%s' failed"
 NO_MODEL = "no registered model '%s'"
 NO_VERSION = "no version '%s' of model '%s'"
 NO_ROWS = "nothing to predict"
+NOT_A_NUMBER = "not a number in '%s'"
 NO_LOGS = "no logs for task '%s' in %s"
 WIDTH = "expected %d values (%s), got %d"
 BELOW_GATE = "accuracy %.4f below threshold %s — refusing to register"

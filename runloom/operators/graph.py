@@ -6,6 +6,7 @@ to the shared work folder, so plans stay short and a lost executor costs a re-re
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -220,3 +221,26 @@ def spread_failure(states: DataFrame, edges: DataFrame, now: Column | None = Non
         .withColumn("state", F.when(hit, fixed.UPSTREAM_FAILED).otherwise(F.col("state")))
         .select(*out.columns)
     )
+
+
+def validate(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Everything that is wrong with the DAGs: ``(dag_id, problem, task_id, detail)``, no row where all is well.
+
+    ``duplicate``: a task that is listed more than once; ``unknown``: a task with an edge from or to one that is not
+    listed (``detail``); ``cycle``: a task on a cycle, i.e. above itself; ``stuck``: one that never runs since a cycle or an unknown
+    task is above it. Ends of edges that name no task count as given for the order, so that each fault is told once.
+    """
+    keys = ["dag_id", "task_id"]
+    text = lambda c: F.col(c).cast("string")
+    row = lambda problem, detail: ["dag_id", F.lit(problem).alias("problem"), text("task_id").alias("task_id"), detail.cast("string").alias("detail")]
+    none = F.lit(None)
+    twice = tasks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*row("duplicate", F.col("n")))
+    unknown = unknown_refs(edges, tasks).select(*row("unknown", F.col("unknown")))
+    reach = ancestors(edges)
+    circling = reach.filter(F.col("task_id") == F.col("ancestor")).select(*keys)
+    cycle = circling.select(*row("cycle", none))
+    listed = tasks.select("dag_id", F.col("task_id").alias("ancestor")).distinct()
+    lost = reach.join(listed, ["dag_id", "ancestor"], "left_anti").select(*keys)
+    below = reach.join(circling.select("dag_id", F.col("task_id").alias("ancestor")), ["dag_id", "ancestor"]).select(*keys)
+    stuck = lost.unionByName(below).distinct().join(circling, keys, "left_anti").join(tasks.select(*keys).distinct(), keys, "left_semi")
+    return reduce(DataFrame.unionByName, [twice, unknown, cycle, stuck.select(*row("stuck", none))])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions import fixed
+from runloom.functions import scalars as S
 from runloom.operators.keyed import nest, rank_rows
 
 
@@ -115,3 +116,16 @@ def gate(candidates: DataFrame, threshold: float = fixed.MIN_ACCURACY) -> DataFr
     passed = F.col("accuracy") >= threshold
     refusal = F.format_string(fixed.BELOW_GATE, "accuracy", F.lit(str(threshold)))
     return candidates.withColumn("passed", passed).withColumn("refusal", F.when(~passed, refusal))
+
+
+def parse_requests(requests: DataFrame, rows: DataFrame, request: str, order: str, text: str) -> DataFrame:
+    """Each request with the number of its text rows and why it is refused, if it is: ``(request, n, refusal)``.
+
+    A request without rows has nothing to predict; the first row by ``order`` with a token that is no number refuses the whole.
+    """
+    values = S.parse_row(F.col(text))
+    bad = F.when(S.is_rejected(values), F.struct(F.col(order), F.col(text)))
+    per = rows.groupBy(request).agg(F.count(F.lit(1)).alias("n"), F.min(bad).alias("_bad"))
+    found = requests.join(per, request, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    refusal = F.when(F.col("n") == 0, fixed.NO_ROWS).when(F.col("_bad").isNotNull(), F.format_string(fixed.NOT_A_NUMBER, F.col("_bad")[text]))
+    return found.select(request, "n", refusal.alias("refusal"))

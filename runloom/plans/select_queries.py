@@ -461,3 +461,42 @@ def order_ready(spark: SparkSession, sf: str) -> DataFrame:
     rows = order_states(spark, sf)
     seen = rows.filter(F.col("state") != fixed.PENDING)
     return state.ready_tasks(seen, V.edges_big(spark, sf), rows.select("run_id", "dag_id", "task_id"))
+
+
+@query(
+    "validate_graphs",
+    "J3",
+    _CLOSURE.format(edges="edges_faulty")
+    + """, listed AS (SELECT dag_id, task_id FROM run_steps UNION ALL SELECT dag_id, task_id FROM run_steps WHERE dag_id % 17 = 0 AND i = 1),
+circling AS (SELECT dag_id, task_id FROM reach WHERE task_id = ancestor),
+stuck AS (SELECT r.dag_id, r.task_id FROM reach r LEFT JOIN listed l ON l.dag_id = r.dag_id AND l.task_id = r.ancestor WHERE l.task_id IS NULL
+  UNION SELECT r.dag_id, r.task_id FROM reach r JOIN circling c ON c.dag_id = r.dag_id AND c.task_id = r.ancestor)
+SELECT dag_id, 'duplicate' AS problem, CAST(task_id AS VARCHAR) AS task_id, CAST(count(*) AS VARCHAR) AS detail FROM listed GROUP BY dag_id, task_id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT e.dag_id, 'unknown', CAST(e.downstream AS VARCHAR), CAST(e.upstream AS VARCHAR) FROM edges_faulty e
+  LEFT JOIN listed l ON l.dag_id = e.dag_id AND l.task_id = e.upstream WHERE l.task_id IS NULL
+UNION ALL SELECT dag_id, 'cycle', CAST(task_id AS VARCHAR), NULL FROM circling
+UNION ALL SELECT s.dag_id, 'stuck', CAST(s.task_id AS VARCHAR), NULL FROM stuck s LEFT JOIN circling c ON c.dag_id = s.dag_id AND c.task_id = s.task_id WHERE c.task_id IS NULL""",
+    "run_steps edges_faulty",
+    recursive=True,
+)
+def validate_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    """All faults of the customers' graphs in one answer, members of cycles by name; some tasks are listed twice."""
+    steps = V.run_steps(spark, sf)
+    again = steps.filter("dag_id % 17 = 0 AND i = 1")
+    return graph.validate(steps.unionByName(again).select("dag_id", "task_id"), V.edges_faulty(spark, sf))
+
+
+@query(
+    "parse_requests",
+    "P2",
+    """
+SELECT req_id, n, CASE WHEN n = 0 THEN 'nothing to predict' WHEN bad IS NOT NULL THEN 'not a number in ' || chr(39) || bad.raw || chr(39) END AS refusal
+FROM (SELECT req_id, count_if(given) AS n, min(CASE WHEN given AND strpos(raw, 'abc') > 0 THEN {'l': l_linenumber, 'raw': raw} END) AS bad
+  FROM (SELECT *, l_linenumber > 1 OR req_id % 4 <> 0 AS given FROM raw_rows) g GROUP BY req_id) r""",
+    "raw_rows",
+)
+def parse_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Text rows by request: refused without any row, or for the first row that holds no number."""
+    rows = V.raw_rows(spark, sf)
+    given = rows.filter((F.col("l_linenumber") > 1) | (F.col("req_id") % 4 != 0))
+    return select.parse_requests(rows.select("req_id").distinct(), given, "req_id", "l_linenumber", "raw")

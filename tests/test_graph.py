@@ -212,3 +212,13 @@ def test_roots_without_a_row_are_ready(spark):
     seen = spark.createDataFrame([(1, "d", "a", "success")], "run_id int, dag_id string, task_id string, state string")
     got = sorted((r["run_id"], r["task_id"]) for r in state.ready_tasks(seen, edges, tasks).collect())
     assert got == [(1, "b"), (1, "c"), (2, "a")]
+
+
+def test_validate_tells_every_fault_once(spark):
+    edges = edges_of(spark, "a>b b>c c>b c>d x>e e>f g>h")
+    tasks = tasks_of(spark, ["a", "b", "c", "d", "e", "f", "g", "h", "h"])
+    got = sorted((r["problem"], r["task_id"], r["detail"]) for r in graph.validate(tasks, edges).collect())
+    assert got == sorted([
+        ("duplicate", "h", "2"), ("unknown", "e", "x"), ("cycle", "b", None), ("cycle", "c", None), ("stuck", "d", None), ("stuck", "e", None), ("stuck", "f", None),
+    ])
+    assert graph.validate(tasks_of(spark, ["a", "b"]), edges_of(spark, "a>b")).isEmpty()
