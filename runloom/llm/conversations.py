@@ -381,3 +381,73 @@ def repair(rows: DataFrame, of: DataFrame | None = None, chunk: int = CHUNK) ->
     filled = plans.select(F.col("_name").alias("key"), F.coalesce("audit", F.lit("")).alias("audit"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS])
     found = _replayed(rows, filled, False)
     return found.select(F.col("key").cast(rows.schema["conv_id"].dataType).alias("conv_id"), *COUNTS, "audit", "repaired_sha256")
+
+
+def oracle_sql() -> str:
+    """``repair(damaged(rows), rows)`` of ``conversations`` in plain SQL: least costs from the end, then letter by letter from the start."""
+    byte = "list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT))"
+    bits = "list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(acc, b))"
+    crc = f"xor(list_reduce({byte}, lambda acc, b: {bits}, CAST(4294967295 AS BIGINT)), 4294967295)"
+    big = 1_000_000_000
+    turned = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
+    keeps = {START: {"s": SYSTEM, "u": USER}, SYSTEM: {"u": USER}, USER: {"a": ASSISTANT}, ASSISTANT: {"u": USER}}
+
+    def straight(s: int) -> str:
+        kept = " ".join(f"WHEN '{initial}' THEN extra + c[{to + 1}]" for initial, to in keeps[s].items())
+        return f"least({DELETE} + c[{s + 1}], CASE WHEN gone THEN {big} ELSE least({REROLE} + extra + c[{turned[s] + 1}], CASE initial {kept} ELSE {big} END) END)"
+
+    def by_state(choice: dict, column: str = "s") -> str:
+        return f"CASE {column} " + " ".join(f"WHEN {s} THEN {value}" for s, value in choice.items()) + " END"
+
+    keep_of = by_state({s: "CASE initial " + " ".join(f"WHEN '{i}' THEN {to}" for i, to in some.items()) + " END" for s, some in keeps.items()})
+    name = by_state({USER: "'user'", ASSISTANT: "'assistant'"}, "to_state")
+    return f"""
+    WITH RECURSIVE filled AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+    ), hashed AS (SELECT *, {crc} % 20 AS kind FROM filled
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, left(role, 1) AS initial FROM damaged
+    ), judged AS (
+        SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault,
+            lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM placed
+    ), steps AS (
+        SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN {OPEN_END} ELSE 0 END AS extra FROM judged
+    ), counted AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank,
+            count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(illegal) AS illegal FROM steps GROUP BY conv_id
+    ), back AS (
+        SELECT conv_id, n + 1 AS i, [0, {2 * INSERT}, {INSERT}, 0] AS c FROM counted
+        UNION ALL
+        SELECT conv_id, i, [least(a, {INSERT} + u, {2 * INSERT} + v), least(b, {INSERT} + u, {2 * INSERT} + v), least(u, {INSERT} + v), least(v, {INSERT} + u)]
+        FROM (
+            SELECT s.conv_id, s.i, {straight(START)} AS a, {straight(SYSTEM)} AS b, {straight(USER)} AS u, {straight(ASSISTANT)} AS v
+            FROM back b JOIN steps s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i - 1)
+    ), walk AS (
+        SELECT conv_id, CAST(1 AS BIGINT) AS i, {START} AS s, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM counted
+        UNION ALL
+        SELECT conv_id, CASE WHEN letter = 'I' THEN i ELSE i + 1 END, CASE WHEN letter = 'D' THEN s ELSE to_state END, audit || letter,
+            CASE letter WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+                WHEN 'R' THEN list_append(lines, {name} || ':' || text) ELSE list_append(lines, {name} || ':') END
+        FROM (SELECT *, CASE WHEN letter = 'K' THEN kept ELSE turned END AS to_state FROM (
+            SELECT *, CASE WHEN {DELETE} + next_c[s + 1] = c[s + 1] THEN 'D' WHEN {INSERT} + c[turned + 1] = c[s + 1] THEN 'I'
+                WHEN NOT gone AND extra + next_c[kept + 1] = c[s + 1] THEN 'K' WHEN NOT gone AND {REROLE} + extra + next_c[turned + 1] = c[s + 1] THEN 'R' END AS letter
+            FROM (
+                SELECT w.*, t.role, t.text, t.gone, t.extra, h.c, x.c AS next_c, {by_state(turned, "w.s")} AS turned, {keep_of.replace("CASE s ", "CASE w.s ").replace("CASE initial", "CASE t.initial")} AS kept
+                FROM walk w JOIN back h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.i = w.i
+                LEFT JOIN steps t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i
+                LEFT JOIN back x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.i = w.i + 1)))
+        WHERE letter IS NOT NULL
+    ), done AS (SELECT conv_id, arg_max(audit, len(audit)) AS audit, arg_max(lines, len(audit)) AS lines FROM walk GROUP BY conv_id
+    ), costs AS (SELECT conv_id, c[1] AS cost FROM back WHERE i = 1)
+    SELECT o.conv_id, coalesce(k.gaps, 0) AS gaps, coalesce(k.blank, 0) AS blank, coalesce(k.duplicate, 0) AS duplicate, coalesce(k.truncated, 0) AS truncated,
+        coalesce(k.illegal, 0) AS illegal, CAST(coalesce(a.cost, 0) AS BIGINT) AS cost, coalesce(d.audit, '') AS audit, sha256(coalesce(array_to_string(d.lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN costs a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+    """

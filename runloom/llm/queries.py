@@ -123,6 +123,9 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(rows), rows)
 
 
+SQL["op12_conversations"] = conversations.oracle_sql()
+
+
 @query
 def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's new shard and slot, read back from the resharded files."""

@@ -8,7 +8,9 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
+from compare import compare
 
 from runloom.llm import conversations
 from runloom.llm.queries import QUERIES
@@ -182,3 +184,12 @@ def test_a_giant_conversation_streams(spark):
     got = told(conversations.repair(rows))[0]
     assert got["duplicate"] == 50_000 - sum(("user" if i % 7 == 3 or i % 2 == 0 else "assistant") != ("user" if (i - 250_000) % 7 == 3 or i % 2 == 0 else "assistant") for i in range(250_000, 300_000))
     assert len(got["audit"].replace("I", "")) == 300_000
+
+
+def test_sql_on_odd_and_made_rows(spark):
+    rows = [(None if r[0] is None else r[0] + 1000, *r[1:]) for r in ODD] + made(5, 60, 12)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    given = table(spark, rows)
+    assert compare(conversations.repair(conversations.damaged(given), given), con, conversations.oracle_sql()) is None
