@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.llm.common import flagged
 from runloom.session import stage
 
 # Titles that announce a person, by gender, and names to draw from by gender and script.
@@ -39,6 +40,11 @@ SURNAME_PARTS = {
     "LATIN": ["al", "ber", "cor", "den", "er", "fal", "gar", "hol", "in", "jor", "kel", "lan", "mor", "nor", "ost", "per"],
     "CYRILLIC": ["ал", "бер", "вор", "гор", "дан", "ер", "жар", "зол", "ив", "кор", "лен", "мор", "нов", "ор", "пет", "рам"],
 }
+# Endings of made-up given names, by gender and script.
+ENDINGS = {
+    ("m", "LATIN"): ["o", "us", "ian"], ("f", "LATIN"): ["a", "ina", "elle"],
+    ("m", "CYRILLIC"): ["ий", "ан", "ей"], ("f", "CYRILLIC"): ["а", "ия", "ина"],
+}
 
 _NAME = r"[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?"
 _TITLE = "|".join(t for side in TITLES.values() for t in sorted(side, key=len, reverse=True))
@@ -60,6 +66,8 @@ _TRIGGERS = ["@", "AKIA", "password", "token", *TITLES["m"], *TITLES["f"], *"012
 
 FOUND = "doc_id long, kind string, entity string"
 DRAWS_BEFORE_GROWTH = 16
+FROM_POOL = 4
+"""Draws of a given name from the list of names; later ones are made up of syllables, as surnames are."""
 
 
 def _script(word: str) -> str:
@@ -127,6 +135,11 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
+def _mod97(text: str) -> int:
+    """Remainder of an account number read as digits, letters as 10 to 35."""
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
 def draw(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """A surrogate in canonical form: the same for the same key, entity and attempt, of the same kind and shape."""
     s = _Stream(key, kind, entity, str(attempt))
@@ -158,18 +171,24 @@ def draw(key: bytes, kind: str, entity: str, attempt: int) -> str:
         last = (10 - _luhn(body + "0")) % 10
         return body + str(last if _luhn(entity) == 0 else (last + 1 + s.below(9)) % 10)
     if kind == "iban":
-        return entity[:2] + shaped(entity[2:] + "0" * longer)
+        body = shaped(entity[4:] + "0" * longer)
+        checked = 98 - _mod97(body + entity[:2] + "00")
+        return entity[:2] + f"{checked if _mod97(entity[4:] + entity[:4]) == 1 else (checked + s.below(96)) % 97 + 2:02}" + body
     if kind == "secret" and entity.startswith("AKIA"):
         return "AKIA" + shaped(entity[4:] + "A" * longer)
     if kind == "secret" and re.fullmatch("[0-9a-f]+", entity):
         return "".join("0123456789abcdef"[s.below(16)] for _ in range(len(entity) + longer))
     if kind.startswith("given"):
         _, gender, script = kind.split("-")
-        pool = GIVEN[gender, script]
-        return "-".join(pool[s.below(len(pool))] for _ in range(1 + attempt // 4))
+        pool, parts = GIVEN[gender, script], SURNAME_PARTS[script]
+        if attempt < FROM_POOL:
+            return pool[s.below(len(pool))]
+        made = "".join(parts[s.below(len(parts))] for _ in range(2 + attempt // DRAWS_BEFORE_GROWTH)).capitalize()
+        return made + ENDINGS[gender, script][s.below(len(ENDINGS[gender, script]))]
     if kind.startswith("surname"):
-        parts = SURNAME_PARTS[kind.split("-")[1]]
-        return "".join(parts[s.below(len(parts))] for _ in range(3 + longer)).capitalize()
+        script = kind.split("-")[1]
+        made = "".join(SURNAME_PARTS[script][s.below(len(SURNAME_PARTS[script]))] for _ in range(3 + longer)).capitalize()
+        return made + ("" if script == "LATIN" else "ова" if entity.endswith(("а", "я")) else "ов")
     return shaped(entity + "0" * longer)
 
 
@@ -260,14 +279,18 @@ def mentions(docs: DataFrame) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` (any columns) with entities in ``text`` replaced, and their number as ``_n_replaced``.
 
-    Null and empty texts stay. Rows that share a doc_id (null too) are replaced alike.
+    Null and empty texts stay. Rows that share a doc_id (null too) are replaced alike. Only documents
+    that have entities meet their surrogates in a join (and go to Python); the others pass through.
     """
     found = stage(mentions(docs), "mentions")[0]
     table = assign(found, key)
-    own = (
+    own = stage(
         found.join(table, ["kind", "entity"]).groupBy(F.col("doc_id").alias("_owner"))
-        .agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("_surrogates"))
-    )
-    joined = docs.join(own, docs["doc_id"].cast("long").eqNullSafe(F.col("_owner")), "left").drop("_owner")
+        .agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("_surrogates")), "surrogates",
+    )[0]
+    owner = docs["doc_id"].cast("long")
+    marked = flagged(docs.withColumn("_doc", owner), own.select("_owner"), "_doc", "_has").withColumn("_has", F.col("_has") | F.col("_doc").isNull())
+    some = marked.where("_has").join(own, F.col("_doc").eqNullSafe(F.col("_owner")), "left")
     schema = docs.select(*docs.columns, F.lit(0).cast("long").alias("_n_replaced")).schema
-    return joined.select(*docs.columns, "_surrogates").mapInArrow(_replace, schema)
+    replaced = some.select(*docs.columns, "_surrogates").mapInArrow(_replace, schema)
+    return replaced.unionAll(marked.where("NOT _has").select(*docs.columns, F.lit(0).cast("long").alias("_n_replaced")))

@@ -325,6 +325,18 @@ def test_surrogates_stay_distinct_where_draws_collide(spark, monkeypatch):
     assert sorted(got) == sorted(surrogates.assign(found, b"k").collect())  # keyed, not random
 
 
+def test_surrogates_pass_the_checks_their_originals_pass():
+    valid, broken = "DE89370400440532013000", "DE00370400440532013000"
+    assert surrogates._mod97(valid[4:] + valid[:4]) == 1
+    for attempt in range(40):
+        good, bad = (surrogates.draw(b"k", "iban", e, attempt) for e in (valid, broken))
+        assert good[:2] == bad[:2] == "DE" and good != valid
+        assert surrogates._mod97(good[4:] + good[:4]) == 1 and surrogates._mod97(bad[4:] + bad[:4]) != 1
+    names = {surrogates.draw(b"k", "given-f-LATIN", "jane", attempt) for attempt in range(40)}
+    assert len(names) > 20 and not any("-" in n for n in names)
+    assert surrogates.draw(b"k", "surname-CYRILLIC", "иванова", 0).endswith("ова") and surrogates.draw(b"k", "surname-CYRILLIC", "иванов", 0).endswith("ов")
+
+
 # -- 8: min-max hashing
 
 

@@ -111,3 +111,26 @@ def test_derivatives_link_to_their_responses(spark, folder):
     back = warc.read_records(spark, f"{folder}/w").collect()
     assert sorted((r.fields["WARC-Record-ID"], r.fields["WARC-Refers-To"], r.block) for r in back) == sorted((r.record_id, r.refers_to, r.block) for r in rows)
     assert warc.derive(sources.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dims", [16, 64])
+def test_pairs_just_over_the_threshold_are_found(spark, dims):
+    """Pairs whose cosine is 0.95 to 0.96, spread over many lists: the hardest to find."""
+    rnd = np.random.default_rng(dims)
+    x = rnd.normal(size=(1500, dims))
+    away = rnd.normal(size=x.shape)
+    away -= x * (away * x).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True)
+    turn = np.sqrt(1 - np.square(c := rnd.uniform(0.9505, 0.96, (len(x), 1))))
+    y = c * x / np.linalg.norm(x, axis=1, keepdims=True) + turn * away / np.linalg.norm(away, axis=1, keepdims=True)
+    both = np.concatenate([x, y]).astype(np.float32)
+    got = {r.vec_id: r for r in pq.near_duplicates(table(spark, [(i, v.tolist()) for i, v in enumerate(both)])).collect()}
+    u = both.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    links = np.array([got[i].n_links for i in range(len(both))])
+    assert (links <= close.sum(1)).all() and links.sum() >= 0.99 * close.sum() and close.sum() >= 3000
+
+
+def test_vectors_of_an_empty_table(spark):
+    assert pq.near_duplicates(table(spark, [])).count() == 0
