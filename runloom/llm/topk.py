@@ -6,8 +6,8 @@ A vector's dimensions are cut into lists, each a table of its own that knows par
    looked up there; the k-th best whole score of them bounds each query's k-th best score from below.
 2. That cut-off is sent to the lists, spread evenly below their best values. By the pigeonhole
    principle a vector that reaches it has a partial score at or over some list's share, so the entries over it suffice.
-3. Entries that could reach the cut-off, given that what a list did not send is below its share, have their missing parts
-   looked up in the other lists, and the whole scores are ranked.
+3. The missing parts of these entries are looked up in the other lists, and the whole scores are ranked. (With uniform shares
+   an entry over its own always could reach the cut-off, so there is nothing to drop before.)
 """
 
 from __future__ import annotations
@@ -159,15 +159,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LIST
     bases = of_list.groupBy("query_id").agg(F.sum("best").alias("top"))
     spread = F.col("best") + F.floor((F.col("reached") - F.col("top")) / lists)
     cuts = of_list.join(bases, "query_id").join(reached, "query_id", "left").withColumn("cut", F.coalesce(spread, F.col("low")))
-    cuts = stage(cuts.select("q_block", "query_id", "list", "cut", "reached"), "cuts")[0]
     sent = cuts.groupBy("list", "q_block").agg(F.collect_list(F.struct("query_id", "cut")).alias("thresholds"))
     found = mine.join(theirs.join(sent, ["list", "q_block"]), ["list", "block", "q_block"]).mapInArrow(_entries, _ENTRY)
-    # what a list has not sent is below its cut-off there: pairs that can't reach the goal even so are not looked up
-    held = stage(found, "entries")[0]
-    most = cuts.groupBy("query_id").agg(F.sum("cut").alias("cuts"), F.max("reached").alias("reached"))
-    hope = held.join(cuts.select("query_id", "list", "cut"), ["query_id", "list"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("part") - F.col("cut")).alias("over"))
-    alive = hope.join(most, "query_id").where(F.col("reached").isNull() | (F.col("cuts") + F.col("over") >= F.col("reached"))).select("query_id", "vec_id")
-    scored = _looked_up(held.join(alive, ["query_id", "vec_id"]).select("query_id", "list", "vec_id", "part"), slices, lists)
+    scored = _looked_up(stage(found, "entries")[0], slices, lists)
     score = scored.groupBy("query_id", "vec_id").agg(F.sum("part").alias("score"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranks = score.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
