@@ -166,11 +166,12 @@ def group_rounds(rows: DataFrame, keys: Sequence[str], trainer: RoundTrainer, mo
     weights = [f"_w{i}" for i in range(d)]
     key_fields = [rows.schema[k] for k in keys]
     plain = [c for c in rows.columns if c not in keys]
+    sums_of, update = trainer.partial, trainer.update  # functions alone go to the workers
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [
-                (*(k if isinstance(k, tuple) else (k,)), *g[weights].iloc[0], *map(float, trainer.partial(g[plain], g[weights].iloc[0].to_numpy(np.float64))))
+                (*(k if isinstance(k, tuple) else (k,)), *g[weights].iloc[0], *map(float, sums_of(g[plain], g[weights].iloc[0].to_numpy(np.float64))))
                 for k, g in pdf.groupby(keys, dropna=False, sort=False)
             ]
             yield pd.DataFrame(found, columns=[*keys, *weights, *sums])
@@ -179,7 +180,7 @@ def group_rounds(rows: DataFrame, keys: Sequence[str], trainer: RoundTrainer, mo
         for pdf in batches:
             found = []
             for r in pdf.to_dict("records"):
-                w, final = trainer.update(np.array([r[c] for c in weights]), np.array([r[c] for c in sums]))
+                w, final = update(np.array([r[c] for c in weights]), np.array([r[c] for c in sums]))
                 found.append((*[r[k] for k in keys], [float(v) for v in w], final))
             yield pd.DataFrame(found, columns=[*keys, "weights", "converged"])
 
