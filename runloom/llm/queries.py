@@ -39,8 +39,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's best licence notice."""
-    return licences.scan(read(spark, sf_dir, "documents"))
+    """Every document's best licence notice, and the licences that it holds as passages."""
+    return licences.digest(licences.scan(read(spark, sf_dir, "documents")))
 
 
 SQL["op3_licences"] = licences.oracle_sql()

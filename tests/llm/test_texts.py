@@ -201,6 +201,57 @@ def test_licences_by_brute_force(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def brute_passages(text, least=licences.LEAST_DICE):
+    """Every run of sentences against every template."""
+    sentences = [w for w in (licences._words(p) for p in re.split("\n", re.sub("([.!?:;])[ \t]", r"\1\n", text))) if w]
+    best = {}
+    for name, body in {**licences.TEMPLATES, **licences.BODIES}.items():
+        t_words = licences._words(body)
+        t = set(zip(t_words, t_words[1:]))
+        for i in range(len(sentences)):
+            for j in range(i, len(sentences)):
+                run = sum(sentences[i : j + 1], [])
+                if len(run) <= int(len(t_words) * (2 - least) / least + 1e-9):
+                    b = set(zip(run, run[1:]))
+                    dice = 2.0 * len(b & t) / (len(b) + len(t))
+                    if dice >= least:
+                        best[name] = min(best.get(name, (0, 0, 0, 0)), (-dice, len(run), i, j))
+    return [(name, -d, i, j) for name, (d, _, i, j) in sorted(best.items())]
+
+
+def licence_texts():
+    mit = " ".join(licences.BODIES["MIT text"].split())
+    wrapped = "\n".join(" * " + line.strip() for line in licences.BODIES["Apache-2.0 header"].splitlines())
+    bsd = " ".join(licences.BODIES["BSD-3-Clause text"].split()).replace("the copyright holder nor", "Example Inc. nor")
+    return [
+        "Copyright (c) 2020 Someone\n\n" + mit + "\nThe end of it.", "# code\n" + wrapped + "\nimport os", "An opening. " + bsd + " A closing.",
+        "Some words first. Released under the MIT License. See the LICENSE file for details.",
+        "This work is licensed under the GNU General\nPublic License, version 3.\nMore text",
+        "Released under the MIT License. " * 50, "Licensed under CC BY-NC 4.0.\nReleased under the ISC License", "Permission is hereby granted, free of charge",
+        " ".join(licences.BODIES["GPL-2.0 header"].split()), "\u212aelvin \u0130s. the MIT License", "word " * 3000 + "\nReleased under the MIT License",
+    ]
+
+
+def test_passages_by_brute_force(spark):
+    texts = licence_texts()
+    docs = table(spark, [*enumerate_rows(texts), *ODD])
+    got = {r.doc_id: [(p.licence, p.dice, p.first, p["last"]) for p in r.passages] for r in licences.scan(docs).collect()}
+    assert all(got[i] == brute_passages(text) for i, text in enumerate(texts))
+    best = {i: max(found, key=lambda p: p[1])[0] for i, found in got.items() if found}
+    want = ["MIT text", "Apache-2.0 header", "BSD-3-Clause text", "MIT", "GPL-3.0", "MIT", "CC-BY-NC-4.0", None, "GPL-2.0 header", None, "MIT"]
+    assert [best.get(i) for i in range(len(texts))] == want
+    assert all(got[i] == [] for i in (None, 900, 901, 902, 903, 904))
+
+
+def test_licence_sql_on_made_and_odd_rows(spark, folder):
+    rows = [*enumerate_rows(licence_texts()), *ODD, (0, "Released under the MIT License", "en"), (0, "Released under the MIT License", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    assert compare(licences.digest(licences.scan(docs)), db, licences.oracle_sql()) is None
+
+
 def enumerate_rows(texts, lang="en"):
     return [(i, t, lang) for i, t in enumerate(texts)]
 
