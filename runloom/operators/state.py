@@ -221,11 +221,20 @@ def revision_advance(
 
     No run counts as success unless ``require_runs``.
     """
-    outcome = (
+    return advance_by(revisions, app_outcomes(app_runs, only), force, require_runs)
+
+
+def app_outcomes(app_runs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(app_name, ok, n): have all runs of an application succeeded, and how many there are."""
+    return (
         target_filter(app_runs, only)
         .groupBy("app_name")
         .agg(F.bool_and(F.col("state") == fixed.SUCCESS).alias("ok"), F.count(F.lit(1)).alias("n"))
     )
+
+
+def advance_by(revisions: DataFrame, outcome: DataFrame, force: bool = False, require_runs: bool = False) -> DataFrame:
+    """``revision_advance`` from outcomes that are known already (``app_outcomes``)."""
     action = (
         F.when(F.col("in_sync") & F.lit(not force), "none")
         .when(F.coalesce("ok", F.lit(not require_runs)), "synced")

@@ -13,6 +13,7 @@ from runloom.functions import fixed
 from runloom.functions import scalars as S
 from runloom.operators import learn, select, serve, steps
 from runloom.operators.contract import contract_of
+from runloom.operators.state import target_filter
 from runloom.plans.catalog import query
 from runloom.session import local_table, new_dir
 from runloom.sources import files, registry, traces
@@ -507,17 +508,15 @@ def stream_stuck(spark: SparkSession, sf: str) -> DataFrame:
     return streams.read_stuck(spark, out, feed.schema)
 
 
-@query(
-    "stream_reconcile",
-    "R4",
-    """
+RECONCILED = """
 SELECT r.app_name, r.desired, CASE WHEN coalesce(bool_and(a.state = 'success'), true) THEN r.desired ELSE r.applied END AS applied,
   coalesce(bool_and(a.state = 'success'), true) AS in_sync,
   CASE WHEN coalesce(bool_and(a.state = 'success'), true) THEN 'synced' ELSE 'failed' END AS action, count(a.run_id) AS n_runs
 FROM revisions r LEFT JOIN (SELECT * FROM app_runs WHERE dag_id = '1-URGENT') a ON a.app_name = r.app_name
-WHERE r.desired IS DISTINCT FROM r.applied GROUP BY r.app_name, r.desired, r.applied""",
-    "revisions app_runs",
-)
+WHERE r.desired IS DISTINCT FROM r.applied GROUP BY r.app_name, r.desired, r.applied"""
+
+
+@query("stream_reconcile", "R4", RECONCILED, "revisions app_runs")
 def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     feed = V.revision_rows(_stream(spark, sf, "customer")).select("app_name", "dag_id", "desired")
     applied = V.revisions(spark, sf).filter("applied IS NOT NULL").select("app_name", F.col("applied").alias("revision"))
@@ -528,6 +527,24 @@ def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/actions").drop("batch_id")
 
 
+@query("stream_outcomes", "R4", RECONCILED, "revisions app_runs")
+def stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same reconciling beside outcomes that are kept up to date over several micro-batches of run changes."""
+    only = local_table(spark, [("1-URGENT",)], "dag_id string")
+    runs = target_filter(V.app_runs(spark, sf), only).select("app_name", "run_id", "state")
+    places = [new_dir(spark, name) for name in ("feed", "outcomes", "cp", "stream", "cp")]
+    # every run starts, ends, and is then reported late as waiting
+    for state, seq in ((F.lit(fixed.RUNNING), 1), (F.col("state"), 3), (F.lit(fixed.PENDING), 2)):
+        told = runs.select("app_name", "run_id", state.alias("state"), F.lit(seq).cast("long").alias("seq"))
+        told.write.mode("append").parquet(places[0])
+        changes = streams.file_stream(spark, places[0], "*.parquet", told.schema)
+        streams.track_outcomes(changes, places[1], places[2]).awaitTermination()
+    feed = V.revision_rows(_stream(spark, sf, "customer")).select("app_name", "dag_id", "desired")
+    applied = V.revisions(spark, sf).filter("applied IS NOT NULL").select("app_name", F.col("applied").alias("revision"))
+    streams.reconcile(feed, applied, None, places[3], places[4], outcomes=places[1]).awaitTermination()
+    return spark.read.parquet(f"{places[3]}/actions").drop("batch_id")
+
+
 # --- user functions ----------------------------------------------------------
 @query(
     "step_function",

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from runloom.functions import fixed
 from runloom.operators.keyed import latest
 from runloom.operators.learn import predict
-from runloom.operators.state import revision_advance
+from runloom.operators.state import advance_by, app_outcomes
 from runloom.sources.files import drop_path, list_names, path_exists
 from runloom.sources.traces import write_scored
 
@@ -80,17 +80,22 @@ def track_state(changes: DataFrame, keys: Sequence[str], seq: str, out: str, che
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        current_state(batch, keys, seq).write.mode("overwrite").parquet(f"{out}/level=0/upto={batch_id}")
-        level = 0
-        while (batch_id + 1) % FAN ** (level + 1) == 0:
-            parts = [f"{out}/level={level}/upto={batch_id - i * FAN**level}" for i in range(FAN)]
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(*parts)
-            current_state(rows, keys, seq).write.mode("overwrite").parquet(f"{out}/level={level + 1}/upto={batch_id}")
-            level += 1
+        _add_level(batch, keys, seq, out, batch_id)
 
     return start(changes, sink, checkpoint)
 
 
+def _add_level(batch: DataFrame, keys: Sequence[str], seq: str, out: str, batch_id: int) -> None:
+    """The newest change per key of a batch as a folder, and what is due to be folded into higher levels."""
+    current_state(batch, keys, seq).write.mode("overwrite").parquet(f"{out}/level=0/upto={batch_id}")
+    level = 0
+    while (batch_id + 1) % FAN ** (level + 1) == 0:
+        parts = [f"{out}/level={level}/upto={batch_id - i * FAN**level}" for i in range(FAN)]
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(*parts)
+        current_state(rows, keys, seq).write.mode("overwrite").parquet(f"{out}/level={level + 1}/upto={batch_id}")
+        level += 1
+
+
 def _folders(newest: int) -> list[tuple[int, int]]:
     """The fewest (level, upto) folders that hold the batches 0 to ``newest``."""
     level = 0
@@ -111,8 +116,13 @@ def read_state(spark: SparkSession, out: str, schema: T.StructType, keys: Sequen
     batches = [int(n.split("=")[1]) for n in list_names(spark, f"{out}/level=0") if n.startswith("upto=")]
     if not batches:
         return spark.createDataFrame([], schema)
-    parts = [f"{out}/level={level}/upto={upto}" for level, upto in _folders(max(batches))]
-    return latest(spark.read.schema(schema).parquet(*parts), keys, [seq]).select(*schema.names)
+    return latest(_read_levels(spark, out, schema, max(batches)), keys, [seq]).select(*schema.names)
+
+
+def _read_levels(spark: SparkSession, out: str, schema: T.StructType, newest: int) -> DataFrame:
+    """What the folders of the batches up to ``newest`` hold."""
+    parts = [f"{out}/level={level}/upto={upto}" for level, upto in _folders(newest)]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
 
 
 def _fold(spark: SparkSession, path: str, rows: DataFrame, batch_id: int, keys: list[str], seq: str) -> DataFrame:
@@ -129,6 +139,51 @@ def _fold(spark: SparkSession, path: str, rows: DataFrame, batch_id: int, keys:
     return spark.read.schema(rows.schema).parquet(here)
 
 
+def track_outcomes(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Per application how many runs it has and how many of them have not succeeded, kept up to date from run changes.
+
+    ``changes(app_name, run_id, state, seq)``: the highest ``seq`` of a run counts, so late and repeated
+    changes move nothing; those without an application, run_id or seq are ignored, as a null state is by the batch job. A batch looks its own runs up among those
+    seen, and folds what they change into the counts of the batch before: a row per application, whatever
+    the number of its runs. A batch that is replayed starts from the same counts.
+    """
+    keys = ["app_name", "run_id"]
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*keys, "state", "seq").filter("app_name IS NOT NULL AND run_id IS NOT NULL AND seq IS NOT NULL")
+        _add_level(rows, keys, "seq", f"{out}/runs", batch_id)
+        new = spark.read.schema(rows.schema).parquet(f"{out}/runs/level=0/upto={batch_id}")
+        old = _read_levels(spark, f"{out}/runs", rows.schema, batch_id - 1).join(new.select(*keys), keys, "left_semi")
+        held = current_state(old, keys, "seq").select(*keys, F.col("state").alias("was"), F.col("seq").alias("was_seq"))
+        unseen = F.col("was_seq").isNull()
+        moved = new.join(held, keys, "left").filter(unseen | (F.col("seq") > F.col("was_seq")))
+        failing = lambda state: F.coalesce((F.col(state) != fixed.SUCCESS).cast("long"), F.lit(0))
+        change = moved.select(
+            "app_name", unseen.cast("long").alias("n"), (failing("state") - F.when(unseen, 0).otherwise(failing("was"))).alias("n_open")
+        )
+        before = f"{out}/outcomes/batch_id={batch_id - 1}"
+        if path_exists(spark, before):
+            change = change.unionByName(spark.read.schema(change.schema).parquet(before))
+        counts = change.groupBy("app_name").agg(F.sum("n").alias("n"), F.sum("n_open").alias("n_open"))
+        counts.write.mode("overwrite").parquet(f"{out}/outcomes/batch_id={batch_id}")
+        drop_path(spark, f"{out}/outcomes/batch_id={batch_id - 2}")
+
+    return start(changes, sink, checkpoint)
+
+
+def read_outcomes(spark: SparkSession, out: str, app_name: T.DataType) -> DataFrame:
+    """(app_name, ok, n) after the newest whole batch of ``track_outcomes``; no rows before the first."""
+    schema = T.StructType([T.StructField("app_name", app_name), T.StructField("n", T.LongType()), T.StructField("n_open", T.LongType())])
+    names = [n for n in list_names(spark, f"{out}/outcomes") if n.startswith("batch_id=")]
+    whole = [int(n.split("=")[1]) for n in names if path_exists(spark, f"{out}/outcomes/{n}/_SUCCESS")]
+    if not whole:
+        rows = spark.createDataFrame([], schema)
+    else:
+        rows = spark.read.schema(schema).parquet(f"{out}/outcomes/batch_id={max(whole)}")
+    return rows.select("app_name", (F.col("n_open") == 0).alias("ok"), "n")
+
+
 def flag_stuck(
     changes: DataFrame, older_than: float, out: str, checkpoint: str, keys: Sequence[str] = ("run_id",)
 ) -> StreamingQuery:
@@ -164,11 +219,12 @@ def read_stuck(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame
 def reconcile(
     desired: DataFrame,
     applied: DataFrame,
-    app_runs: DataFrame,
+    app_runs: DataFrame | None,
     out: str,
     checkpoint: str,
     only: DataFrame | None = None,
     seq: str | None = None,
+    outcomes: str | None = None,
 ) -> StreamingQuery:
     """Emits an application whenever desired differs from applied, once per change.
 
@@ -176,7 +232,11 @@ def reconcile(
     revision)`` where things stood at the start; of several changes to one
     application in a batch the newest by ``seq`` counts.  Each batch folds its moves into the
     applied table of the one before.  ``app_name`` may be of any type.
+    Run outcomes come from the table ``app_runs``, folded anew for every batch, or from the folder ``outcomes``
+    that ``track_outcomes`` keeps up to date (then ``only`` has no say: let the tracked changes be those wanted).
     """
+    if (app_runs is None) == (outcomes is None):
+        raise ValueError("either app_runs or outcomes must be given")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -187,7 +247,8 @@ def reconcile(
         stands = latest(base, ["app_name"], ["moved_in"]).select("app_name", F.col("revision").alias("applied"))
         wanted = batch if seq is None else latest(batch, ["app_name"], [seq])
         status = wanted.join(stands, "app_name", "left")
-        acted = revision_advance(status, app_runs, only=only).filter("action <> 'none'")
+        told = app_outcomes(app_runs, only) if outcomes is None else read_outcomes(spark, outcomes, batch.schema["app_name"].dataType)
+        acted = advance_by(status, told).filter("action <> 'none'")
         acted.write.mode("overwrite").parquet(f"{out}/actions/batch_id={batch_id}")
         done = spark.read.schema(acted.schema).parquet(f"{out}/actions/batch_id={batch_id}")
         moves = done.filter("action = 'synced'").select(

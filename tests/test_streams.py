@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runloom.operators import learn
 from runloom.plans import learn_queries as Q
@@ -72,6 +75,43 @@ def test_each_change_is_acted_on_once(spark, folder):
     assert run() == second
 
 
+RUN_CHANGE = "app_name string, run_id long, state string, seq long"
+
+
+def test_outcomes_follow_run_changes(spark, folder, monkeypatch):
+    """Seven micro-batches with late, repeated and unusable changes, one application with most runs; the last batch replayed."""
+    monkeypatch.setattr(streams, "FAN", 2)
+    best: dict = {}
+    for i in range(7):
+        rows = [("hot", r, "success" if (r + i) % 3 else "failed", (7 * i + r) % 11) for r in range(60)]
+        rows += [("a", 1, "running", i), ("b", i, "success", 1), ("b", 0, "failed", 1 if i else 0), ("late", 5, f"s{i}", 9 - i), ("late", 5, "success", 8)]
+        rows += [(None, 1, "failed", 1), ("a", None, "failed", 1), ("a", 2, "failed", None), ("quiet", 1, None, i)]
+        put(spark, folder, "in", rows, RUN_CHANGE)
+        for app, run, state, seq in rows:
+            if None not in (app, run, seq) and ((app, run) not in best or seq > best[app, run][0]):
+                best[app, run] = (seq, state)
+
+        def outcomes():
+            changes = feed(spark, folder, "in", RUN_CHANGE)
+            streams.track_outcomes(changes, f"{folder}/out", f"{folder}/cp").awaitTermination()
+            return {r.app_name: (r.ok, r.n) for r in streams.read_outcomes(spark, f"{folder}/out", T.StringType()).collect()}
+
+        want = {}
+        for (app, _), (_, state) in best.items():
+            ok, n = want.get(app, (True, 0))
+            want[app] = (ok and state in ("success", None), n + 1)
+        assert outcomes() == want
+    for name in ("6", ".6.crc"):  # as if the writer was lost before it could commit
+        os.remove(f"{folder}/cp/commits/{name}")
+    assert outcomes() == want
+    assert streams.read_outcomes(spark, f"{folder}/none", T.StringType()).count() == 0
+
+
+def test_reconcile_takes_one_source_of_outcomes(spark, folder):
+    with pytest.raises(ValueError, match="either"):
+        streams.reconcile(None, None, None, folder, folder)
+
+
 @pytest.mark.parametrize("trace", [True, False])
 def test_stream_scores_equal_batch_scores(spark, folder, trace):
     p, c = Q.fit_one(spark, SF, "train_tree")
