@@ -241,8 +241,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Rows are linked when ``100 * intersection >= percent * union`` of their shingle
     sets. Null and blank texts have no shingles and link with nothing. Rows without a
-    doc_id link with nothing either (component null, kept); rows that share a doc_id
-    are one document, linked whatever their texts.
+    doc_id link with nothing either (component null, kept). Rows that share a doc_id but not
+    their text are each linked by their own text, as far as their class is not that of
+    another row of that id.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(source.mapInArrow(_sign, SIGNED), "signed")[0]
