@@ -450,7 +450,10 @@ def trace_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- streams -----------------------------------------------------------------
 def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """The table's own path as a stream: a single file or a folder of part files."""
     schema = V.table(spark, sf, table).schema
+    if files.is_folder(spark, f"{sf}/{table}.parquet"):
+        return streams.file_stream(spark, f"{sf}/{table}.parquet", "*", schema)
     return streams.file_stream(spark, sf, f"{table}.parquet", schema)
 
 

@@ -117,6 +117,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes one folder that its writer has replaced; nothing if it isn't there."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -151,3 +151,11 @@ def test_folders_cover_every_batch_once(newest, monkeypatch):
     monkeypatch.setattr(streams, "FAN", 3)
     held = [b for level, upto in streams._folders(newest) for b in range(upto - 3**level + 1, upto + 1)]
     assert held == list(range(newest + 1))
+
+
+def test_tables_held_as_folders_of_parts_stream_whole(spark, folder):
+    """A table may be a folder of part files, as Spark writes it, not one file."""
+    V.table(spark, SF, "events").repartition(3).write.parquet(f"{folder}/events.parquet")
+    want = sorted(Q.stream_state(spark, SF).collect())
+    got = sorted(Q.stream_state(spark, folder).collect())
+    assert len(got) > 0 and got == want
