@@ -299,3 +299,19 @@ def test_grid_search_scores_every_fold_and_reads_once(spark):
     again = learn.fit_candidates(rows.filter(learn.fold_of("doc_id", 3) != 1), V.FEATURES, {t: estimators[t]})[0]
     assert learn.evaluate(held_out, {"x": again.model})["x"] == scores[t, 1]
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
+
+
+def test_grid_search_trusts_what_beats_the_largest_language(spark, monkeypatch):
+    """Trusted: right more often than guessing each fold's largest language, not a fixed bar."""
+    import types
+
+    p = Q.prepare(spark, SF)
+    rows = p.train.unionByName(p.test).withColumn("fold", learn.fold_of("doc_id", 3))
+    shares = {r["fold"]: r["s"] for r in rows.groupBy("fold", "target").count().groupBy("fold").agg((F.max("count") / F.sum("count")).alias("s")).collect()}
+    assert min(shares.values()) < 0.59 and max(shares.values()) > 0.61
+    tasks = ["flat.regParam=0.001", "tree.maxDepth=2"]
+    found = [(t, f, shares[f] + (0.01 if t.startswith("tree") else -0.01)) for t in tasks for f in range(3)]
+    scores = spark.createDataFrame(found, "task_id string, fold int, accuracy double")
+    monkeypatch.setattr(learn, "grid_search", lambda *a, **k: learn.Search(scores, types.SimpleNamespace(task_id="tree.maxDepth=2")))
+    got = {(r["task_id"], r["fold"]): r["trusted"] for r in Q.grid_search(spark, SF).collect()}
+    assert got == {(t, f): t.startswith("tree") for t in tasks for f in range(3)}
