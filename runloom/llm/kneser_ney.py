@@ -43,6 +43,8 @@ from runloom.session import new_dir, stage
 ORDER = 5
 BLOCK_BYTES, RUN_BYTES = 32 << 20, 2 << 20
 MERGED_BYTES = 64 << 20
+GRAM_ROWS = 1 << 20
+"""N-grams of a block that one row holds at most, so that no row is as large as a block's n-grams."""
 """Text that an input partition should bring at least: blocks of little text ask for almost every n-gram anew."""
 WINDOW, SLOTS = 1024, 8192
 """Novelty is counted in windows of so many bytes; an n-gram counts as seen if its slot of so many is taken."""
@@ -121,10 +123,13 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, lang, text, fold) to one row per block and language."""
+    """Rows of (doc_id, lang, text, fold) to rows of blocks: one per block and language with its texts, then its n-grams.
+
+    A block's texts are counted and compressed batch by batch as they come, so that a task holds no
+    language's text in the clear; its n-grams follow in rows of at most ``GRAM_ROWS`` (``body`` null).
+    """
     part, seq = TaskContext.get().partitionId(), 0
-    held: dict[str, list] = {}
-    size: dict[str, int] = {}
+    held: dict[str, dict] = {}
     schema = pa.schema(
         [
             ("block", pa.int64()), ("lang", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("folds", pa.list_(pa.int32())),
@@ -133,30 +138,51 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
     )
 
-    def flush(lang: str) -> pa.RecordBatch:
-        nonlocal seq
-        rows = pa.Table.from_batches(held.pop(lang)).combine_chunks()
-        size.pop(lang)
-        raw, offsets = utf8_bytes(rows.column("text").combine_chunks())
-        ends, folds = offsets[1:], rows.column("fold").to_numpy()
-        found, counts = _merged([_counted(raw, ends, folds, lo, hi) for lo, hi in _runs(ends)])
+    def listed(values, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
+
+    def row(block: int, lang: str, doc_ids, folds, ends, body, grams, counts) -> pa.RecordBatch:
         values = [
-            (part << 24) + seq, lang, rows.column("doc_id").to_pylist(), folds, ends,
-            zstandard.ZstdCompressor(level=3).compress(raw.data), found, *counts,
+            pa.array([block], pa.int64()), pa.array([lang], pa.string()), listed(doc_ids, pa.int64()), listed(folds, pa.int32()),
+            listed(ends, pa.int64()), pa.array([body], pa.binary()), listed(grams, pa.int64()), *[listed(c, pa.int32()) for c in counts],
         ]
+        return pa.record_batch(values, schema=schema)
+
+    def add(lang: str, rows: pa.RecordBatch) -> None:
+        block = held.setdefault(
+            lang, {"size": 0, "doc_ids": [], "folds": [], "ends": [], "at": 0, "body": [], "zstd": zstandard.ZstdCompressor(level=3).compressobj(), "counted": None}
+        )
+        raw, offsets = utf8_bytes(rows.column("text"))
+        ends, folds = offsets[1:], rows.column("fold").to_numpy(zero_copy_only=False).astype(np.int32)
+        parts = [_counted(raw, ends, folds, lo, hi) for lo, hi in _runs(ends)]
+        block["counted"] = _merged(parts + ([block["counted"]] if block["counted"] else []))
+        block["doc_ids"].append(rows.column("doc_id"))
+        block["folds"].append(folds)
+        block["ends"].append(ends + block["at"])
+        block["at"] += len(raw)
+        block["body"].append(block["zstd"].compress(raw.data))
+        block["size"] += rows.nbytes
+
+    def flush(lang: str) -> Iterator[pa.RecordBatch]:
+        nonlocal seq
+        block, number = held.pop(lang), (part << 24) + seq
         seq += 1
-        return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+        found, counts = block["counted"] or (np.zeros(0, np.int64), np.zeros((FOLDS, 0), np.int32))
+        body = b"".join([*block["body"], block["zstd"].flush()])
+        joined = [pa.concat_arrays(block["doc_ids"]).cast(pa.int64()), *[np.concatenate(block[k]) for k in ("folds", "ends")]]
+        none = np.zeros(0, np.int64)
+        yield row(number, lang, *joined, body, none, np.zeros((FOLDS, 0), np.int32))
+        for lo in range(0, len(found), GRAM_ROWS):
+            yield row(number, lang, none, none, none, None, found[lo : lo + GRAM_ROWS], counts[:, lo : lo + GRAM_ROWS])
 
     for batch in batches:
         langs = batch.column("lang")
         for lang in langs.unique().to_pylist():
-            rows = batch.filter(pa.compute.equal(langs, lang))
-            held.setdefault(lang, []).append(rows)
-            size[lang] = size.get(lang, 0) + rows.nbytes
-            if size[lang] >= BLOCK_BYTES:
-                yield flush(lang)
+            add(lang, batch.filter(pa.compute.equal(langs, lang)))
+            if held[lang]["size"] >= BLOCK_BYTES:
+                yield from flush(lang)
     for lang in list(held):
-        yield flush(lang)
+        yield from flush(lang)
 
 
 def _score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
@@ -166,7 +192,7 @@ def _score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     bits = np.stack([answers.column(name).to_numpy() for name in ["bits", *[f"bits{k}" for k in _EACH]]])
     for row in blocks.to_pylist():
         ends, folds = np.array(row["ends"], np.int64), np.array(row["folds"], np.int32)
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(row["body"]), np.uint8)
         spent, held, novelty = np.zeros(len(ends)), np.zeros(len(ends)), np.ones(len(ends))
         for lo, hi in _runs(ends):
             first = ends[lo - 1] if lo else 0
@@ -310,7 +336,7 @@ def score_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     answers = asked.join(model, ["lang", "gram"]).select(
         F.col("block").alias("asker"), "gram", F.col("bits0").alias("bits"), *[F.when(F.col(f"n{k}") > 0, F.col(f"bits{k}")).alias(f"bits{k}") for k in _EACH]
     )
-    bodies = spark.table(name).select("block", "lang", "doc_ids", "folds", "ends", "body")
+    bodies = spark.table(name).where(F.col("body").isNotNull()).select("block", "lang", "doc_ids", "folds", "ends", "body")
     scored = Staged(spark).put("scored", bodies.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_score, SCORED))
     spark.sql(f"DROP TABLE {name}")
     staged.drop_all(path)

@@ -128,6 +128,40 @@ def test_perplexity_equals_the_formulas(spark):
     assert [got[i] for i, _, _ in rows] == pytest.approx(want, rel=1e-4)
 
 
+def test_blocks_hold_no_row_of_all_their_grams(monkeypatch):
+    """A block's texts go compressed in one row, its n-grams in rows of at most GRAM_ROWS; together the same counts."""
+    from unittest import mock
+
+    import pyarrow as pa
+    import zstandard
+
+    monkeypatch.setattr(kneser_ney, "GRAM_ROWS", 50)
+    texts = [*prose(1, 12), "", None, "é漢 mixed"]
+    rows = pa.record_batch(
+        [pa.array([7, None, *range(len(texts) - 1)][: len(texts)], pa.int64()), pa.array(["xx"] * len(texts)), pa.array(texts),
+         pa.array([i % (kneser_ney.FOLDS + 1) for i in range(len(texts))], pa.int32())],
+        names=["doc_id", "lang", "text", "fold"],
+    )
+    task = mock.MagicMock()
+    task.partitionId.return_value = 0
+    with mock.patch.object(kneser_ney.TaskContext, "get", return_value=task):
+        out = pa.Table.from_batches(list(kneser_ney._pack(iter([rows.slice(0, 5), rows.slice(5)])))).to_pylist()
+    bodies = [r for r in out if r["body"] is not None]
+    assert len(bodies) == 1 and not bodies[0]["grams"]
+    assert bodies[0]["doc_ids"] == rows.column("doc_id").to_pylist() and bodies[0]["folds"] == rows.column("fold").to_pylist()
+    raw = [(t or "").encode() for t in texts]
+    assert zstandard.ZstdDecompressor().decompressobj().decompress(bodies[0]["body"]) == b"".join(raw)
+    assert bodies[0]["ends"] == list(np.cumsum([len(t) for t in raw]))
+    assert all(0 < len(r["grams"]) <= 50 for r in out if r["body"] is None) and len(out) > 3
+    grams = [g for r in out for g in r["grams"]]
+    keys = kneser_ney._grams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(t) for t in raw]))
+    assert grams == sorted(set(keys.tolist()))
+    fold = np.repeat(rows.column("fold").to_numpy(), [len(t) for t in raw])
+    for k in kneser_ney._EACH:
+        want = Counter(keys[fold == k].tolist())
+        assert [n for r in out for n in r[f"n{k}"]] == [want.get(g, 0) for g in grams]
+
+
 def test_classifier_drops_noise_and_handles_odd_rows(spark):
     good = [(i, t, "xx") for i, t in enumerate(prose(1, 60))]
     noise = [(100 + i, re.sub(r"(\w) ", r"\1%%% ", t).upper(), "xx") for i, t in enumerate(prose(1, 10))]
