@@ -1,8 +1,9 @@
 """Ranking and list building per key that stay whole when one key is hot.
 
-A window or ``collect_list`` puts a whole key into one task.  Here rows are cut into
-range slices by (key, order) of a fixed number of rows, ranked slice by slice and
-shifted by the rows before; an input of one slice is the plain window.
+A window or ``collect_list`` puts a whole key into one task.  Here rows are counted
+per group of keys first.  Groups that fit into a task go through the plain window, one
+shuffle; the rows of crowded groups are cut into range slices by (key, order) of a fixed
+number of rows, ranked slice by slice and shifted by the rows before.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.session import stage
+from runloom.session import shuffles_dropped, stage
 
 SMALL_INPUT_BYTES = 256 << 20  # below this one task can sort the whole input
 SLICE_BYTES = 64 << 20  # an input that reads no more is one slice
 SLICE_ROWS = 1_000_000  # rows of a slice, about
+KEY_GROUPS = 1 << 14  # groups of keys that are counted to find the crowded ones
 LIST_CHUNK = 10_000  # longest list put into one row
 
 
@@ -57,20 +59,50 @@ def rank_rows(
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` as bigint ``name``.
 
-    No task ranks more than about ``slice_rows`` rows, whatever share of them a key
-    has.  The input is worked out once (staged) and the slices are cut from that.
-    Rows with equal keys and order may lie in several slices: a hash of the row
-    breaks such ties.
+    No task ranks more than about ``slice_rows`` rows of a key, whatever share of them
+    it has.  An input that is more than a scan is worked out once (staged).  Rows with
+    equal keys and order may lie in several slices: a hash of the row breaks such ties.
     """
     keys = list(keys)
-    parts = 1
-    if slice_rows is not None or not is_small(df, SLICE_BYTES):
-        df, n = stage(df, "unranked")
-        parts = max(1, -(-n // (slice_rows or SLICE_ROWS)))
+    plain = Window.partitionBy(*keys).orderBy(*order)
+    if slice_rows is None and is_small(df, SLICE_BYTES):
+        return df.withColumn(name, F.row_number().over(plain).cast("bigint"))
+    if not is_scan(df):
+        with shuffles_dropped(df.sparkSession):
+            df = stage(df, "unranked")[0]
+    limit = slice_rows or SLICE_ROWS
+    group = F.pmod(key_hash(keys), F.lit(KEY_GROUPS)) if keys else F.lit(0)
+    n, crowded = _crowded(df, group, limit)
+    parts = max(1, -(-n // limit))
     if parts == 1:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-    return _rank_sliced(df, keys, order, name, parts)
+        return df.withColumn(name, F.row_number().over(plain).cast("bigint"))
+    there = group.isin([g for g, _ in crowded])
+    rest = df.where(~there) if crowded else df
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) and keys:
+        rest = rest.repartition(parts, *keys)
+    ranked = rest.withColumn(name, F.row_number().over(plain).cast("bigint"))
+    if not crowded:
+        return ranked
+    sliced = _rank_sliced(df.where(there), keys, order, name, max(1, -(-sum(m for _, m in crowded) // limit)))
+    return ranked.unionByName(sliced) if keys else sliced
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Does the plan only read tables, row by row?  Then reading twice is cheaper than a copy."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().apply(0)
+    return plan.children().isEmpty() and plan.nodeName() in ("LogicalRelation", "LocalRelation")
+
+
+def _crowded(df: DataFrame, group: Column, limit: int) -> tuple[int, list[tuple[int, int]]]:
+    """How many rows there are, and the groups that have more than ``limit`` of them, with their rows."""
+    counts = df.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_rows"))
+    over = F.when(F.col("_rows") > limit, F.struct("_g", "_rows"))
+    found = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n"), F.collect_list(over).alias("over")).first()
+    return found["n"], [(r["_g"], r["_rows"]) for r in found["over"]]
 
 
 def _rank_sliced(df: DataFrame, keys: list[str], order: Sequence[Column], name: str, parts: int) -> DataFrame:
@@ -112,7 +144,8 @@ def nest(
     ``chunk`` 0 is the whole list for every key that fits; longer lists go on in
     chunk 1, 2, ... so no entry is dropped and no task holds an unbounded list.
     """
-    ranked = rank_rows(df.withColumn("_item", item), keys, order, "_n", slice_rows)
+    kept = dict.fromkeys([*keys, *_sorted_by(df, order)])
+    ranked = rank_rows(df.select(*kept, item.alias("_item")), keys, order, "_n", slice_rows)
     return (
         ranked.groupBy(*keys, F.expr(f"(_n - 1) div {chunk}").alias("chunk"))
         .agg(F.sort_array(F.collect_list(F.struct("_n", "_item"))).alias("_list"))
@@ -120,6 +153,13 @@ def nest(
     )
 
 
+def _sorted_by(df: DataFrame, order: Sequence[Column]) -> list[str]:
+    """The columns that ``order`` refers to."""
+    sorts = df.sort(*order)._jdf.queryExecution().analyzed().order()
+    used = [sorts.apply(i).references().toSeq() for i in range(sorts.size())]
+    return [attributes.apply(i).name() for attributes in used for i in range(attributes.size())]
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest row per key by ``order``; ``max_by`` folds map-side, so hot keys are cheap."""
     rest = [c for c in df.columns if c not in keys]

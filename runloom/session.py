@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -54,6 +55,21 @@ def new_name(label: str) -> str:
     return f"{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs that write in here drop their shuffle files as soon as they are over.
+
+    Else these stay until the driver happens to collect its garbage, beside all that is written after.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, label: str = "stage", path: str | None = None) -> tuple[DataFrame, int]:
     """Write ``df`` to the shared folder and read it back, with its row count.
 

@@ -71,17 +71,28 @@ def app_runs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def attempt_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Attempts without their number."""
+ATTEMPT_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+def attempt_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The line items behind the attempts, by the keys of these."""
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"),
+        F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("task_id"),
+        *ATTEMPT_ORDER,
+        "l_returnflag",
+        "l_linestatus",
+    )
+
+
+def attempt_columns() -> list[Column]:
     ok = F.concat(F.lit('{"ok": true, "result": {"value": '), F.col("l_partkey").cast("string"), F.lit("}}"))
 
     def bad(text: str) -> Column:
         return F.lit('{"ok": false, "error": "' + text + '"}')
 
     kind = F.col("l_partkey") % 4
-    return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("run_id"),
-        F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("task_id"),
+    return [
         epoch("l_shipdate").alias("started_at"),
         (epoch("l_shipdate") + F.col("l_quantity").cast("bigint")).alias("finished_at"),
         F.col("l_linestatus").alias("line_status"),
@@ -91,15 +102,19 @@ def attempt_rows(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 2, bad("GitError: git fetch failed: Permission denied (publickey)"))
         .otherwise(bad("RuntimeError: failed on purpose"))
         .alias("envelope"),
-        F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("_order"),
-    )
+    ]
+
+
+def attempt_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts without their number."""
+    lines = attempt_lines(spark, sf)
+    return lines.select("run_id", "task_id", *attempt_columns(), F.struct(*ATTEMPT_ORDER).alias("_order"))
 
 
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = attempt_rows(spark, sf)
-    return rank_rows(rows, ["run_id", "task_id"], [F.col("_order")], "attempt").select(
-        "run_id", "task_id", "attempt", "started_at", "finished_at", "line_status", "envelope"
-    )
+    """Numbered as narrow line items; texts are made of the ranked rows, so none is shuffled."""
+    ranked = rank_rows(attempt_lines(spark, sf), ["run_id", "task_id"], [F.col(c) for c in ATTEMPT_ORDER], "attempt")
+    return ranked.select("run_id", "task_id", "attempt", *attempt_columns())
 
 
 def tasks(spark: SparkSession) -> DataFrame:

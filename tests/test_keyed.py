@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -40,6 +41,34 @@ def test_no_slice_holds_a_whole_hot_key(spark, monkeypatch):
     assert rows.groupBy("k", "_slice").count().agg(F.max("count")).first()[0] <= 1000
 
 
+def test_a_table_without_hot_keys_is_ranked_and_folded_in_one_shuffle(spark, folder, monkeypatch):
+    """Nothing is copied, and the newest row per key needs no shuffle beside that of the rank."""
+    spark.range(5000).selectExpr("id % 1700 AS k", "id * 7919 % 5000 AS v", "id").write.parquet(f"{folder}/t")
+    df = spark.read.parquet(f"{folder}/t")
+    plain = sorted(map(tuple, keyed.rank_rows(df, ["k"], [F.col("v")], "n").collect()))
+    monkeypatch.setattr(keyed, "SLICE_BYTES", 0)
+    monkeypatch.setattr(keyed, "SLICE_ROWS", 1000)
+    monkeypatch.setattr(keyed, "stage", lambda *_: pytest.fail("the table was copied"))
+    ranked = keyed.rank_rows(df, ["k"], [F.col("v")], "n")
+    assert sorted(map(tuple, ranked.collect())) == plain
+    newest = keyed.latest(ranked, ["k"], ["n"])
+    assert newest.count() == 1700
+    plan = str(newest._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") == 1
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_only_crowded_keys_are_cut_into_slices(spark, monkeypatch, keys):
+    df = skewed(spark).where("k <> 'k7' OR k IS NULL")
+    seen = {}
+    stage = keyed.stage
+    monkeypatch.setattr(keyed, "stage", lambda df, label: seen.setdefault(label, stage(df, label)))
+    order = [F.desc("v"), F.col("id")]
+    got = keyed.rank_rows(df, keys, order, "n", slice_rows=400)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, keyed.rank_rows(df, keys, order, "n").collect()), key=str)
+    assert {r["k"] for r in seen["slices"][0].select("k").distinct().collect()} == ({"hot"} if keys else {r["k"] for r in df.select("k").distinct().collect()})
+
+
 def test_rank_of_two_keys_keeps_every_row(spark):
     df = skewed(spark).withColumn("h", F.col("id") % 2)
     out = keyed.rank_rows(df, ["k", "h"], [F.col("id")], "n", slice_rows=200)
