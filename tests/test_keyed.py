@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from runloom.operators import keyed
+from runloom.session import shuffles_dropped
 
 
 def skewed(spark, n=3000, seed=1):
@@ -77,6 +79,35 @@ def test_rank_of_two_keys_keeps_every_row(spark):
     assert worst.filter("c <> m OR c <> d").isEmpty()
 
 
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {b for i in range(blocks.size()) if (b := blocks.apply(i).name()).startswith("shuffle_")}
+
+
+def test_a_write_can_drop_its_shuffle_files(spark):
+    df = spark.range(2000).groupBy((F.col("id") % 300).alias("k")).count()
+    before = shuffle_files(spark)
+    with shuffles_dropped(spark):
+        back, n = keyed.stage(df, "dropped")
+    end = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < end:  # executors do it a little later
+        time.sleep(0.2)
+    assert not left and n == 300 and sorted(back.collect()) == sorted(df.collect())
+
+
+def test_lists_copy_their_items_alone(spark, monkeypatch):
+    df = spark.range(2000).selectExpr("id % 300 AS k", "id").groupBy("k", "id").agg(F.repeat(F.lit("x"), 100).alias("text"), F.max("id").alias("v"))
+    plain = sorted(map(tuple, keyed.nest(df, ["k"], [F.desc("id")], F.struct("id", "v"), "items").collect()))
+    copied = {}
+    stage = keyed.stage
+    monkeypatch.setattr(keyed, "SLICE_BYTES", 0)
+    monkeypatch.setattr(keyed, "SLICE_ROWS", 500)
+    monkeypatch.setattr(keyed, "stage", lambda df, label: copied.setdefault(label, stage(df, label)))
+    rows = keyed.nest(df, ["k"], [F.desc("id")], F.struct("id", "v"), "items")
+    assert copied["unranked"][0].columns == ["k", "id", "_item"]
+    assert sorted(map(tuple, rows.collect())) == plain
+
+
 def test_long_lists_go_on_in_chunks(spark):
     df = spark.range(25).withColumn("k", F.lit("a"))
     rows = keyed.nest(df, ["k"], [F.col("id")], F.col("id"), "ids", chunk=10).orderBy("chunk").collect()
