@@ -88,8 +88,12 @@ def rank_rows(
 
 
 def is_scan(df: DataFrame) -> bool:
-    """Does the plan only read tables, row by row?  Then reading twice is cheaper than a copy."""
-    plan = df._jdf.queryExecution().optimizedPlan()
+    """Does the plan only read a table, row by row?  Then reading twice is cheaper than a copy."""
+    return row_by_row(df._jdf.queryExecution().optimizedPlan())
+
+
+def row_by_row(plan) -> bool:
+    """``is_scan`` of a logical plan."""
     while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
         if not plan.deterministic():
             return False

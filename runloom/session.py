@@ -94,6 +94,12 @@ def stage_counted(
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
     """A few driver-side rows as a local relation, whose size the planner knows.
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions import fixed
-from runloom.operators.keyed import latest
+from runloom.operators.keyed import input_bytes, latest, row_by_row
+from runloom.session import drop_dir, new_dir, shuffles_dropped, stage
 
 
 def list_log_files(spark: SparkSession, path: str, task_id: str | None = None, all_tries: bool = False) -> DataFrame:
@@ -48,6 +49,8 @@ def require_logs(logs: DataFrame, task_id: str) -> DataFrame:
 
 
 BUCKETS = 256  # folders of a log table, whatever the number of runs
+ROUND_BYTES = 64 << 20  # of what is read for a log table; one that reads more is written in several rounds
+MOST_ROUNDS = 8
 
 
 def _bucket():
@@ -57,13 +60,37 @@ def _bucket():
 def write_log_lines(lines: DataFrame, path: str) -> None:
     """``(run_id, task_id, attempt, line)`` as a table in ``BUCKETS`` folders, the lines of a task together.
 
-    Beside it goes an index: which attempts a task of a run has.
+    Beside it goes, last, an index: which attempts a task of a run has. A large table is written a part of the folders
+    at a time, so that only a part of the lines is being shuffled. Lines that cannot be had in parts are worked out once.
     """
-    lines.withColumn("bucket", _bucket()).hint("rebalance", "bucket").sortWithinPartitions("bucket", "run_id", "task_id", "attempt").write.partitionBy(
-        "bucket"
-    ).parquet(f"{path}/lines")
-    attempts = lines.select("run_id", "task_id", "attempt").distinct()
-    attempts.write.parquet(f"{path}/attempts")
+    spark = lines.sparkSession
+    rounds = max(1, min(MOST_ROUNDS, -(-input_bytes(lines) // ROUND_BYTES)))
+    bucket, copy = F.col("bucket"), None
+    with shuffles_dropped(spark):
+        if rounds > 1 and not in_parts(lines.where(_bucket() == 0)):
+            copy = new_dir(spark, "unsorted")
+            lines = stage(lines, "unsorted", copy)[0]
+        dealt = lines.withColumn("bucket", _bucket())
+        for i in range(rounds):
+            part = dealt.where(bucket % rounds == i) if rounds > 1 else dealt
+            together = part.hint("rebalance", "bucket").sortWithinPartitions("bucket", "run_id", "task_id", "attempt")
+            together.write.mode("append" if i else "error").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/lines")
+        if copy:
+            drop_dir(spark, copy)
+        written = spark.read.schema(dealt.schema).parquet(f"{path}/lines")
+        written.select("run_id", "task_id", "attempt").distinct().write.parquet(f"{path}/attempts")
+
+
+def in_parts(filtered: DataFrame) -> bool:
+    """Does the filter on top of a plan, by a hash of keys, reach every table that the plan reads?"""
+
+    def narrowed(plan) -> bool:
+        if plan.nodeName() == "Filter" and "xxhash64" in plan.condition().toString():
+            return row_by_row(plan)
+        below = plan.children()
+        return not below.isEmpty() and all(narrowed(below.apply(i)) for i in range(below.size()))
+
+    return narrowed(filtered._jdf.queryExecution().optimizedPlan())
 
 
 def read_log_lines(spark: SparkSession, path: str, all_tries: bool = False, run_id: object = None, task_id: str | None = None) -> DataFrame:
@@ -79,7 +106,14 @@ def read_log_lines(spark: SparkSession, path: str, all_tries: bool = False, run_
     if all_tries:
         return lines
     newest = index.groupBy("run_id", "task_id").agg(F.max("attempt").alias("attempt"))
-    return lines.join(newest, ["run_id", "task_id", "attempt"], "left_semi")
+    return _no_older(lines, newest, ["run_id", "task_id"])
+
+
+def _no_older(lines: DataFrame, newest: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines of the attempts in ``newest``, none of which is older than it; by the keys that ``newest`` is already dealt by."""
+    last = newest.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("attempt").alias("_newest"))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    return lines.join(last, [*same, F.col("attempt") >= F.col("_newest")], "left_semi")
 
 
 def find_log_lines(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:

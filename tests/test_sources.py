@@ -3,9 +3,11 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from runloom.session import small_table, work_dir
+from runloom.operators import keyed
+from runloom.session import small_table, stage, work_dir
 from runloom.sources import files, logs, registry, store
 from runloom.sources import tables as V
 
@@ -231,6 +233,41 @@ def test_asked_logs_name_what_is_missing(spark, folder):
     assert got == [(1, "a", "y", None), (1, "a", "z", None), (1, "b", None, "no logs for task 'b' in 1"), (3, "a", None, "no logs for task 'a' in 3")]
 
 
+def test_log_index_names_the_attempts_that_were_written(spark, folder, monkeypatch):
+    """Lines that are not the same when worked out again: index and table still agree, in one round or several."""
+    keys = spark.range(500).selectExpr("id % 90 AS run_id", "concat('t', id % 7) AS task_id", "id")
+    lines = keys.select("run_id", "task_id", F.floor(F.rand() * 9).alias("attempt"), F.col("id").cast("string").alias("line"))
+    for name, size in (("one", logs.ROUND_BYTES), ("more", 1)):
+        monkeypatch.setattr(logs, "ROUND_BYTES", size)
+        logs.write_log_lines(lines, f"{folder}/{name}")
+        written = logs.read_log_lines(spark, f"{folder}/{name}", all_tries=True).collect()
+        assert sorted(int(r["line"]) for r in written) == list(range(500))
+        index = {tuple(r) for r in spark.read.parquet(f"{folder}/{name}/attempts").select("run_id", "task_id", "attempt").collect()}
+        assert index == {(r["run_id"], r["task_id"], r["attempt"]) for r in written}
+        last = {}
+        for r in written:
+            last[r["run_id"], r["task_id"]] = max(r["attempt"], last.get((r["run_id"], r["task_id"]), -1))
+        newest = logs.read_log_lines(spark, f"{folder}/{name}").collect()
+        assert sorted(newest) == sorted(r for r in written if r["attempt"] == last[r["run_id"], r["task_id"]])
+
+
+def test_log_tables_are_written_in_rounds(spark, folder, monkeypatch):
+    """A filter of folders reaches the table below a rank, but not below another window: then the lines are copied first."""
+    spark.range(3000).selectExpr("id % 400 AS run_id", "concat('t', id % 3) AS task_id", "id * 7919 % 3000 AS v").write.parquet(f"{folder}/t")
+    rows = spark.read.parquet(f"{folder}/t")
+    by_key = keyed.rank_rows(rows, ["run_id", "task_id"], [F.col("v")], "attempt")
+    by_value = rows.withColumn("attempt", F.row_number().over(Window.partitionBy(F.col("v") % 5).orderBy("v")))
+    monkeypatch.setattr(logs, "ROUND_BYTES", 1)
+    copies = []
+    monkeypatch.setattr(logs, "stage", lambda df, label, path: copies.append(path) or stage(df, label, path))
+    for name, ranked in (("parts", by_key), ("whole", by_value)):
+        lines = ranked.select("run_id", "task_id", "attempt", F.col("v").cast("string").alias("line"))
+        logs.write_log_lines(lines, f"{folder}/{name}")
+        assert len(copies) == (name == "whole")
+        assert sorted(logs.read_log_lines(spark, f"{folder}/{name}", all_tries=True).collect()) == sorted(lines.collect())
+    assert not os.path.exists(copies[0])
+
+
 def test_a_run_is_replaced_without_touching_others(spark, folder):
     path = f"{folder}/runs"
     first = spark.createDataFrame([(f"r{i}", i) for i in range(2000)], RESULT)
