@@ -122,12 +122,13 @@ def find_log_lines(spark: SparkSession, path: str, asked: DataFrame) -> DataFram
     ``(run_id, task_id, attempt, line, problem)``: attempt and line are null where a problem is named. The folders that hold none
     of the asked tasks are not read (partition filter at run time).
     """
-    wanted = asked.select("run_id", "task_id").distinct()
-    newest = spark.read.parquet(f"{path}/attempts").groupBy("run_id", "task_id").agg(F.max("attempt").alias("attempt"))
-    known = wanted.join(newest, ["run_id", "task_id"], "left").withColumn("bucket", _bucket())
+    keys = ["bucket", "run_id", "task_id"]  # one dealing of each table serves the folds and both joins
+    wanted = asked.select(_bucket().alias("bucket"), "run_id", "task_id").distinct()
+    index = spark.read.parquet(f"{path}/attempts").withColumn("bucket", _bucket())
+    known = wanted.join(index.groupBy(*keys).agg(F.max("attempt").alias("attempt")), keys, "left")
     lines = spark.read.parquet(f"{path}/lines")
     kinds = dict(lines.dtypes)
-    found = lines.join(known.filter(F.col("attempt").isNotNull()), ["bucket", "run_id", "task_id", "attempt"], "left_semi")
+    found = _no_older(lines, known.filter(F.col("attempt").isNotNull()), keys)
     missing = known.filter(F.col("attempt").isNull()).select(
         "run_id", "task_id", "attempt", F.lit(None).cast(kinds["line"]).alias("line"), F.format_string(fixed.NO_LOGS, "task_id", F.col("run_id").cast("string")).alias("problem")
     )

@@ -233,6 +233,21 @@ def test_asked_logs_name_what_is_missing(spark, folder):
     assert got == [(1, "a", "y", None), (1, "a", "z", None), (1, "b", None, "no logs for task 'b' in 1"), (3, "a", None, "no logs for task 'a' in 3")]
 
 
+def test_asked_logs_deal_no_table_twice(spark, folder):
+    """Lines, asked tasks and index are shuffled once for the found logs; the latter two once for those without."""
+    lines = spark.createDataFrame([(1, "a", 1, "x"), (1, "a", 2, "y"), (2, "b", 1, "w")], "run_id int, task_id string, attempt int, line string")
+    logs.write_log_lines(lines, f"{folder}/l")
+    asked = spark.createDataFrame([(1, "a"), (3, "a")], "run_id int, task_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = logs.find_log_lines(spark, f"{folder}/l", asked)
+        plan = str(found._jdf.queryExecution().executedPlan().toString())
+        assert plan.count("Exchange hashpartitioning") <= 5
+        assert sorted((r["run_id"], r["line"]) for r in found.collect()) == [(1, "y"), (3, None)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_log_index_names_the_attempts_that_were_written(spark, folder, monkeypatch):
     """Lines that are not the same when worked out again: index and table still agree, in one round or several."""
     keys = spark.range(500).selectExpr("id % 90 AS run_id", "concat('t', id % 7) AS task_id", "id")
