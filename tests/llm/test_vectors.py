@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
@@ -73,6 +75,28 @@ def test_topk_is_exact(spark, lists, monkeypatch):
     assert sorted(map(tuple, out)) == sorted(want)
 
 
+def test_topk_sends_queries_in_blocks(spark, monkeypatch):
+    """No row of a task's join is a copied block of vectors, and what a block of queries needs on disk goes before the next."""
+    monkeypatch.setattr(topk, "ROW_BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "ENTRIES", 7)
+    x = clustered(300)
+    vectors = topk.integers(table(spark, [(i, v.tolist()) for i, v in enumerate(x)]))
+    rounds, gone = [], []
+    real, drop = topk._round, topk.drop_dir
+    monkeypatch.setattr(topk, "_round", lambda mine, theirs, *rest: rounds.append([len(r["q_ids"]) for r in theirs.collect()]) or real(mine, theirs, *rest))
+    monkeypatch.setattr(topk, "drop_dir", lambda spark, path: gone.append(path) or drop(spark, path))
+    out = topk.search(vectors, vectors.where("vec_id % 10 = 0").select("vec_id"), k=4)
+    assert len(rounds) == 4 and sum(map(sum, rounds)) == 60 and all(len(r) in (0, 2) for r in rounds)
+    assert len(gone) == 5 * len(rounds) and not [p for p in gone if os.path.exists(p)]
+    z = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
+    want = []
+    for q in range(0, 300, 10):
+        scores = sorted((-int(z[q] @ v), i) for i, v in enumerate(z) if i != q)[:4]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    assert sorted(map(tuple, out.collect())) == want
+
+
 def test_topk_of_few(spark):
     vectors = topk.integers(table(spark, [(0, [1.0, -2.0]), (1, [0.5, 0.5]), (2, [-1.0])]))
     out = topk.search(vectors, vectors.where("vec_id = 0").select("vec_id")).collect()
